@@ -292,15 +292,15 @@ def pack(
     part = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(groups)).alias("part")
     dealt = tokens.withColumn("part", part)
     # What each source got in the groups before this one, against its share.
-    by = dealt.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    parts = by.groupBy("part").agg(F.sum("n").alias("part_n"))
-    sources = by.groupBy("source").agg((F.sum("n") / F.lit(max(total, 1))).alias("share"))
+    by = checkpoint(dealt.groupBy("part", "source").agg(F.sum("n").alias("n")))
+    parts = by.groupBy(F.col("part").alias("p")).agg(F.sum("n").alias("part_n"))
+    sources = by.groupBy(F.col("source").alias("s")).agg((F.sum("n") / F.lit(max(total, 1))).alias("share"))
     before = W.Window.partitionBy("source").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     grid = (
-        by.join(parts, "part")
-        .join(sources.select(F.col("source").alias("s"), "share"), F.col("source").eqNullSafe(F.col("s")))
+        by.join(parts, F.col("part") == F.col("p"))
+        .join(sources, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("owed", F.coalesce(F.sum(F.col("part_n") * F.col("share") - F.col("n")).over(before), F.lit(0.0)))
-        .select("part", "source", "share", "owed")
+        .select(*[F.col(c).alias(c) for c in ("part", "source", "share", "owed")])  # names of its own for the cogroup
     )
 
     def fill(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:

@@ -7,13 +7,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bottomk, mixing, mpegts, packing, secret_scan, simhash, token_counts
-from .common import table
+from . import bottomk, chat, mixing, mpegts, packing, quality, secret_scan, simhash, token_counts, toxicity
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: A conversation of control strings that is formatted with all others.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def with_held_out(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    return scored.select("doc_id", (crc_mod("doc_id", modulus) == held_out).alias("held_out"), *[c for c in scored.columns if c != "doc_id"])
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return with_held_out(quality.score(docs, model), 4, 2)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -22,10 +37,25 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    return chat.digests(chat.examples(rows))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return with_held_out(toxicity.score(docs, model), 5, 0)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -44,8 +74,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        op2_secret_scan, op3_fingerprints, op5_simhash, op7_mixing, op8_packing, op9_transport_stream,
-        op10_token_counts,
+        op1_quality, op2_secret_scan, op3_fingerprints, op4_chat, op5_simhash, op6_toxicity, op7_mixing, op8_packing,
+        op9_transport_stream, op10_token_counts,
     ]
     return {f.__name__: f for f in own}
 

@@ -1 +1,217 @@
-"""placeholder"""
+"""Toxicity by multiple-instance learning (operator 6).
+
+A text is a bag of sentences.  A sentence's score is the logistic of the sum of
+its words' weights; a text's score is the noisy-or of its sentences,
+1 - prod(1 - p).  The weights are trained from document labels alone, so the
+sentence scores learn to point at what made a document toxic, and the operator
+reports the offending sentences.
+
+The model is fitted on a bounded sample of labelled rows (``sample``, the
+first by a hash of the id); the bound is a parameter.  Everything else covers
+every row and whole texts.  Labels, language, source and id are no inputs.
+
+Null and empty texts have no sentence with words and score as one empty sentence
+(the bias alone).  Null labels are left out; rows labelled twice count as toxic
+if either is.  Equal texts score alike.  Without labels of both kinds the model
+scores 0 everywhere.  An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import chunks, crc_mod, map_column, text_col
+
+#: Labelled rows that a model is fitted on at most, and hashed words.
+SAMPLE, BITS = 8_000, 18
+#: Lengths (bytes) of the beginnings of words that are features too.
+STEMS = (4, 5, 6, 7)
+THRESHOLD = 0.5
+# Sentences end at . ! ? and line ends; other ASCII that isn't alphanumeric parts words.
+_CLEAN = bytes(
+    10 if b in b".!?\n" else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
+)
+
+
+@dataclass
+class Model:
+    weights: np.ndarray  # by hashed word, float32
+    bias: float
+
+
+def features(word: bytes, mask: int) -> tuple[int, ...]:
+    """Hashed features of a word: itself and, marked as such, its beginnings."""
+    return (zlib.crc32(word) & mask, *(zlib.crc32(b"%d^" % n + word[:n]) & mask for n in STEMS if len(word) >= n))
+
+
+_cached = lru_cache(maxsize=300_000)(features)
+
+
+def sentences(text: bytes) -> tuple[list[set[bytes]], np.ndarray]:
+    """Distinct words of each sentence, and where each sentence ends (bytes)."""
+    lines = text.lower().translate(_CLEAN).split(b"\n")
+    return [set(line.split()) for line in lines], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+
+
+def bag(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a text's sentences end to end, and how many each has."""
+    per = [[f for w in sorted(words) for f in _cached(w, (1 << bits) - 1)] for words in sentences(text)[0]]
+    return np.array([f for fs in per for f in fs], np.int64), np.array([len(fs) for fs in per], np.int64)
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``values``; an empty run sums to 0."""
+    total = np.r_[0.0, np.cumsum(values, dtype=np.float64)]
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def softplus(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0.0, z)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 60, least: int = 4, evidence: float = 4.0, rate: float = 0.15, decay: float = 2e-4) -> Model:
+    """Fit by full-batch Adam on the noisy-or likelihood.
+
+    bags: hashed words and words by sentence of each text.  Words in fewer than
+    ``least`` of them, or whose share of toxic texts is within ``evidence``
+    standard deviations of the common one, keep weight 0.
+    """
+    weights = np.zeros(1 << bits, np.float32)
+    if not len(bags) or labels.min() == labels.max():
+        return Model(weights, -60.0)
+    found, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
+    for (words, _), label in zip(bags, labels):
+        own = np.unique(words)
+        found[own] += 1
+        toxic[own] += label
+    share = labels.mean()
+    excess = (toxic - share * found) / np.sqrt(np.maximum(share * (1 - share) * found, 1e-9))
+    active = np.flatnonzero((found >= least) & (np.abs(excess) >= evidence))
+    slot = np.full(1 << bits, len(active), np.int64)
+    slot[active] = np.arange(len(active))
+    words = slot[np.concatenate([w for w, _ in bags])]
+    sentence_of = np.repeat(np.arange(sum(len(c) for _, c in bags)), np.concatenate([c for _, c in bags]))
+    keep = words < len(active)
+    words, sentence_of = words[keep], sentence_of[keep]
+    per_bag = np.array([len(c) for _, c in bags])
+    bag_of, n_sentences = np.repeat(np.arange(len(bags)), per_bag), int(per_bag.sum())
+    y = labels.astype(float)
+    base = y.mean()
+    theta = np.zeros(len(active) + 1)
+    theta[-1] = np.log(base / per_bag.mean())
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, epochs + 1):
+        z = np.bincount(sentence_of, theta[words], n_sentences) + theta[-1]
+        none = np.bincount(bag_of, softplus(z), len(bags))  # -log of no toxic sentence
+        p = -np.expm1(-none)
+        # d loss / d z_s: s(z) for clean texts, -(1-P)/P s(z) for toxic ones
+        pull = np.where(y > 0, -np.exp(-none) / np.maximum(p, 0.02), 1.0) / len(bags)
+        dz = pull[bag_of] / (1.0 + np.exp(-np.clip(z, -60, 60)))
+        grad = np.r_[np.bincount(words, dz[sentence_of], len(active)), dz.sum()]
+        grad[:-1] += decay * theta[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    weights[active] = theta[:-1]
+    return Model(weights, float(theta[-1]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", modulus: int = 5, held_out: int = 0, bits: int = BITS) -> Model:
+    """A model of the labelled rows whose crc32(id) mod ``modulus`` isn't ``held_out``."""
+    chosen = (
+        labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, modulus) != held_out))
+        .groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("label"))
+        .orderBy(F.xxhash64(F.lit(6), F.col(id_col)), id_col).limit(sample)
+    )
+    rows = docs.select(id_col, text_col(text).alias("text")).join(F.broadcast(chosen), id_col)
+
+    def work(texts: list[bytes]) -> dict:
+        bags = [bag(t, bits) for t in texts]
+        return {"words": pa.array([w for w, _ in bags], pa.list_(pa.int32())), "counts": pa.array([c for _, c in bags], pa.list_(pa.int32()))}
+
+    found = map_column(rows, lambda: work, "words array<int>, counts array<int>", "text", (id_col, "label"), binary=True).toArrow()
+    found = found.sort_by(id_col) if found.num_rows else found
+    bags = [
+        (np.asarray(w.values.to_numpy(), np.int64), np.asarray(c.values.to_numpy(), np.int64))
+        for w, c in zip(found["words"], found["counts"])
+    ]
+    return train(bags, np.array(found["label"].to_pylist(), np.int64), bits)
+
+
+class Scorer:
+    """Scores of texts; weights of words seen before are looked up."""
+
+    def __init__(self, model: Model, entries: int = 400_000):
+        self.model, self.entries, self.known = model, entries, {}
+        self.mask = len(model.weights) - 1
+
+    def __call__(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score of the text, of its sentences, and where these end."""
+        if len(self.known) > self.entries:
+            self.known.clear()
+        known, weights = self.known, self.model.weights
+        bags, ends = sentences(text)
+        values = []
+        for words in bags:
+            for w in words:
+                x = known.get(w)
+                if x is None:
+                    known[w] = x = float(sum(weights[f] for f in features(w, self.mask)))
+                values.append(x)
+        counts = np.fromiter(map(len, bags), np.int64, len(bags))
+        z = sums(np.array(values), counts) + self.model.bias
+        p = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+        real = counts > 0
+        p[~real] = 0.0
+        none = softplus(z[real]).sum() if real.any() else softplus(self.model.bias)
+        return float(-np.expm1(-none)), p, ends
+
+
+def spans(text: bytes, p: np.ndarray, ends: np.ndarray, least: float = THRESHOLD) -> str:
+    """start:end of the sentences that score ``least`` or more, in code points."""
+    out = []
+    for k in np.flatnonzero(p >= least):
+        a, b = int(ends[k - 1]) if k else 0, min(int(ends[k]), len(text))
+        start = len(text[:a].decode())
+        out.append(f"{start}:{start + len(text[a:b].decode())}")
+    return ",".join(out)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, score, predicted, sentences): sentences are the offending ones' spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2^bits weights
+
+    def make():
+        scorer = Scorer(shared.value)
+
+        def work(texts: list[bytes]) -> dict:
+            found = [scorer(t) for t in texts]
+            return {
+                "score": [s for s, _, _ in found], "predicted": pa.array([int(s >= threshold) for s, _, _ in found], pa.int32()),
+                "sentences": [spans(t, p, e) for t, (_, p, e) in zip(texts, found)],
+            }
+
+        return work
+
+    return map_column(docs, make, "score double, predicted int, sentences string", text, (id_col,), binary=True)
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score ``threshold`` or more; columns stay as they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array([scorer(t)[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
