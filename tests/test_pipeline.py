@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsweave.config import Settings
 from newsweave.operators.store import VersionedTable
-from newsweave.plans import items_queries, ops_queries, pipeline  # noqa: F401
+from newsweave.plans import items_queries, more_queries, ops_queries, pipeline  # noqa: F401
 from newsweave.plans.bindings import SURROGATE_KEYWORDS, at, items, table
 from newsweave.plans.registry import QUERIES, SQL
 from newsweave.streaming import jobs
