@@ -49,10 +49,15 @@ def hash_dedup(df: DataFrame) -> DataFrame:
 
 
 def duplicate_urls(df: DataFrame) -> DataFrame:
-    """Rows that the url clean-up would delete."""
-    w = Window.partitionBy("url_hash").orderBy(F.col("composite_score").desc_nulls_last(), F.col("created_at").desc(), F.col("id"))
+    """Rows that the url clean-up deletes: all of a url but the best composite (nulls
+    last), of these the newest.  The winner comes from an aggregate, so a url with
+    very many rows isn't sorted in one task."""
     hashed = df.withColumn("url_hash", S.url_hash()).where("url_hash is not null")
-    return hashed.withColumn("rn", F.row_number().over(w)).where("rn > 1")
+    order = F.struct(
+        F.col("composite_score").isNull(), -F.coalesce("composite_score", F.lit(0.0)), -F.unix_micros(F.col("created_at").cast("timestamp")), F.col("id")
+    )
+    winners = hashed.groupBy("url_hash").agg(F.min_by("id", order).alias("_winner"))
+    return hashed.join(winners, "url_hash").where("id <> _winner").drop("_winner")
 
 
 def unseen_by_url(new: DataFrame, stored: DataFrame, as_of: Column, days: int = DEFAULT.seen_days) -> DataFrame:
@@ -126,11 +131,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    sizes = df.groupBy(F.col("topic").alias("_topic")).agg(F.count("*").alias("_n"))
+    return df.join(sizes, F.col("topic").eqNullSafe(F.col("_topic"))).drop("_topic")
+
+
+def within_limit(df: DataFrame, limit: int = DEFAULT.event_group_limit) -> DataFrame:
+    """Rows of the topics that titles are compared in."""
+    return _sized(df).where(F.col("_n") <= limit).drop("_n")
+
+
 def event_dedup(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """D3: within topics of 2 to ``event_group_limit`` rows, one winner of each component of
     similar titles; larger topics pass unchanged.  Adds source_count."""
-    size = F.count("*").over(Window.partitionBy("topic"))
-    sized = df.withColumn("_n", size)
+    sized = _sized(df)
     small = sized.where((F.col("_n") > 1) & (F.col("_n") <= settings.event_group_limit)).drop("_n")
     rest = sized.where((F.col("_n") <= 1) | (F.col("_n") > settings.event_group_limit)).drop("_n")
     keyed = small.select("id", "title", "topic")
@@ -181,10 +195,8 @@ def greedy_jaccard(df: DataFrame, settings: Settings = DEFAULT, rounds: int = 10
     """
     marked = df.withColumn("tokens", S.item_tokens(settings.stopwords))
     # rows with the same tokens as an earlier one go with or after that one: pairs are formed between distinct token sets
-    key = F.array_sort("tokens")
-    first = Window.partitionBy("_set").orderBy("ord")
-    grouped = marked.withColumn("_set", F.when(F.size("tokens") > 0, F.xxhash64(key)).otherwise(F.xxhash64("id", F.lit("empty")))).withColumn("_place", F.row_number().over(first))
-    lead = cut(grouped.where("_place = 1").drop("_place", "_set"))
+    key = F.when(F.size("tokens") > 0, F.concat_ws(" ", F.array_sort("tokens"))).otherwise(F.concat(F.lit("\n"), "id"))
+    lead = cut(least_by(marked.withColumn("_set", key), ["_set"], F.struct("ord")).drop("_set"))
     open_pairs = cut(similar_pairs(lead, settings.jaccard))
     dropped = df.sparkSession.createDataFrame([], lead.select("id").schema)
     for _ in range(rounds):

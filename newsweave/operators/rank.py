@@ -19,6 +19,31 @@ def page(df: DataFrame, *order: Column, limit: int, offset: int = 0) -> DataFram
     return placed.where(F.col("place") > offset)
 
 
+def ranged(df: DataFrame, key: str, ranges: int = 1024) -> DataFrame:
+    """Adds ``_range``: ranges of a numeric key with about as many rows each, in order."""
+    cuts = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    if not cuts:
+        return df.withColumn("_range", F.lit(0))
+    bounds, step = F.array(*[F.lit(c) for c in cuts]), 1 << (len(cuts).bit_length() - 1)
+    steps = F.array(*[F.lit(step >> i) for i in range(step.bit_length())])
+    value = F.col(key).cast("double")
+    place = F.aggregate(steps, F.lit(0), lambda at, s: F.when(((at + s) <= len(cuts)) & (F.get(bounds, at + s - 1) <= value), at + s).otherwise(at))
+    return df.withColumn("_range", place)
+
+
+def running_sum(df: DataFrame, key: str, value: Column, name: str, ranges: int = 1024) -> DataFrame:
+    """Adds the sum of ``value`` over rows up to each, in the order of a unique numeric key.
+
+    Ranges of the key are summed first (at most ``ranges`` rows), so no task sorts the whole table.
+    """
+    cut = ranged(df.withColumn("_v", value), key, ranges)
+    sums = cut.groupBy("_range").agg(F.sum("_v").alias("_s"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_range"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.sum("_v").over(inside)).drop("_range", "_v", "_before")
+
+
 def newest() -> Column:
     return F.col("ed").desc()
 
@@ -31,6 +56,14 @@ def by_composite() -> Column:
     return F.col("composite_score").desc_nulls_last()
 
 
+def vector_of(vectors: DataFrame, item_id: int, embedding: str = "embedding") -> Column:
+    """The vector of one item as a constant; an unknown id is a KeyError."""
+    row = vectors.where(F.col("item_id") == item_id).select(embedding).first()
+    if row is None:
+        raise KeyError(item_id)
+    return F.array(*[F.lit(float(x)) for x in row[0]])
+
+
 def nearest(vectors: DataFrame, query: Column, limit: int, embedding: str = "embedding") -> DataFrame:
     """Least cosine distance; a zero vector comes last."""
     return vectors.withColumn("distance", S.cosine_distance(F.col(embedding), query)).orderBy(F.col("distance").asc_nulls_last(), "item_id").limit(limit)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SCORE_BUCKETS
 from ..functions.scalars import freshness, seconds_between
 from .filters import on_day
+from .rank import running_sum
 
 
 def summary(items: DataFrame, today: str) -> DataFrame:
@@ -75,16 +76,15 @@ def source_date_pivot(items: DataFrame, sources: tuple[str, ...]) -> DataFrame:
 
 def shares(counts: DataFrame, value: str = "count") -> DataFrame:
     """Share of the total in percent, one decimal."""
-    total = counts.agg(F.sum(value).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col(value) / F.col("_total") * 100, 1)).drop("_total")
+    total = counts.agg(F.sum(value)).scalar()
+    return counts.withColumn("share", F.round(F.col(value) / total * 100, 1))
 
 
 def calendar_levels(daily: DataFrame, value: str = "count") -> DataFrame:
     """Level 0 to 4 of each day against the busiest one."""
-    top = daily.agg(F.max(value).alias("_top"))
-    r = F.col(value) / F.col("_top")
+    r = F.col(value) / daily.agg(F.max(value)).scalar()
     level = F.when(F.col(value) == 0, 0).when(r <= 0.25, 1).when(r <= 0.5, 2).when(r <= 0.75, 3).otherwise(4)
-    return daily.crossJoin(F.broadcast(top)).withColumn("level", level).drop("_top")
+    return daily.withColumn("level", level)
 
 
 def day_summary(items: DataFrame, day: str) -> DataFrame:
@@ -95,10 +95,9 @@ def day_summary(items: DataFrame, day: str) -> DataFrame:
 
 def running_cost(batches: DataFrame, order: str, budget: float, per_in: float = 0.20, per_out: float = 2.00) -> DataFrame:
     """Cumulative cost of batches (tokens_in, tokens_out) in order; a batch runs
-    while the cost before it is below the budget.  Batches are few: one window."""
+    while the cost before it is below the budget."""
     cost = F.col("tokens_in") * per_in / 1e6 + F.col("tokens_out") * per_out / 1e6
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = batches.withColumn("cost", cost).withColumn("total", F.sum("cost").over(w))
+    total = running_sum(batches.withColumn("cost", cost), order, F.col("cost"), "total")
     state = F.when(F.col("total") >= budget, "stop").when(F.col("total") >= 0.8 * budget, "warn").otherwise("ok")
     return total.withColumn("runs", (F.col("total") - F.col("cost")) < budget).withColumn("state", state)
 

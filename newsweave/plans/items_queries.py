@@ -96,17 +96,15 @@ def q9(spark, sf):
 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE e.vec_id <> 7 ORDER BY 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id LIMIT 10""")
 def q10(spark, sf):
     vectors = embeddings(spark, sf)
-    one = vectors.where("item_id = 7").select(F.col("embedding").alias("q"))
-    others = vectors.where("item_id <> 7").crossJoin(F.broadcast(one))  # one row
-    return rank.nearest(others, F.col("q"), 10).select("item_id", F.round("distance", 6).alias("distance"))
+    one = rank.vector_of(vectors, 7)
+    return rank.nearest(vectors.where("item_id <> 7"), one, 10).select("item_id", F.round("distance", 6).alias("distance"))
 
 
 @query("Q11_briefing_items", W + f"""SELECT id, title, score, (SELECT count(*) FROM items WHERE ed >= TIMESTAMP '{DAY}' AND ed < TIMESTAMP '{DAY}' + INTERVAL 1 DAY) AS total
 FROM items WHERE ed >= TIMESTAMP '{DAY}' AND ed < TIMESTAMP '{DAY}' + INTERVAL 1 DAY ORDER BY score DESC NULLS LAST, id LIMIT 20""")
 def q11(spark, sf):
     day = items(spark, sf).where(filters.on_day("ed", DAY))
-    total = day.agg(F.count("*").alias("total"))
-    return rank.page(day, rank.by_score(), limit=20).crossJoin(F.broadcast(total)).select("id", "title", "score", "total")
+    return rank.page(day, rank.by_score(), limit=20).select("id", "title", "score", day.agg(F.count("*")).scalar().alias("total"))
 
 
 BRIEFINGS_SQL = """b AS (SELECT ts::DATE AS date, count(*) AS total_items, sum(event_id % 20)::BIGINT AS items_extracted, list_sort(list(DISTINCT event_type)) AS sources FROM events GROUP BY 1)"""
@@ -122,8 +120,8 @@ def briefings(spark, sf):
 @query("Q12_briefings", f"WITH {BRIEFINGS_SQL} SELECT date, total_items, items_extracted, (SELECT count(*) FROM b) AS total FROM b ORDER BY date DESC LIMIT 7 OFFSET 7")
 def q12(spark, sf):
     b = briefings(spark, sf)
-    total = b.agg(F.count("*").alias("total"))
-    return b.orderBy(F.col("date").desc()).offset(7).limit(7).crossJoin(F.broadcast(total)).select("date", "total_items", "items_extracted", "total")
+    total = b.agg(F.count("*")).scalar().alias("total")
+    return b.orderBy(F.col("date").desc()).offset(7).limit(7).select("date", "total_items", "items_extracted", total)
 
 
 WORDS_SQL = r"regexp_extract_all(lower(concat_ws(' ', title, full_text, source)), '[\p{L}\p{N}_]+')"
@@ -161,9 +159,8 @@ r AS (SELECT * FROM j WHERE ed >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY),
 c AS (SELECT * FROM r UNION ALL SELECT * FROM j WHERE (SELECT count(*) FROM r) < 10 AND item_id NOT IN (SELECT item_id FROM r))
 SELECT item_id, round(d, 6) AS distance FROM c ORDER BY d, item_id LIMIT 10""")
 def q14(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id = 11").select("embedding").first()[0]
-    vector = F.array(*[F.lit(float(x)) for x in q])
-    return rank.recent_or_all(items(spark, sf), embeddings(spark, sf), vector, at(), 10).select("item_id", F.round("distance", 6).alias("distance"))
+    vectors = embeddings(spark, sf)
+    return rank.recent_or_all(items(spark, sf), vectors, rank.vector_of(vectors, 11), at(), 10).select("item_id", F.round("distance", 6).alias("distance"))
 
 
 @query("Q15_context", W + """, p AS (SELECT *, row_number() OVER (ORDER BY ed DESC, id) AS place FROM items ORDER BY ed DESC, id LIMIT 5)
@@ -348,9 +345,9 @@ def p25(spark, sf):
 
 # Windows and joins
 
-@query("W1_duplicate_urls", W + "SELECT id, rn::INT AS rn FROM (SELECT id, row_number() OVER (PARTITION BY substr(sha256(url), 1, 16) ORDER BY composite_score DESC NULLS LAST, created_at DESC, id) AS rn FROM items WHERE url <> '') WHERE rn > 1")
+@query("W1_duplicate_urls", W + "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY substr(sha256(url), 1, 16) ORDER BY composite_score DESC NULLS LAST, created_at DESC, id) AS rn FROM items WHERE url <> '') WHERE rn > 1")
 def w1(spark, sf):
-    return dedup.duplicate_urls(items(spark, sf)).select("id", "rn")
+    return dedup.duplicate_urls(items(spark, sf)).select("id")
 
 
 @query("W7_batches", W + "SELECT id, ((row_number() OVER (ORDER BY ord) - 1) // 25)::BIGINT AS batch FROM items")
@@ -393,8 +390,8 @@ def j8(spark, sf):
 @query("J10_distances", "SELECT e.vec_id AS item_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q")
 def j10(spark, sf):
     e = embeddings(spark, sf)
-    one = e.where("item_id = 3").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(one)).select("item_id", F.round(S.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
+    one = rank.vector_of(e, 3)
+    return e.select("item_id", F.round(S.cosine_distance(F.col("embedding"), one), 6).alias("distance"))
 
 
 # Set operations

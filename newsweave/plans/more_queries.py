@@ -116,8 +116,8 @@ def a21(spark, sf):
 
 @query("A23_winner_per_group", W + "SELECT id, n FROM (SELECT id, row_number() OVER (PARTITION BY title ORDER BY coalesce(score, 0) + 100 * relevance_score DESC, ord) AS rn, count(*) OVER (PARTITION BY title) AS n FROM items) WHERE rn = 1")
 def a23(spark, sf):
-    ranked = items(spark, sf).withColumn("n", F.count("*").over(Window.partitionBy("title")))
-    return dedup.best_by(ranked, ["title"], (F.coalesce("score", F.lit(0)) + 100 * F.col("relevance_score")).desc(), F.col("ord")).select("id", "n")
+    value = F.coalesce("score", F.lit(0)) + 100 * F.col("relevance_score")
+    return items(spark, sf).groupBy("title").agg(F.min_by("id", F.struct(-value, "ord")).alias("id"), F.count("*").alias("n")).select("id", "n")
 
 
 @query("A24_best_topic", W + CLASSED + "SELECT topic, count(*) AS n, max(matches)::INT AS most FROM classed GROUP BY topic")
@@ -160,8 +160,7 @@ def t7(spark, sf):
 @query("T8_nearest", "SELECT vec_id AS item_id FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 25")
 def t8(spark, sf):
     e = embeddings(spark, sf)
-    one = e.where("item_id = 0").select(F.col("embedding").alias("q"))
-    return rank.nearest(e.crossJoin(F.broadcast(one)), F.col("q"), 25).select("item_id")
+    return rank.nearest(e, rank.vector_of(e, 0), 25).select("item_id")
 
 
 @query("T9_source_cap", W + "SELECT source, id FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY coalesce(score, 0) DESC, ord) AS rn FROM items) WHERE rn <= 50")
@@ -367,8 +366,7 @@ def c3e(spark, sf):
 @query("J10_other_vectors", "SELECT e.vec_id AS item_id, q.vec_id AS query_id FROM embeddings e, embeddings q WHERE q.vec_id = 5 AND e.vec_id <> 5")
 def j10b(spark, sf):
     e = embeddings(spark, sf)
-    one = e.where("item_id = 5").select(F.col("item_id").alias("query_id"))
-    return e.where("item_id <> 5").crossJoin(F.broadcast(one)).select("item_id", "query_id")
+    return e.where("item_id <> 5").select("item_id", e.where("item_id = 5").select("item_id").scalar().alias("query_id"))
 
 
 @query("J11_reply_join")

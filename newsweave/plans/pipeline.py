@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import scalars as S
-from ..operators import dedup, filters, store
+from ..operators import dedup, filters, rank, store
 
 Provider = Callable[[DataFrame], DataFrame]
 
@@ -42,7 +42,8 @@ def run_classification(df: DataFrame, settings: Settings = DEFAULT, provider: Pr
 
 def batches(df: DataFrame, size: int, order: str = "ord") -> DataFrame:
     """Fixed chunks in order."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    numbered = rank.running_sum(df, order, F.lit(1), "_n")
+    return numbered.withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def model_reply(reply: Column) -> Column:
