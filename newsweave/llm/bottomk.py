@@ -156,6 +156,32 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     return map_column(docs, make, "fingerprint string, n_distinct double", text, (id_col,), binary=True)
 
 
+def merge_by(sketches: DataFrame, key: str, fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
+    """(key, fingerprint, n_distinct): one sketch of all texts of each key, null being a key.
+
+    Every task first merges what it has of a key, so a key with very many rows
+    sends one sketch per task; those are merged again after the shuffle.
+    """
+    rows = sketches.select(F.col(key).alias("key"), F.col(fingerprint).alias("fingerprint"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                new = load(text or "")
+                held[name] = merge(held[name], new, k) if name in held else new[:k]
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), batch.schema.field(0).type), pa.array([dump(a) for a in held.values()]), pa.array([distinct(a, k) for a in held.values()])],
+                names=["key", "fingerprint", "n_distinct"],
+            )
+
+    schema = f"key {kind}, fingerprint string, n_distinct double"
+    parts = rows.mapInArrow(run, schema).select("key", "fingerprint")
+    return parts.repartition("key").mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """Fingerprints of each text and of its edited text (its last third replaced by
     the beginning of the next document), and their likeness."""

@@ -131,6 +131,22 @@ def test_edited_fingerprints(docs, texts):
             assert abs(r.near_edited - len(a & b) / len(a | b)) < 0.2
 
 
+def test_sketches_merge_by_source(docs, texts, odd_docs, no_docs):
+    rows = docs.select("doc_id", "source").collect()
+    sketches = bottomk.fingerprint(docs).join(docs.select("doc_id", "source"), "doc_id").repartition(5)
+    got = {r.source: r for r in bottomk.merge_by(sketches, "source").collect()}
+    sketch = bottomk.Sketcher()
+    for source in {r.source for r in rows}:
+        whole = sketch(b"")
+        for r in rows:
+            if r.source == source:
+                whole = bottomk.merge(whole, sketch(texts[r.doc_id].encode()))
+        assert got[source].fingerprint == bottomk.dump(whole)
+    odd = bottomk.fingerprint(odd_docs, "source").select("source", "fingerprint")
+    assert {r.source for r in bottomk.merge_by(odd, "source").collect()} == {"a", "b", "c", None}
+    assert bottomk.merge_by(bottomk.fingerprint(no_docs), "doc_id").count() == 0
+
+
 def test_near_duplicates_equal_brute_force(docs, texts, spark):
     rows = simhash.near_duplicates(docs).collect()
     fp = {r.doc_id: int(r.fingerprint, 16) for r in rows}
