@@ -115,5 +115,27 @@ FROM ranked
 """
 
 
+#: The formatted lengths from the template and its escapes, in DuckDB.
+OP4_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, count(*) OVER (PARTITION BY conv_id) AS last,
+    length(regexp_replace(text, '([\[<])(\\*)(/?(?:SYS|INST|ASST|TURN(?: [0-9a-f]*)?)\]|/?s>)', '\1\\\2\3', 'g')) AS escaped
+  FROM t),
+w AS (
+  SELECT *, 3 + sum(escaped + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 19 ELSE 15 + 2 * strlen(role) END)
+    OVER (PARTITION BY conv_id ORDER BY rn) AS upto
+  FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE WHEN role = 'assistant' OR rn = last THEN upto ELSE 0 END)::BIGINT AS formatted_chars,
+  (count(*) FILTER (role = 'assistant'))::BIGINT AS n_examples
+FROM w GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op4_chat": OP4_SQL, "op7_mixing": OP7_SQL}

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,17 @@ def test_pipeline_runs_whole(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_duckdb(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    rounded = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    want = sorted(map(rounded, found.fetchall()), key=repr)
+    df = queries.queries()[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted((rounded(r) for r in df.select(*columns).collect()), key=repr) == want
