@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PARAMETER_SIZE, PROFESSIONAL_PATTERNS, QUANTISED_SUFFIX, SOURCE_CREDIBILITY, SUSPICIOUS_PATTERNS, TOPIC_WEIGHTS, VELOCITY_THRESHOLDS, Settings
@@ -108,24 +108,38 @@ def bounded(word: str) -> str:
 
 
 def keyword_counts(text: Column, keywords: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    """Number of each topic's keywords that occur in lower-case text, each counted once."""
-    return {t: reduce(lambda a, b: a + b, [F.when(text.rlike(bounded(w)), 1).otherwise(0) for w in words]) for t, words in keywords.items()}
+    """Number of each topic's keywords that occur in lower-case text, each counted once.
 
+    The plain search comes first: few keywords occur at all, and only those need the pattern.
+    """
+    found = lambda w: F.when(text.contains(w.lower()) & text.rlike(bounded(w)), 1).otherwise(0)
+    return {t: reduce(lambda a, b: a + b, [found(w) for w in words]) for t, words in keywords.items()}
 
-def keyword_class(title="title", text="full_text", keywords: Mapping[str, Sequence[str]] = DEFAULT.keywords) -> Column:
-    """struct(topic, relevance, matches) of the topic with most keywords (first on ties)."""
-    content = F.lower(F.concat(col(title), F.lit(" "), F.substring(F.coalesce(col(text), F.lit("")), 1, 500)))
-    counts = keyword_counts(content, keywords)
-    best = F.array_max(F.array(*[
+
+def keyword_text(title="title", text="full_text") -> Column:
+    return F.lower(F.concat(col(title), F.lit(" "), F.substring(F.coalesce(col(text), F.lit("")), 1, 500)))
+
+
+def best_topic(counts: Mapping[str, Column], keywords: Mapping[str, Sequence[str]]) -> Column:
+    """struct(matches, place, topic, size) of the topic with most keywords (first on ties)."""
+    return F.array_max(F.array(*[
         F.struct(c.alias("matches"), F.lit(-k).alias("place"), F.lit(t).alias("topic"), F.lit(len(keywords[t])).alias("size"))
         for k, (t, c) in enumerate(counts.items())
     ]))
-    relevance = F.least(best["matches"] / best["size"] * 3, F.lit(1.0))
-    real = (best["matches"] > 0) & (relevance >= 0.1)
-    return F.struct(
-        F.when(real, best["topic"]).alias("topic"), F.when(real, relevance).otherwise(0.0).alias("relevance"),
-        F.when(real, best["matches"]).otherwise(0).alias("matches"),
-    )
+
+
+def with_keyword_class(df: DataFrame, title: str = "title", text: str = "full_text", keywords: Mapping[str, Sequence[str]] = DEFAULT.keywords) -> DataFrame:
+    """Adds topic, relevance and matches.  The text, the counts and the best topic are
+    projections of their own, so that each is computed once a row."""
+    counts = {t: F.col(f"_n_{t}") for t in keywords}
+    found = df.drop("topic").withColumn("_text", keyword_text(title, text))
+    found = found.withColumns({f"_n_{t}": c for t, c in keyword_counts(F.col("_text"), keywords).items()})
+    found = found.withColumn("_best", best_topic(counts, keywords)).withColumn("relevance", F.least(F.col("_best.matches") / F.col("_best.size") * 3, F.lit(1.0)))
+    real = (F.col("_best.matches") > 0) & (F.col("relevance") >= 0.1)
+    return found.withColumns({
+        "topic": F.when(real, F.col("_best.topic")), "matches": F.when(real, F.col("_best.matches")).otherwise(0),
+        "relevance": F.when(real, F.col("relevance")).otherwise(0.0),
+    }).drop("_text", "_best", *[f"_n_{t}" for t in keywords])
 
 
 def gate(matches: Column) -> Column:

@@ -21,8 +21,7 @@ Provider = Callable[[DataFrame], DataFrame]
 
 def classify(df: DataFrame, settings: Settings = DEFAULT, text: str = "full_text") -> DataFrame:
     """adds topic, relevance, matches, gate, priority."""
-    k = S.keyword_class("title", text, settings.keywords)
-    out = df.drop("topic").withColumn("_k", k).select("*", "_k.topic", "_k.relevance", "_k.matches").drop("_k")
+    out = S.with_keyword_class(df, "title", text, settings.keywords)
     return out.withColumn("gate", S.gate(F.col("matches"))).withColumn("priority", S.priority("score", "relevance"))
 
 

@@ -57,7 +57,7 @@ def test_keyword_classes(spark):
     rows = spark.createDataFrame([
         (1, "GPT-5 LLM achieves SOTA on MMLU benchmark with transformer architecture", None), (2, "Best pizza recipe for dinner tonight", None), (3, "New GPT model release", None),
     ], "id int, title string, full_text string")
-    got = {r.id: r for r in rows.select("id", S.keyword_class().alias("k")).select("id", "k.*").withColumn("gate", S.gate(F.col("matches"))).collect()}
+    got = {r.id: r for r in S.with_keyword_class(rows).withColumn("gate", S.gate(F.col("matches"))).collect()}
     assert got[1].topic == "models" and got[1].matches == 7 and abs(got[1].relevance - 21 / 26) < 1e-12 and got[1].gate == "accept"
     assert got[2].topic is None and got[2].gate == "reject"
     assert got[3].topic == "models" and got[3].matches == 2 and got[3].gate == "ambiguous"
