@@ -107,13 +107,21 @@ def bounded(word: str) -> str:
     return rf"(^|[^\p{{L}}\p{{N}}_]){escaped}($|[^\p{{L}}\p{{N}}_])"
 
 
-def keyword_counts(text: Column, keywords: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+def keyword_counts(text: Column, words: Column, keywords: Mapping[str, Sequence[str]]) -> dict[str, Column]:
     """Number of each topic's keywords that occur in lower-case text, each counted once.
 
-    The plain search comes first: few keywords occur at all, and only those need the pattern.
+    words: the distinct words of the text.  A keyword that is one word is looked up
+    among them; others (with blanks or hyphens) need a pattern, after a plain search.
     """
-    found = lambda w: F.when(text.contains(w.lower()) & text.rlike(bounded(w)), 1).otherwise(0)
-    return {t: reduce(lambda a, b: a + b, [found(w) for w in words]) for t, words in keywords.items()}
+
+    def count(topic: Sequence[str]) -> Column:
+        low = list(dict.fromkeys(w.lower() for w in topic))
+        plain = [w for w in low if w.replace("_", "").isalnum()]
+        found = [F.size(F.array_intersect(words, F.array(*map(F.lit, plain))))] if plain else [F.lit(0)]
+        found += [F.when(text.contains(w) & text.rlike(bounded(w)), 1).otherwise(0) for w in low if w not in plain]
+        return reduce(lambda a, b: a + b, found)
+
+    return {t: count(topic) for t, topic in keywords.items()}
 
 
 def keyword_text(title="title", text="full_text") -> Column:
@@ -133,13 +141,14 @@ def with_keyword_class(df: DataFrame, title: str = "title", text: str = "full_te
     projections of their own, so that each is computed once a row."""
     counts = {t: F.col(f"_n_{t}") for t in keywords}
     found = df.drop("topic").withColumn("_text", keyword_text(title, text))
-    found = found.withColumns({f"_n_{t}": c for t, c in keyword_counts(F.col("_text"), keywords).items()})
+    found = found.withColumn("_words", F.array_distinct(F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}_]+"), 0)))
+    found = found.withColumns({f"_n_{t}": c for t, c in keyword_counts(F.col("_text"), F.col("_words"), keywords).items()})
     found = found.withColumn("_best", best_topic(counts, keywords)).withColumn("relevance", F.least(F.col("_best.matches") / F.col("_best.size") * 3, F.lit(1.0)))
     real = (F.col("_best.matches") > 0) & (F.col("relevance") >= 0.1)
     return found.withColumns({
         "topic": F.when(real, F.col("_best.topic")), "matches": F.when(real, F.col("_best.matches")).otherwise(0),
         "relevance": F.when(real, F.col("relevance")).otherwise(0.0),
-    }).drop("_text", "_best", *[f"_n_{t}" for t in keywords])
+    }).drop("_text", "_words", "_best", *[f"_n_{t}" for t in keywords])
 
 
 def gate(matches: Column) -> Column:

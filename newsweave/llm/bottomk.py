@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, map_column, text_col
+from .common import map_column, slices, text_col
 
 K, WORDS, SEED = 128, 5, 3
 #: Ranges of ids that the neighbour search works in, at most.
@@ -37,7 +37,7 @@ _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 class Sketcher:
     """Sketches of UTF-8 texts; hashes of words seen before are looked up."""
 
-    def __init__(self, k: int = K, words: int = WORDS, entries: int = 500_000):
+    def __init__(self, k: int = K, words: int = WORDS, entries: int = 300_000):
         self.k, self.words, self.entries, self.known = k, words, entries, {}
 
     def hashes(self, split: list[bytes]) -> np.ndarray:
@@ -198,10 +198,10 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         sketch, last = Sketcher(k), (None, None)
         for batch in batches:
             ids, n_chars, texts, edits, nexts = (batch.column(i) for i in range(5))
-            texts, edits, nexts = (c.cast(pa.binary()).to_pylist() for c in (texts, edits, nexts))
-            for a, b in chunks(texts):
+            edits, nexts = edits.cast(pa.binary()), nexts.cast(pa.binary())
+            for a, b, own_texts in slices(texts, binary=True):
                 out = []
-                for t, e, n in zip(texts[a:b], edits[a:b], nexts[a:b]):
+                for t, e, n in zip(own_texts, edits.slice(a, b - a).to_pylist(), nexts.slice(a, b - a).to_pylist()):
                     own = last[1] if t == last[0] else sketch(t)  # mostly the neighbour of the row before
                     other = own if n == t else sketch(n)
                     last = (n, other)

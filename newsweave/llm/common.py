@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are worked on in chunks of about so many code points, which bounds what
-#: a task holds besides the Arrow batch itself.
-CHUNK_CHARS = 4_000_000
+#: Texts are worked on in chunks of about so many bytes, which bounds what a task
+#: holds besides the Arrow batch itself.
+CHUNK_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,16 +44,19 @@ def crc_mod(id_col: str, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % F.lit(modulus)
 
 
-def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` characters each, at least one text."""
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text) + 64
-        if size >= limit:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def slices(column: pa.Array, binary: bool = False, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list]]:
+    """Ranges of a text column of about ``limit`` bytes each, at least one row, with their
+    values (null as empty); only one range is held as Python objects at a time."""
+    if binary:
+        column = column.cast(pa.binary())
+    column = pc.fill_null(column, b"" if binary else "")
+    upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    a = 0
+    while a < len(column):
+        before = upto[a - 1] if a else 0
+        b = min(int(np.searchsorted(upto, before + limit)) + 1, len(column))
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
 
 
 def map_column(
@@ -69,10 +74,8 @@ def map_column(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            col = batch.column(len(keep))
-            texts = (col.cast(pa.binary()) if binary else col).to_pylist()
-            for a, b in chunks(texts):
-                out = work(texts[a:b])
+            for a, b, texts in slices(batch.column(len(keep)), binary):
+                out = work(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                     + [v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()],

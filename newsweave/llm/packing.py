@@ -32,7 +32,7 @@ from .bpe import WORD_PATTERN, ArrayBPE, normal_word
 from .common import checkpoint, map_column
 
 #: Pre-tokens that a worker's table may hold before it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, source string"

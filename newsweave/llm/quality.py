@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, map_column, text_col
+from .common import crc_mod, map_column, slices, text_col
 
 SAMPLE, BITS, FACTORS, BINS = 8_000, 14, 8, 12
 THRESHOLD = 0.7
@@ -54,7 +54,7 @@ class Model:
 class Features:
     """Hashed words and raw statistics of UTF-8 texts."""
 
-    def __init__(self, bits: int = BITS, entries: int = 400_000):
+    def __init__(self, bits: int = BITS, entries: int = 200_000):
         self.mask, self.entries, self.known = (1 << bits) - 1, entries, {}
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, list[float]]:
@@ -215,9 +215,9 @@ def score(
         extract.mask = len(model.weights) - len(model.edges) * BINS - 1
         first = extract.mask + 1
         for batch in batches:
-            texts, meta = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
-            for a, b in chunks(texts, 1_000_000):
-                found = [extract(t) for t in texts[a:b]]
+            meta = batch.column(2).to_pylist()
+            for a, b, texts in slices(batch.column(1), binary=True, limit=1_000_000):
+                found = [extract(t) for t in texts]
                 stats = np.array([s + [np.nan if x is None else x for x in m] for (_, s), m in zip(found, meta[a:b])])
                 z = evaluate(model, *assemble([w for w, _ in found], binned(stats, model.edges, first)))
                 p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))

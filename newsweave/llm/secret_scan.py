@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_column
+from .common import map_column, slices
 
 #: The base detectors.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -193,13 +193,16 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = batch.column(at).to_pylist()
-            new = [t and redacted(t, bits=bits) for t in old]
-            columns = list(batch.columns)
-            columns[at] = pa.array(new, columns[at].type)
-            if size_at is not None:
-                sizes = [len(n) if n != o else s for o, n, s in zip(old, new, columns[size_at].to_pylist())]
-                columns[size_at] = pa.array(sizes, columns[size_at].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for a, b, old in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                new = [redacted(t, bits=bits) for t in old]
+                if new != old:  # most slices have no secret
+                    columns, changed = list(part.columns), [n != o for n, o in zip(new, old)]
+                    columns[at] = pa.array([n if c else t for n, c, t in zip(new, changed, columns[at].to_pylist())], columns[at].type)
+                    if size_at is not None:
+                        sizes = [len(n) if c else s for n, c, s in zip(new, changed, columns[size_at].to_pylist())]
+                        columns[size_at] = pa.array(sizes, columns[size_at].type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                yield part
 
     return docs.mapInArrow(run, docs.schema)

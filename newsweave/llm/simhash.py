@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, map_column
+from .common import checkpoint, map_column, slices
 from .components import connected_components
 
 WORDS, RADIUS, MOST = 3, 3, 4096
@@ -295,8 +295,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            fps = np.concatenate([fingerprints(texts[a:z]) for a, z in chunks(texts)] or [np.zeros(0, np.uint64)])
+            found = [fingerprints(texts) for _, _, texts in slices(batch.column(at), binary=True)]
+            fps = np.concatenate(found or [np.zeros(0, np.uint64)])
             yield batch.append_column("fp", pa.array(fps.view(np.int64)))
 
     kinds = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(schema.fields))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, map_column, text_col
+from .common import crc_mod, map_column, slices, text_col
 
 #: Labelled rows that a model is fitted on at most, and hashed words.
 SAMPLE, BITS = 8_000, 18
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 class Scorer:
     """Scores of texts; weights of words seen before are looked up."""
 
-    def __init__(self, model: Model, entries: int = 400_000):
+    def __init__(self, model: Model, entries: int = 200_000):
         self.model, self.entries, self.known = model, entries, {}
         self.mask = len(model.weights) - 1
 
@@ -211,7 +211,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            yield batch.filter(pa.array([scorer(t)[0] < threshold for t in texts], pa.bool_()))
+            clean = [scorer(t)[0] < threshold for _, _, texts in slices(batch.column(at), binary=True) for t in texts]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
