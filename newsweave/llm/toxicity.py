@@ -6,6 +6,11 @@ its words' weights; a text's score is the noisy-or of its sentences,
 sentence scores learn to point at what made a document toxic, and the operator
 reports the offending sentences.
 
+Sentences that don't offend (p below one half) have a small score each, and any
+text that is long enough would be toxic by their number alone.  So what clean
+texts of the sample have in them, by the number of sentences, is taken off their
+part of the noisy-or; an offending sentence counts in full.
+
 The model is fitted on a bounded sample of labelled rows (``sample``, the
 first by a hash of the id); the bound is a parameter.  Everything else covers
 every row and whole texts.  Labels, language, source and id are no inputs.
@@ -35,6 +40,8 @@ SAMPLE, BITS = 8_000, 18
 #: Lengths (bytes) of the beginnings of words that are features too.
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.5
+#: Standard deviations by which sentences that don't offend may exceed those of clean texts.
+DEVIATIONS = 3.0
 # Sentences end at . ! ? and line ends; other ASCII that isn't alphanumeric parts words.
 _CLEAN = bytes(
     10 if b in b".!?\n" else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
@@ -45,6 +52,8 @@ _CLEAN = bytes(
 class Model:
     weights: np.ndarray  # by hashed word, float32
     bias: float
+    rate: float = 0.0  # mean and deviation of what a sentence of a clean text adds to the noisy-or
+    spread: float = 0.0
 
 
 def features(word: bytes, mask: int) -> tuple[int, ...]:
@@ -121,7 +130,19 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights[active] = theta[:-1]
-    return Model(weights, float(theta[-1]))
+    z = np.bincount(sentence_of, theta[words], n_sentences) + theta[-1]
+    real = np.concatenate([c for _, c in bags]) > 0
+    usual = softplus(z[real & (z < 0) & (y[bag_of] == 0)])
+    rate, spread = (float(usual.mean()), float(usual.std())) if len(usual) else (0.0, 0.0)
+    return Model(weights, float(theta[-1]), rate, spread)
+
+
+def evidence_of(z: np.ndarray, model: Model, deviations: float = DEVIATIONS) -> float:
+    """-log of no toxic sentence: offending sentences in full, of the others what exceeds
+    the sum of as many sentences of clean texts by so many standard deviations."""
+    n = int((z < 0).sum())
+    usual = n * model.rate + deviations * model.spread * np.sqrt(n)
+    return float(softplus(z[z >= 0]).sum() + max(softplus(z[z < 0]).sum() - usual, 0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", modulus: int = 5, held_out: int = 0, bits: int = BITS) -> Model:
@@ -171,7 +192,7 @@ class Scorer:
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
         real = counts > 0
         p[~real] = 0.0
-        none = softplus(z[real]).sum() if real.any() else softplus(self.model.bias)
+        none = evidence_of(z[real], self.model) if real.any() else softplus(self.model.bias)
         return float(-np.expm1(-none)), p, ends
 
 
