@@ -6,6 +6,12 @@ context ("password is ...", "pin: ...") are segmented at least cost, by dynamic
 programming, into known words, dates, repeats, keyboard walks and brute-force
 spans; a value that needs at least ``bits`` bits of guesses is a secret.
 
+Known words are frequent words of passwords, the whole words of a public
+vocabulary in its order, and the words of the documents themselves, by the number
+of documents (``least_docs`` or more) that have them outside credential contexts;
+the places in these lists are the guesses.  At most ``most_words`` words of the
+documents are taken, so what is sent to the workers has a bounded size.
+
 Offsets are code points, ends exclusive.  Null and empty texts have no spans.
 Repeated rows give the same spans.  Texts of any length are scanned whole;
 values are scanned whole too, in time proportional to their length.
@@ -14,14 +20,18 @@ values are scanned whole too, in time proportional to their length.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_column, slices
+from .common import map_column, slices, text_col
 
 #: The base detectors.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -49,6 +59,8 @@ COMMON = (
 ).split()
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 BITS = 40.0
+#: Documents that have a word at least, words of documents at most, and letters of a word.
+LEAST_DOCS, MOST_WORDS, LETTERS = 5, 100_000, (3, 24)
 
 
 def word_costs() -> dict[str, float]:
@@ -68,18 +80,44 @@ def neighbours() -> set[tuple[str, str]]:
 
 
 _WORDS, _NEAR = word_costs(), neighbours()
-_LONGEST = max(map(len, _WORDS))
+_WORD = re.compile("[a-z]{%d,%d}" % LETTERS)
 _DATE = re.compile(r"(?:19|20)\d\d(?:([-/.]?)(?:0[1-9]|1[0-2])(?:\1(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d", re.ASCII)
 _LEET = str.maketrans("4@8301!5$7", "aabeoliSst".lower())
 
 
+@lru_cache(maxsize=1)
+def vocabulary() -> tuple[str, ...]:
+    """Whole words of the public vocabulary, most frequent first."""
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        ids = json.load(f)["model"]["vocab"]
+    whole = (w.removesuffix("</w>") for w in sorted(ids, key=ids.get) if w.endswith("</w>"))
+    return tuple(w for w in whole if _WORD.fullmatch(w))
+
+
+def frequent_words(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, most_words: int = MOST_WORDS) -> list[str]:
+    """Words of at least ``least_docs`` rows outside credential contexts, most frequent first."""
+    outside = F.regexp_replace(F.lower(text_col(text)), f"(?i){_CONTEXT.pattern}", " ")
+    words = docs.select(F.explode(F.array_distinct(F.split(outside, r"[^\p{L}0-9]+"))).alias("word"))
+    counted = words.where(F.col("word").rlike(f"^{_WORD.pattern}$")).groupBy("word").count().where(F.col("count") >= least_docs)
+    return [r.word for r in counted.orderBy(F.desc("count"), "word").limit(most_words).collect()]
+
+
+def dictionary(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, most_words: int = MOST_WORDS) -> dict[str, float]:
+    """Cost of each known word: of its best place in the three lists."""
+    costs = dict(_WORDS)
+    for ranked in (vocabulary(), frequent_words(docs, text, least_docs, most_words)):
+        for i, w in enumerate(ranked):
+            costs[w] = min(costs.get(w, math.inf), math.log2(i + 2))
+    return costs
+
+
 def alphabet(value: str) -> float:
     """Bits of one brute-force character, from the kinds of characters that occur."""
     size = sum(n for n, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"), (33, "[^A-Za-z0-9]")) if re.search(p, value))
     return math.log2(max(size, 2))
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, words: dict[str, float] = _WORDS) -> float:
     """Least log2 guesses over all segmentations of ``value``.
 
     best[i] is the least cost of the first i characters.  Segments that end at
@@ -117,9 +155,9 @@ def guess_bits(value: str) -> float:
         step = per_char + (0.0 if brute[i] else 1.0)
         if best[i] + step < best[i + 1]:
             best[i + 1], brute[i + 1] = best[i] + step, True
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
+        for j in range(i + 2, min(n, i + LETTERS[1]) + 1):
             for form, extra in ((low, 0.0), (plain, 1.0)):
-                if (cost := _WORDS.get(form[i:j])) is not None:
+                if (cost := words.get(form[i:j])) is not None:
                     cased = 0.0 if value[i:j] == low[i:j] else 1.0
                     reach(i, j, 1.0 + cost + extra + cased)
         if found := _DATE.match(value, i):
@@ -143,11 +181,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def guess_spans(text: str, bits: float = BITS) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, bits: float = BITS, words: dict[str, float] = _WORDS) -> list[tuple[int, int, int]]:
     return [
         (m.start(1), 3, m.start(1) + len(value))
         for m in _CONTEXT.finditer(text)
-        if len(value := m[1].rstrip("\"',;)]}>.")) >= 6 and guess_bits(value) >= bits
+        if len(value := m[1].rstrip("\"',;)]}>.")) >= 6 and guess_bits(value, words) >= bits
     ]
 
 
@@ -158,25 +196,32 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, bits: float = BITS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of each row's whole text."""
 
-    def work(texts: list[str]) -> dict:
-        base = [base_spans(t) for t in texts]
-        guess = [guess_spans(t, bits) for t in texts]
-        counts = [[sum(k == kind for _, k, _ in s) for s in base] for kind in range(3)]
-        return {
-            "n_assign": counts[0], "n_access": counts[1], "n_hex": counts[2],
-            "base_sha256": [hashlib.sha256(joined(s).encode()).hexdigest() for s in base],
-            "spans": [joined(sorted(s + g)) for s, g in zip(base, guess)],
-            "n_guess": [len(g) for g in guess],
-        }
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text))  # bounded: see MOST_WORDS
+
+    def make():
+        words = shared.value
+
+        def work(texts: list[str]) -> dict:
+            base = [base_spans(t) for t in texts]
+            guess = [guess_spans(t, bits, words) for t in texts]
+            counts = [[sum(k == kind for _, k, _ in s) for s in base] for kind in range(3)]
+            return {
+                "n_assign": counts[0], "n_access": counts[1], "n_hex": counts[2],
+                "base_sha256": [hashlib.sha256(joined(s).encode()).hexdigest() for s in base],
+                "spans": [joined(sorted(s + g)) for s, g in zip(base, guess)],
+                "n_guess": [len(g) for g in guess],
+            }
+
+        return work
 
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
-    return map_column(docs, lambda: work, schema, text, (id_col,))
+    return map_column(docs, make, schema, text, (id_col,))
 
 
-def redacted(text: str, mark: str = "[SECRET]", bits: float = BITS) -> str:
+def redacted(text: str, mark: str = "[SECRET]", bits: float = BITS, words: dict[str, float] = _WORDS) -> str:
     """The text with every span replaced by the mark; overlapping spans by one."""
     out, upto = [], 0
-    for a, _, b in sorted(base_spans(text) + guess_spans(text, bits)):
+    for a, _, b in sorted(base_spans(text) + guess_spans(text, bits, words)):
         if b <= upto:
             continue
         if a >= upto:
@@ -190,12 +235,14 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     length brought up to date in rows that changed.  Null texts stay null."""
     at = docs.columns.index(text)
     size_at = docs.columns.index(length) if length in docs.columns else None
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text))  # bounded: see MOST_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             for a, b, old in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                new = [redacted(t, bits=bits) for t in old]
+                new = [redacted(t, bits=bits, words=words) for t in old]
                 if new != old:  # most slices have no secret
                     columns, changed = list(part.columns), [n != o for n, o in zip(new, old)]
                     columns[at] = pa.array([n if c else t for n, c, t in zip(new, changed, columns[at].to_pylist())], columns[at].type)
