@@ -87,6 +87,11 @@ def p22(spark, sf):
     return items(spark, sf).where(F.substring("full_text", 1, 300).rlike(REPO_KEYWORDS)).select("id")
 
 
+@query("P22_repo_keywords_whole", W + f"SELECT id FROM items WHERE coalesce(regexp_matches(title, '{REPO_SQL}'), false) OR coalesce(regexp_matches(full_text, '{REPO_SQL}'), false)")
+def p22_whole(spark, sf):
+    return items(spark, sf).where(F.col("title").rlike(REPO_KEYWORDS) | F.col("full_text").rlike(REPO_KEYWORDS)).select("id")
+
+
 @query("P23_repo_age", W + "SELECT id FROM items WHERE published_at IS NULL OR floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(published_at)) / 1e6 / 86400) <= 10")
 def p23(spark, sf):
     return items(spark, sf).where(filters.fresh_repo(F.col("published_at"), at(), 10)).select("id")
