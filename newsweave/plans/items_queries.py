@@ -387,6 +387,12 @@ def j8(spark, sf):
     return i.where("id % 3 = 0").join(i.where("id % 3 = 1").select("content_hash"), "content_hash", "left_anti").select("id")
 
 
+@query("J8_absent_hashes_all", W + "SELECT id FROM items n WHERE n.id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM items s WHERE s.id % 3 <> 0 AND sha256(s.title || '|' || coalesce(s.url, '')) = sha256(n.title || '|' || coalesce(n.url, '')))")
+def j8_all(spark, sf):
+    i = items(spark, sf).withColumn("content_hash", S.content_hash())
+    return i.where("id % 3 = 0").join(i.where("id % 3 <> 0").select("content_hash"), "content_hash", "left_anti").select("id")
+
+
 @query("J10_distances", "SELECT e.vec_id AS item_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q")
 def j10(spark, sf):
     e = embeddings(spark, sf)

@@ -40,6 +40,13 @@ def p9(spark, sf):
     return recent.withColumn("url_hash", S.url_hash()).join(wanted, "url_hash", "left_semi").select("id")
 
 
+@query("P9_hashes_in_window_all", W + "SELECT id FROM items WHERE substr(sha256(url), 1, 16) IN (SELECT substr(sha256(url), 1, 16) FROM pages) AND created_at >= TIMESTAMP '2024-01-24'")
+def p9_all(spark, sf):
+    wanted = table(spark, sf, "pages").select(S.url_hash().alias("url_hash")).distinct()
+    recent = items(spark, sf).where(F.col("created_at") >= F.lit("2024-01-24").cast("timestamp_ntz"))
+    return recent.withColumn("url_hash", S.url_hash()).join(wanted, "url_hash", "left_semi").select("id")
+
+
 @query("P10_contains", W + "SELECT id FROM items WHERE title ILIKE '%an%' OR source ILIKE '%an%' OR coalesce(summary ILIKE '%an%', false)")
 def p10(spark, sf):
     return items(spark, sf).where(filters.contains_any("an", "title", "source", "summary")).select("id")

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-WHOLE = ["P22_repo_keywords_whole"]
+WHOLE = ["J8_absent_hashes_all", "K16_cascade_all", "K4_briefing_upsert_all", "P22_repo_keywords_whole", "P9_hashes_in_window_all"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -21,3 +21,6 @@ def test_whole_queries_equal_duckdb(spark, name):
     assert plain(df.select(*columns).collect()) == plain(found.fetchall())
 
 
+def test_every_event_is_counted(spark):
+    days = __spark_entry__.queries()["K4_briefing_upsert_all"](spark, SF).collect()
+    assert sum(r.total_items for r in days) == spark.read.parquet(f"{SF}/events.parquet").count()
