@@ -6,12 +6,14 @@ credits each source with its share of the corpus; the sources are served in the
 order of their deficits, each with a piece of at least ``least`` ids (or what
 its document or the window has left), and what a source was given too much or
 too little is carried to the next window.  A group begins with what the groups
-before it owe (a running sum over group totals), so the deficits carry across
-partitions too.  Windows are always full; what is left at the end of a group is
+before it owe (its share of all of them less what it got, by running sums over group
+totals), so the deficits carry across partitions too.  Windows are always full; what is left at the end of a group is
 cut into sequences whose lengths are powers of two, so that nothing is padded.
 
-Null and empty texts are one id (the end mark).  Null sources are a source of
-their own.  Repeated rows are packed once each.  An empty table gives no rows.
+Null and empty texts are one id (the end mark).  Null ids stay null.  Null sources
+are a source of their own.  Repeated rows are packed once each, ties in any order.
+Columns other than id, text and source are not read, whatever their names.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +21,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .bpe import WORD_PATTERN, ArrayBPE, normal_word
 from .common import checkpoint, map_column
@@ -37,6 +37,9 @@ PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, source string"
 )
+NAMES = [field.split()[0] for field in PIECES.split(", ")]
+#: Groups that a running sum is taken in at once, and groups of a task at most, about.
+BLOCK, GROUPS_A_TASK = 4096, 32
 
 
 class WordEncoder:
@@ -50,6 +53,7 @@ class WordEncoder:
 
     LATIN_ONLY = re.compile("[^\x00-\x7fÀ-ÖØ-öø-įı-ňŊ-ž]")
     BITS, KEYS = 21, 4
+    SHORT = 8 * KEYS - 1  # longest pre-token that a key holds, its last byte being the length
 
     def __init__(self, path: str):
         self.bpe = ArrayBPE(path)
@@ -105,10 +109,11 @@ class WordEncoder:
         if len(self.keys) + len(self.long) > CACHE_ENTRIES:
             self.forget()
         entry = np.full(len(begin), -1, np.int64)
-        short = np.flatnonzero(size <= 8 * self.KEYS)
+        short = np.flatnonzero(size <= self.SHORT)
         words = np.lib.stride_tricks.as_strided(data[:8].view(np.uint64), (len(data) - 8,), (1,))
         at, n = begin[short], size[short]
         keys = np.stack([words[at + 8 * k] & self.masks[np.clip(n - 8 * k, 0, 8)] if k < 1 or (n > 8 * k).any() else np.zeros(len(n), np.uint64) for k in range(self.KEYS)], axis=1)
+        keys[:, -1] |= n.astype(np.uint64) << np.uint64(56)
         found, _ = self.find(keys)
         new = np.flatnonzero(found < 0)
         if len(new):
@@ -129,7 +134,7 @@ class WordEncoder:
             back[order] = number[np.cumsum(differ) - 1]
             found[new] = back
         entry[short] = found
-        rest = np.flatnonzero(size > 8 * self.KEYS)
+        rest = np.flatnonzero(size > self.SHORT)
         if len(rest):
             tokens = [data[b : b + k].tobytes() for b, k in zip(begin[rest], size[rest])]
             fresh = {t: i for i, t in enumerate(tokens) if t not in self.long}
@@ -280,46 +285,100 @@ def serve(
         seq += 1
 
 
+def place(dealt: DataFrame, total: int) -> DataFrame:
+    """dealt (part, source, n) -> by part and source: share, owed.
+
+    A source is owed its share of all groups before this one, less what it got in
+    them.  Running sums are taken in blocks of ``BLOCK`` groups and then inside each
+    block, so no task orders all groups of a source.
+    """
+    by = checkpoint(
+        dealt.groupBy("part", "source").agg(F.sum("n").alias("n")).withColumn("block", (F.col("part") / BLOCK).cast("long"))
+    )
+
+    def before(keys: list, order: str) -> Column:
+        over = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(over), F.lit(0))
+
+    def running(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Sum of n over the parts before, by keys."""
+        blocks = df.groupBy(*keys, "block").agg(F.sum("n").alias("n")).withColumn("earlier", before(keys or [F.lit(0)], "block"))
+        blocks = blocks.select(*[F.col(k).alias(f"b_{k}") for k in [*keys, "block"]], "earlier")
+        inside = df.withColumn("inside", before([*keys, "block"], "part"))
+        same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in [*keys, "block"]]
+        return inside.join(blocks, reduce(Column.__and__, same)).select("part", *keys, (F.col("inside") + F.col("earlier")).alias(name))
+
+    parts = running(by.groupBy("part", "block").agg(F.sum("n").alias("n")), [], "all_before")
+    own = running(by, ["source"], "own_before")
+    shares = by.groupBy("source").agg((F.sum("n") / F.lit(max(total, 1))).alias("share")).withColumnRenamed("source", "s")
+    return own.join(parts, "part").join(shares, F.col("source").eqNullSafe(F.col("s"))).select(
+        "part", "source", "share", (F.col("all_before") * F.col("share") - F.col("own_before")).alias("owed")
+    )
+
+
+def fill(rows: list[pa.Array], plan: list[tuple], part: int, window: int, least: int, width: int) -> pa.RecordBatch:
+    """Pieces of one group: rows (source, doc_id, n, ids) in serving order, plan (source, share, owed)."""
+    source, doc_id, n, ids = rows
+    code = {s: i for i, (s, _, _) in enumerate(plan)}
+    queue = np.array([code[s] for s in source.to_pylist()], np.int64)
+    sizes = n.to_numpy()
+    share, owed = (np.array([p[k] for p in plan], float) for k in (1, 2))
+    doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*serve(sizes, queue, owed, share, window, least)))
+    crc, last, data = np.empty(len(doc), np.int64), -1, b""
+    for k in np.argsort(doc, kind="stable"):  # one text's ids at a time
+        if doc[k] != last:
+            last = doc[k]
+            data = np.frombuffer(ids[last].as_buffer(), f"<u{width}").astype("<u4").tobytes()
+        crc[k] = zlib.crc32(data[4 * start[k] : 4 * (start[k] + length[k])])
+    at = pa.array(doc)
+    columns = [doc_id.take(at), start, length, crc, sizes[doc], (part << 32) + seq, offset, source.take(at)]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=NAMES)
+
+
 def pack(
     docs: DataFrame, path: str, end: int = 1, window: int = 2048, least: int = 256,
     group_tokens: int = 1_000_000, id_col: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
-    tokens = checkpoint(tokenize(docs, path, end, id_col, text, source))
+    # the place of a row parts rows that are repeated very often
+    h = F.xxhash64("doc_id", "ids", F.monotonically_increasing_id()).alias("h")
+    tokens = checkpoint(tokenize(docs, path, end, id_col, text, source).select("source", "doc_id", "n", "ids", h))
     width = encoder(path).dtype().itemsize
     total = tokens.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    part = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(groups)).alias("part")
-    dealt = tokens.withColumn("part", part)
-    # What each source got in the groups before this one, against its share.
-    by = checkpoint(dealt.groupBy("part", "source").agg(F.sum("n").alias("n")))
-    parts = by.groupBy(F.col("part").alias("p")).agg(F.sum("n").alias("part_n"))
-    sources = by.groupBy(F.col("source").alias("s")).agg((F.sum("n") / F.lit(max(total, 1))).alias("share"))
-    before = W.Window.partitionBy("source").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
-    grid = (
-        by.join(parts, F.col("part") == F.col("p"))
-        .join(sources, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("owed", F.coalesce(F.sum(F.col("part_n") * F.col("share") - F.col("n")).over(before), F.lit(0.0)))
-        .select(*[F.col(c).alias(c) for c in ("part", "source", "share", "owed")])  # names of its own for the cogroup
-    )
-
-    def fill(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
-        if not len(rows):
-            return pd.DataFrame({c: [] for c in names})
-        rows = rows.sort_values(["doc_id", "n", "ids"], na_position="last", kind="stable", ignore_index=True)
-        plan = plan.sort_values("source", na_position="last", ignore_index=True)
-        code = {s: i for i, s in enumerate(plan["source"].where(plan["source"].notna(), None))}
-        queue = np.array([code[s] for s in rows["source"].where(rows["source"].notna(), None)])
-        sizes = rows["n"].to_numpy()
-        out = list(serve(sizes, queue, plan["owed"].to_numpy(), plan["share"].to_numpy(), window, least))
-        doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*out))
-        data = [np.frombuffer(b, f"<u{width}").astype("<u4").tobytes() for b in rows["ids"]]
-        crc = [zlib.crc32(data[d][4 * a : 4 * (a + k)]) for d, a, k in zip(doc, start, length)]
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"].to_numpy()[doc], "start": start, "length": length, "ids_crc32": crc,
-            "doc_tokens": sizes[doc], "sequence_id": (int(rows["part"].iat[0]) << 32) + seq, "offset": offset,
-            "source": rows["source"].to_numpy()[doc],
-        })[names]
-
-    return dealt.groupBy("part").cogroup(grid.groupBy("part")).applyInPandas(fill, PIECES)
+    dealt = tokens.select(F.pmod("h", F.lit(groups)).alias("part"), "source", "doc_id", "n", "ids")
+    plan = place(dealt, total)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("share", "double"), ("owed", "double"))]
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n", "long"), ("ids", "binary"))]
+    # a group's plan comes before its rows
+    rows = plan.select("part", "source", "share", "owed", *empty).unionByName(dealt.select("part", "source", *none, "doc_id", "n", "ids"))
+    tasks = max(-(-groups // GROUPS_A_TASK), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartition(tasks, "part").sortWithinPartitions("part", F.col("n").isNotNull(), F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "n", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, now_plan, held = None, [], []
+
+        def close() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            return fill([whole.column(c).combine_chunks() for c in ("source", "doc_id", "n", "ids")], now_plan, now, window, least, width)
+
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
+            for a, b in zip(starts, np.r_[starts[1:], len(parts)]):
+                if parts[a] != now:
+                    if held:
+                        yield close()
+                    now, now_plan, held = int(parts[a]), [], []
+                piece = batch.slice(a, b - a)
+                heads = piece.column(4).null_count
+                if heads:
+                    now_plan += zip(*(piece.column(k).slice(0, heads).to_pylist() for k in (1, 2, 3)))
+                if heads < len(piece):
+                    own = piece.slice(heads).select([1, 4, 5, 6])
+                    # a copy: a slice would hold on to the whole batch
+                    held.append(own.take(pa.array(np.arange(len(own)))))
+        if held:
+            yield close()
+
+    return ordered.select("part", "source", "share", "owed", "n", "doc_id", "ids").mapInArrow(run, PIECES)

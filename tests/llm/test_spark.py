@@ -261,3 +261,25 @@ def test_queries_equal_duckdb(spark, name):
     df = queries.queries()[name](spark, SF)
     assert sorted(columns) == sorted(df.columns)
     assert sorted((rounded(r) for r in df.select(*columns).collect()), key=repr) == want
+
+
+def test_packing_keeps_large_ids_beside_null_ones_and_parts_repeated_rows(spark):
+    big = 2**53 + 1
+    rows = spark.createDataFrame([(big, "a b", "s"), (None, "c", None)] + [(5, "the same row again", "s")] * 40, "doc_id long, text string, source string")
+    pieces = packing.pack(rows, WORD, window=16, least=4, group_tokens=32).collect()
+    assert {p.doc_id for p in pieces} == {big, None, 5}
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    assert len({p.sequence_id >> 32 for p in pieces if p.doc_id == 5}) > 2
+
+
+def test_packing_carries_all_groups_deficits(spark):
+    rows = [(p, s, (p * 7 + k * 5) % 11 + 1) for p in range(9000) for k, s in enumerate(["a", None, "c"]) if s != "c" or p % 97 == 0]
+    got = packing.place(spark.createDataFrame(rows, "part long, source string, n long"), sum(r[2] for r in rows)).collect()
+    total, by = sum(r[2] for r in rows), {s: sum(r[2] for r in rows if r[1] == s) for s in ("a", None, "c")}
+    owed, before, own = {}, 0, dict.fromkeys(by, 0)
+    for p in range(9000):
+        mine = [r for r in rows[max(0, p * 2) : p * 3 + 3] if r[0] == p]
+        owed |= {(p, s): before * by[s] / total - own[s] for _, s, _ in mine}
+        for _, s, n in mine:
+            before, own[s] = before + n, own[s] + n
+    assert {(r.part, r.source): r.owed for r in got} == pytest.approx(owed)

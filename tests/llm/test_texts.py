@@ -35,6 +35,19 @@ def test_word_ids_equal_the_library():
     assert n.tolist() == list(map(len, library)) and flat.tolist() == sum(library, [])
 
 
+def test_word_ids_of_control_characters_and_long_words_equal_the_library():
+    rng = random.Random(9)
+    kinds = list("ab-'.\x00\x00\x01\x1f\x7f\u0085 \n") + ["x" * 31, "y" * 32, "z" * 33, "\x00" * 8, "<|endoftext|>", "é"]
+    texts = ["-- --\x00", "!", "!\x00", "!\x00\x00"] + ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    library = Tokenizer.from_file(WORD)
+    encoder = packing.WordEncoder(WORD)
+    for a in range(0, len(texts), 2_000):
+        part = texts[a : a + 2_000]
+        flat, n = encoder.encode(part)
+        ids = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert n.tolist() == list(map(len, ids)) and flat.tolist() == sum(ids, [])
+
+
 def test_packing_serves_every_id_once_and_pads_nothing():
     rng = np.random.default_rng(5)
     sizes, queue = rng.integers(1, 900, 400), rng.integers(0, 3, 400)
