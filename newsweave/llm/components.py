@@ -31,15 +31,17 @@ def _step(arcs: DataFrame, emit: str, broadcast_rows: int) -> DataFrame:
     return pairs.distinct()
 
 
-def connected_components(edges: DataFrame, broadcast_rows: int = BROADCAST_ROWS, rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), root being the least node of its component.
 
-    Self loops and repeated edges are allowed; nodes are of any ordered type.
+    Self loops and repeated edges are allowed; a node that has only such loops has no
+    row.  Edges with a null end are left out.  Nodes are of any ordered type.  Without
+    edges there are no rows.
     """
     big, small = F.greatest("a", "b"), F.least("a", "b")
     now = checkpoint(edges.where("a != b").select(big.alias("x"), small.alias("y")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:  # ends: each round that changes the edges brings nodes nearer to their roots
         state = now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break

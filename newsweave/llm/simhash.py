@@ -99,63 +99,77 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
 def near_lanes(fps: np.ndarray, row: np.ndarray, block: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
     """For each entry (row, block): a word whose lanes are 1 where distance <= radius.
 
-    Carry-save: ``ones`` and ``twos`` count to three, ``over`` is sticky; with a
-    smaller radius the lanes are tested at the end.  Entries whose lanes are all
-    over are dropped every eight planes.
+    Carry-save: each lane has a counter of as many planes as the radius needs, which
+    begins so that the bit beyond the radius carries out of it into the sticky
+    ``over``.  Entries whose lanes are all over are dropped every eight planes.
     """
-    assert radius <= 3
+    width = radius.bit_length()
+    begin = (1 << width) - 1 - radius
     result = np.zeros(len(row), np.uint64)
     live = np.arange(len(row))
-    ones, twos, over = (np.zeros(len(row), np.uint64) for _ in range(3))
+    counter = [np.full(len(row), FULL if begin >> k & 1 else 0, np.uint64) for k in range(width)]
+    over = np.zeros(len(row), np.uint64)
     for b in range(64):
         bit = np.zeros(len(live), np.uint64) - (fps[row[live]] >> np.uint64(b) & np.uint64(1))
-        differ = planes[block[live], b] ^ bit
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
+        carry = planes[block[live], b] ^ bit
+        for k in range(width):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        over |= carry
         if b % 8 == 7:
             keep = over != np.uint64(FULL)
             if not keep.all():
-                live, ones, twos, over = live[keep], ones[keep], twos[keep], over[keep]
+                live, over, counter = live[keep], over[keep], [c[keep] for c in counter]
             if not len(live):
                 return result
-    far = over | {3: np.zeros_like(ones), 2: ones & twos, 1: twos, 0: ones | twos}[radius]
-    result[live] = ~far
+    result[live] = ~over
     return result
 
 
+class Sliced:
+    """Runs of fingerprints in blocks of 64 lanes, a run's last block being padded."""
+
+    def __init__(self, fps: np.ndarray, starts: np.ndarray):
+        self.fps, self.starts = fps, starts
+        self.size = np.diff(np.r_[starts, len(fps)])
+        self.blocks = -(-self.size // 64)
+        self.first_block = np.cumsum(self.blocks) - self.blocks
+        self.run_of = np.repeat(np.arange(len(self.size)), self.size)
+        self.lane = np.arange(len(fps)) - starts[self.run_of]
+        spot = (self.first_block[self.run_of] + self.lane // 64) * 64 + self.lane % 64
+        n = int(self.blocks.sum())
+        padded, filled = np.zeros(n * 64, np.uint64), np.zeros(n * 64, np.uint8)
+        padded[spot], filled[spot] = fps, 1
+        self.planes = np.zeros((n, 64), np.uint64)
+        for a in range(0, n, 4096):
+            self.planes[a : a + 4096] = planes_of(padded[a * 64 : (a + 4096) * 64])
+        self.valid = np.packbits(filled.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+    def near(self, row: np.ndarray, block: np.ndarray, radius: int) -> np.ndarray:
+        """Words of near lanes; lanes past a run's end are 0."""
+        return near_lanes(self.fps, row, block, self.planes, radius) & self.valid[block]
+
+    def pairs(self, row: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, other) of the near lanes but the row's own."""
+        lanes = self.near(row, block, radius)
+        busy = np.flatnonzero(lanes)
+        who, where = np.nonzero(np.unpackbits(lanes[busy].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        a = row[busy[who]]
+        b = self.starts[self.run_of[a]] + (block[busy[who]] - self.first_block[self.run_of[a]]) * 64 + where
+        return a[a != b], b[a != b]
+
+
 def forest(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, least member) of the components inside each run of ``fps``.
 
     Runs begin at ``starts``; only members of one run are compared.
     """
-    size = np.diff(np.r_[starts, len(fps)])
-    blocks = -(-size // 64)
-    first_block = np.cumsum(blocks) - blocks
-    planes = np.zeros((int(blocks.sum()), 64), np.uint64)
-    small = size <= 64
-    # lanes past a run's end hold the complement of zero or more: masked below
-    run_of = np.repeat(np.arange(len(size)), size)
-    lane = np.arange(len(fps)) - starts[run_of]
-    spot = np.zeros(int(blocks.sum()) * 64, np.uint64)
-    spot[(first_block[run_of] + lane // 64) * 64 + lane % 64] = fps
-    for a in range(0, len(planes), 4096):
-        planes[a : a + 4096] = planes_of(spot[a * 64 : (a + 4096) * 64])
-    filled = np.zeros(len(spot), np.uint8)
-    filled[(first_block[run_of] + lane // 64) * 64 + lane % 64] = 1
-    valid = np.packbits(filled.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    cut = Sliced(fps, starts)
+    size, run_of, small = cut.size, cut.run_of, cut.size <= 64
     label = np.arange(len(fps))
     # Runs of one block: all rows at once, then least labels until they settle.
     rows = np.flatnonzero(small[run_of])
     if len(rows):
-        block = first_block[run_of[rows]]
-        lanes = near_lanes(fps, rows, block, planes, radius) & valid[block]
-        own = np.uint64(1) << (lane[rows] % 64).astype(np.uint64)
-        busy = np.flatnonzero(lanes & ~own)
-        who, where = np.nonzero(np.unpackbits(lanes[busy].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        a = rows[busy[who]]
-        b = starts[run_of[a]] + where
+        a, b = cut.pairs(rows, cut.first_block[run_of[rows]], radius)
         while True:
             before = label.copy()
             np.minimum.at(label, a, label[b])
@@ -164,14 +178,12 @@ def forest(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[n
                 break
     # Larger runs: breadth first over words of lanes.
     for r in np.flatnonzero(~small):
-        s, m, w = starts[r], size[r], blocks[r]
+        s, m, w = starts[r], size[r], cut.blocks[r]
         row = np.repeat(np.arange(s, s + m), w)
-        block = np.tile(np.arange(first_block[r], first_block[r] + w), m)
+        block = np.tile(np.arange(cut.first_block[r], cut.first_block[r] + w), m)
         near = np.concatenate([
-            near_lanes(fps, row[k : k + 262_144], block[k : k + 262_144], planes, radius)
-            for k in range(0, len(row), 262_144)
-        ])
-        near = (near & valid[block]).reshape(m, w)
+            cut.near(row[k : k + 262_144], block[k : k + 262_144], radius) for k in range(0, len(row), 262_144)
+        ]).reshape(m, w)
         todo = np.ones(m, bool)
         for seed in range(m):
             if not todo[seed]:

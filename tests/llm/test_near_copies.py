@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from newsweave.llm import near_copies, simhash
+from newsweave.llm.components import connected_components
 
 
 def near(text, rng, changes):
@@ -39,3 +43,54 @@ def test_odd_rows(odd_docs, no_docs):
     kept = near_copies.drop_near_copies(odd_docs)
     assert kept.columns == odd_docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "8", "None"]
     assert near_copies.drop_near_copies(no_docs).count() == 0
+
+
+def test_wide_bit_sliced_distances():
+    rng = np.random.default_rng(3)
+    fps = np.cumsum(rng.integers(0, 2**40, 300, np.uint64), dtype=np.uint64)
+    cut = simhash.Sliced(fps, np.array([0, 5, 70]))
+    rows = np.arange(300)
+    for radius in (0, 1, 2, 3, 6, 13, 20, 26):
+        for run, (s, e) in enumerate([(0, 5), (5, 70), (70, 300)]):
+            width = cut.blocks[run]
+            row = np.repeat(rows[s:e], width)
+            block = np.tile(np.arange(cut.first_block[run], cut.first_block[run] + width), e - s)
+            got = set(zip(*(x.tolist() for x in cut.pairs(row, block, radius))))
+            assert got == {(i, j) for i in range(s, e) for j in range(s, e) if i != j and (int(fps[i]) ^ int(fps[j])).bit_count() <= radius}
+
+
+def test_forest_joins_what_the_radius_joins():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**64, 40, np.uint64)[rng.integers(0, 40, 500)] ^ (np.uint64(1) << rng.integers(0, 64, 500, np.uint64))
+    a, b = near_copies.near_forest(fps, np.zeros(1, np.int64))
+    label, all_pairs = np.arange(500), np.array([(i, j) for i in range(500) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 26])
+    near_copies.join(label, *all_pairs.T)
+    own = np.arange(500)
+    near_copies.join(own, a, b)
+    assert (own == label).all() and len(a) == 500 - len(set(label.tolist()))
+
+
+def test_links_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {(r.a, r.b) for r in near_copies.links(docs).collect()}
+    node = {r.doc_id: r.t for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    shingles = {node[d]: set(near_copies.Shingler()(t.encode()).tolist()) for d, t in texts.items()}
+    alike = set()
+    for a, x in shingles.items():
+        for b, y in shingles.items():
+            if a < b and (both := len(x & y)) and both >= 0.8 * len(x | y):
+                alike.add((a, b))
+    assert found <= alike | {(a, b) for a, b in found if not shingles[a] and not shingles[b]} and alike <= found
+
+
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None), (None, ""), (3, "")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e f"), (3, "")]
+
+
+def test_components_of_a_long_chain_and_of_no_edges(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(None, 7), (900, 900)], "a long, b long")
+    assert {(r.node, r.root) for r in connected_components(chain, broadcast_rows=10).collect()} == {(k, 0) for k in range(301)}
+    assert connected_components(chain.limit(0)).count() == 0
