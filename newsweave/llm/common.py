@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,33 @@ def crc_mod(id_col: str, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % F.lit(modulus)
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, seed: int, rows: int, most_bytes: int, id_col: str, text: str,
+    modulus: int, held_out: int, extra: Sequence[Column] = (),
+) -> DataFrame:
+    """(id, label, text, *extra) of labelled rows whose crc32(id) mod ``modulus`` isn't ``held_out``.
+
+    At most ``rows`` ids, the first by a seeded hash, and of these as many as have
+    ``most_bytes`` of text together, one at least.  An id labelled twice has its larger
+    label; of rows with the same id the one with the least text is taken.
+    """
+    place = F.xxhash64(F.lit(seed), F.col(id_col))
+    chosen = (
+        labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, modulus) != held_out))
+        .groupBy(F.col(id_col).alias("id"), place.alias("place")).agg(F.max(F.col(label).cast("int")).alias("label"))
+        .orderBy("place", "id").limit(rows)
+    )
+    found = docs.select(F.col(id_col).alias("id"), F.struct(text_col(text).alias("text"), *extra).alias("row"))
+    found = checkpoint(found.join(F.broadcast(chosen), "id").groupBy("place", "id", "label").agg(F.min("row").alias("row")))
+    upto, last = 0, None
+    for place, size in found.select("place", F.octet_length("row.text")).orderBy("place").collect():  # ``rows`` at most
+        upto += size
+        if last is not None and upto > most_bytes:
+            break
+        last = place
+    return found.where(F.lit(last is not None) & (F.col("place") <= F.lit(last or 0))).select("id", "label", "row.*")
+
+
 def slices(column: pa.Array, binary: bool = False, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list]]:
     """Ranges of a text column of about ``limit`` bytes each, at least one row, with their
     values (null as empty); only one range is held as Python objects at a time."""

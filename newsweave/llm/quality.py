@@ -9,13 +9,14 @@ numeric metadata columns, binned alike.  The score is the logistic of
 
 which has all pairwise interactions in time linear in the features.
 
-The model is fitted on a bounded sample of labelled rows (``sample``, the first
-by a hash of the id); bin edges come from that sample too.  Everything else
+The model is fitted on a bounded sample of labelled rows (``sample`` ids, the first
+by a hash, and ``most_bytes`` of text); bin edges come from that sample too.  Everything else
 covers every row and whole texts.  Labels, language, source and id are no inputs.
 
 Null texts are empty; an empty text scores by its statistics alone.  A missing
-metadata value has no feature.  Null labels are left out; rows labelled twice
-take the larger label.  Equal texts with equal metadata score alike.  Without
+metadata value has no feature.  Very long texts are read whole.  Null labels are left out; rows labelled
+twice take the larger label; of several rows with one id the one with the least text is
+fitted.  Columns other than id, text and metadata aren't read, whatever their names.  Equal texts with equal metadata score alike.  Without
 labels of both kinds the score is the common label (0.5 without labels).  An
 empty table gives no rows.
 """
@@ -31,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_column, slices, text_col
+from .common import labelled_sample, map_column, slices, text_col
 
 SAMPLE, BITS, FACTORS, BINS = 8_000, 14, 8, 12
 THRESHOLD = 0.7
+#: Bytes of the sample's texts at most.
+MOST_BYTES = 32_000_000
 STATS = (
     "bytes", "words", "mean_word", "upper", "digit", "punctuation", "symbol", "exclamation", "non_ascii",
     "distinct_words", "top_word", "repeated_lines", "mean_line",
@@ -168,17 +171,12 @@ def _metadata(docs: DataFrame, metadata: Sequence[str]) -> list:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, metadata: Sequence[str] = ("n_chars",),
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, most_bytes: int = MOST_BYTES, metadata: Sequence[str] = ("n_chars",),
     id_col: str = "doc_id", text: str = "text", modulus: int = 4, held_out: int = 2, bits: int = BITS,
 ) -> Model:
     """A model of the labelled rows whose crc32(id) mod ``modulus`` isn't ``held_out``."""
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, modulus) != held_out))
-        .groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("__label"))
-        .orderBy(F.xxhash64(F.lit(1), F.col(id_col)), id_col).limit(sample)
-    )
     names = [f"__m{k}" for k in range(len(metadata))]
-    rows = docs.select(id_col, text_col(text).alias("text"), *_metadata(docs, metadata)).join(F.broadcast(chosen), id_col)
+    rows = labelled_sample(docs, labels, label, 1, sample, most_bytes, id_col, text, modulus, held_out, _metadata(docs, metadata))
 
     def make():
         extract = Features(bits)
@@ -192,12 +190,12 @@ def fit(
 
         return work
 
-    found = map_column(rows, make, "words array<int>, stats array<double>", "text", (id_col, "__label", *names), binary=True).toArrow()
-    found = found.sort_by(id_col) if found.num_rows else found
+    found = map_column(rows, make, "words array<int>, stats array<double>", "text", ("id", "label", *names), binary=True).toArrow()
+    found = found.sort_by("id") if found.num_rows else found
     words = [np.asarray(w.values.to_numpy(), np.int64) for w in found["words"]]
     stats = np.array(found["stats"].to_pylist(), float).reshape(len(words), len(STATS))
     extra = [np.array(found[n].to_pylist(), float).reshape(len(words)) for n in names]
-    return train(words, np.column_stack([stats, *extra]), np.array(found["__label"].to_pylist(), float), bits)
+    return train(words, np.column_stack([stats, *extra]), np.array(found["label"].to_pylist(), float), bits)
 
 
 def score(

@@ -11,13 +11,15 @@ text that is long enough would be toxic by their number alone.  So what clean
 texts of the sample have in them, by the number of sentences, is taken off their
 part of the noisy-or; an offending sentence counts in full.
 
-The model is fitted on a bounded sample of labelled rows (``sample``, the
-first by a hash of the id); the bound is a parameter.  Everything else covers
+The model is fitted on a bounded sample of labelled rows (``sample`` ids, the first
+by a hash, and ``most_bytes`` of text); the bounds are parameters.  Everything else covers
 every row and whole texts.  Labels, language, source and id are no inputs.
 
 Null and empty texts have no sentence with words and score as one empty sentence
-(the bias alone).  Null labels are left out; rows labelled twice count as toxic
-if either is.  Equal texts score alike.  Without labels of both kinds the model
+(the bias alone).  Very long texts are scored whole.  Null labels are left out; rows
+labelled twice count as toxic if either is; of several texts with one id the least is
+fitted.  Equal texts score alike.  Columns with clashing names are passed on by
+keep_clean() and not read otherwise.  Without labels of both kinds the model
 scores 0 everywhere.  An empty table gives no rows.
 """
 
@@ -31,12 +33,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import crc_mod, map_column, slices, text_col
+from .common import labelled_sample, map_column, slices
 
 #: Labelled rows that a model is fitted on at most, and hashed words.
 SAMPLE, BITS = 8_000, 18
+#: Bytes of their texts at most.
+MOST_BYTES = 32_000_000
 #: Lengths (bytes) of the beginnings of words that are features too.
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.5
@@ -87,8 +90,8 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 60, least: int = 4, evidence: float = 4.0, rate: float = 0.15, decay: float = 2e-4) -> Model:
-    """Fit by full-batch Adam on the noisy-or likelihood.
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 60, least: int = 4, evidence: float = 4.0, rate: float = 0.15, decay: float = 3e-4, toxic_weight: float = 4.0) -> Model:
+    """Fit by full-batch Adam on the noisy-or likelihood, toxic texts counting ``toxic_weight`` times.
 
     bags: hashed words and words by sentence of each text.  Words in fewer than
     ``least`` of them, or whose share of toxic texts is within ``evidence``
@@ -122,8 +125,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
         z = np.bincount(sentence_of, theta[words], n_sentences) + theta[-1]
         none = np.bincount(bag_of, softplus(z), len(bags))  # -log of no toxic sentence
         p = -np.expm1(-none)
-        # d loss / d z_s: s(z) for clean texts, -(1-P)/P s(z) for toxic ones
-        pull = np.where(y > 0, -np.exp(-none) / np.maximum(p, 0.02), 1.0) / len(bags)
+        # d loss / d z_s: s(z) for clean texts, -(1-P)/P s(z) times their weight for toxic ones
+        pull = np.where(y > 0, -toxic_weight * np.exp(-none) / np.maximum(p, 0.02), 1.0) / len(bags)
         dz = pull[bag_of] / (1.0 + np.exp(-np.clip(z, -60, 60)))
         grad = np.r_[np.bincount(words, dz[sentence_of], len(active)), dz.sum()]
         grad[:-1] += decay * theta[:-1]
@@ -145,23 +148,18 @@ def evidence_of(z: np.ndarray, model: Model, deviations: float = DEVIATIONS) ->
     return float(softplus(z[z >= 0]).sum() + max(softplus(z[z < 0]).sum() - usual, 0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text", modulus: int = 5, held_out: int = 0, bits: int = BITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text: str = "text", modulus: int = 5, held_out: int = 0, bits: int = BITS) -> Model:
     """A model of the labelled rows whose crc32(id) mod ``modulus`` isn't ``held_out``."""
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, modulus) != held_out))
-        .groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("label"))
-        .orderBy(F.xxhash64(F.lit(6), F.col(id_col)), id_col).limit(sample)
-    )
-    rows = docs.select(id_col, text_col(text).alias("text")).join(F.broadcast(chosen), id_col)
+    rows = labelled_sample(docs, labels, label, 6, sample, most_bytes, id_col, text, modulus, held_out)
 
     def work(texts: list[bytes]) -> dict:
         bags = [bag(t, bits) for t in texts]
         return {"words": pa.array([w for w, _ in bags], pa.list_(pa.int32())), "counts": pa.array([c for _, c in bags], pa.list_(pa.int32()))}
 
-    found = map_column(rows, lambda: work, "words array<int>, counts array<int>", "text", (id_col, "label"), binary=True).toArrow()
-    found = found.sort_by(id_col) if found.num_rows else found
+    found = map_column(rows, lambda: work, "words array<int>, counts array<int>", "text", ("id", "label"), binary=True).toArrow()
+    found = found.sort_by("id") if found.num_rows else found
     bags = [
-        (np.asarray(w.values.to_numpy(), np.int64), np.asarray(c.values.to_numpy(), np.int64))
+        (w.values.to_numpy(), np.asarray(c.values.to_numpy(), np.int64))
         for w, c in zip(found["words"], found["counts"])
     ]
     return train(bags, np.array(found["label"].to_pylist(), np.int64), bits)

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from test_texts import all_links, families, labels_of
 
 from newsweave.llm import bottomk, chat, components, mixing, mpegts, packing, quality, queries, secret_scan, simhash, token_counts, toxicity
+from newsweave.llm.common import labelled_sample
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -283,3 +284,16 @@ def test_packing_carries_all_groups_deficits(spark):
         for _, s, n in mine:
             before, own[s] = before + n, own[s] + n
     assert {(r.part, r.source): r.owed for r in got} == pytest.approx(owed)
+
+
+def test_fits_take_one_row_an_id_within_the_bounds(spark):
+    rows = [(1, "bad words", 9)] * 50 + [(1, "a first text", 12)] + [(k, f"text {k}" * 100, 600) for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)] * 2 + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 6, 100, 10**6, "doc_id", "text", 5, 0).collect()
+    assert len({r.id for r in got}) == len(got) > 15 and all(zlib.crc32(str(r.id).encode()) % 5 for r in got)
+    assert {r.text for r in got if r.id == 1} <= {"a first text"}
+    assert labelled_sample(docs, labels, "toxic", 6, 7, 10**6, "doc_id", "text", 5, 0).count() == 7
+    few = labelled_sample(docs, labels, "toxic", 6, 100, 2000, "doc_id", "text", 5, 0).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 2000
+    assert labelled_sample(docs.limit(0), labels, "toxic", 6, 7, 10, "doc_id", "text", 5, 0).count() == 0
