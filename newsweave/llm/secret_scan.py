@@ -12,9 +12,14 @@ of documents (``least_docs`` or more) that have them outside credential contexts
 the places in these lists are the guesses.  At most ``most_words`` words of the
 documents are taken, so what is sent to the workers has a bounded size.
 
+A context begins where a word does.  Addresses without credentials, e-mail addresses
+and placeholders are no secrets, and after "is" a value of letters alone needs
+``PROSE_BITS``, as prose stands there.
+
 Offsets are code points, ends exclusive.  Null and empty texts have no spans.
 Repeated rows give the same spans.  Texts of any length are scanned whole;
-values are scanned whole too, in time proportional to their length.
+values are scanned whole too, in time proportional to their length.  An empty table
+gives no rows.  redact() passes other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_ -]?key|login|pin)["']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}["']?([!-~]{6,})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_ -]?key|login|pin)["']?\s{0,3}([:=]|\bis\b)\s{0,3}["']?([!-~]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 #: Frequent words of passwords, most frequent first; the place is the number of guesses.
@@ -59,6 +64,10 @@ COMMON = (
 ).split()
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 BITS = 40.0
+#: After "is" stands mostly prose, so a value of letters alone needs so many bits.
+PROSE_BITS = 60.0
+#: What only refers to something: addresses without a user's name and password, e-mail addresses, placeholders.
+_REFERENCE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^@\s]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[$%#]?[{(\[<].*|\$\w+|\*+", re.ASCII)
 #: Documents that have a word at least, words of documents at most, and letters of a word.
 LEAST_DOCS, MOST_WORDS, LETTERS = 5, 100_000, (3, 24)
 
@@ -181,11 +190,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def is_guess(sign: str, value: str, bits: float, words: dict[str, float]) -> bool:
+    if len(value) < 6 or _REFERENCE.fullmatch(value):
+        return False
+    prose = value.isalpha() and sign not in ":="
+    return guess_bits(value, words) >= (max(bits, PROSE_BITS) if prose else bits)
+
+
 def guess_spans(text: str, bits: float = BITS, words: dict[str, float] = _WORDS) -> list[tuple[int, int, int]]:
     return [
-        (m.start(1), 3, m.start(1) + len(value))
+        (m.start(2), 3, m.start(2) + len(value))
         for m in _CONTEXT.finditer(text)
-        if len(value := m[1].rstrip("\"',;)]}>.")) >= 6 and guess_bits(value, words) >= bits
+        if is_guess(m[1], value := m[2].rstrip("\"',;)]}>."), bits, words)
     ]
 
 

@@ -17,3 +17,28 @@ def test_prose_gives_no_span(spark):
     kept = {r.doc_id: r.text for r in secret_scan.redact(docs, length=None).collect()}
     # 'token: understanding' is a span of the fixed detector assign
     assert [kept[k] for k in range(len(PLAIN)) if k != 3] == PLAIN[:3] + PLAIN[4:]
+
+
+def test_contexts_begin_at_words_and_references_are_no_secrets():
+    words = {**secret_scan._WORDS, "reset": 8.0, "international": 9.0, "isierung": 12.0}
+    for text in (
+        "spin: characteristically", "password: https://example.com/reset", "login: some.body@example.com", "token: ${SERVICE_TOKEN}",
+        "password: <yourpassword>", "the secret is Internationalisierung", "password: ********",
+    ):
+        assert secret_scan.guess_spans(text, words=words) == [], text
+    for text in ("pin: 83x91Kq7!zz", "db_password = xK9mQ2vLp8", "password is xK9$mQ2vLp8#", "token: https://user:xK9mQ2@example.com/"):
+        assert len(secret_scan.guess_spans(text, words=words)) == 1, text
+
+
+def test_guess_cost_equals_the_least_of_all_segmentations():
+    words = {"pass": 3.0, "word": 5.0, "sword": 6.0}
+
+    def brute(value, i=0):  # brute-force characters and words only; no repeats, walks and dates in these values
+        def cost(seg):
+            letters = len(seg) * secret_scan.alphabet(value)
+            return min(1 + letters, 1 + words[seg] if seg in words else 1 + letters)
+
+        return 0.0 if i == len(value) else min(cost(value[i:j]) + brute(value, j) for j in range(i + 1, len(value) + 1))
+
+    for value in ("password", "passzword", "gkbpass", "swordpqz", "bmpassword", "zmbqk"):
+        assert abs(secret_scan.guess_bits(value, words) - brute(value)) < 1e-9, value
