@@ -4,11 +4,14 @@ A payload of bytes is carried losslessly as one private elementary stream in a
 transport stream of 188-byte packets: a program association table and a program
 map table, then one packetized elementary (PES) packet per access unit, with a
 presentation time stamp, a clock reference and, every ``gap`` units, a random
-access point.  Reading parses both tables (with their CRC), follows the PID they
-name, checks its continuity counter, reassembles the PES packets and returns the
-payload with the time stamps and the packet number of each random access point.
-
-Null and empty texts are a payload of blanks.  Equal texts give equal streams.
+access point.  Reading takes any stream: it parses both tables (with their CRC), follows
+the first elementary stream of the first program, checks its continuity counter,
+reassembles the PES packets, checks their lengths and returns the payload with the time
+stamps and the packet number of each random access point.
+
+Null and empty texts are a payload of blanks.  Equal texts give equal streams.  Texts of
+any length are stored whole, repeated rows once each.  Columns other than id and text
+aren't read, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,77 +102,129 @@ def write_stream(payload: bytes, gap: int = GAP) -> bytes:
 
 @dataclass
 class Stream:
-    payload: bytes
-    pts: list[int]
-    random_access: list[int]
+    payload: bytes  # of whole access units, in order
+    pts: list[int | None]  # by access unit; null where a unit has none
+    random_access: list[int]  # packet numbers
     packets: int
     cc_errors: int
     stream_type: int
     pid: int
+    damaged: list[int]  # access units that lost packets; they have no payload
 
 
-def read_table(packet: bytes, table_id: int) -> bytes:
-    """Body of the section in a table packet; its CRC is checked."""
-    at = 5 + packet[4]
-    length = int.from_bytes(packet[at + 1 : at + 3], "big") & 0xFFF
-    whole = packet[at : at + 3 + length]
-    if whole[0] != table_id or crc32_mpeg(whole):
+def check_section(whole: bytes, table_id: int) -> bytes:
+    """Body of a section; its length and CRC are checked."""
+    if len(whole) < 12 or whole[0] != table_id or crc32_mpeg(whole):
         raise ValueError("damaged program table")
     return whole[8:-4]
 
 
-def read_stream(data: bytes) -> Stream:
-    """Parse a transport stream; raises ValueError where it is damaged."""
-    if len(data) % PACKET:
-        raise ValueError("length isn't a multiple of the packet size")
-    grid = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
-    if (grid[:, 0] != SYNC).any():
-        raise ValueError("lost sync")
-    pids = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    where = {int(p): int(i) for p, i in zip(*np.unique(pids, return_index=True))}
-    pat = _tables(grid[where[PAT_PID]].tobytes(), 0x00)
-    pmt_pid = int.from_bytes(pat[2:4], "big") & 0x1FFF
-    pmt = _tables(grid[where[pmt_pid]].tobytes(), 0x02)
-    info = int.from_bytes(pmt[2:4], "big") & 0xFFF
-    stream_type, pid = pmt[4 + info], int.from_bytes(pmt[5 + info : 7 + info], "big") & 0x1FFF
-    rows = np.flatnonzero(pids == pid)
-    own = grid[rows]
-    has_field, has_payload = own[:, 3] & 0x20 != 0, own[:, 3] & 0x10 != 0
-    counters = own[has_payload, 3] & 15
-    cc_errors = int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
-    begin = np.where(has_field, 5 + own[:, 4].astype(np.int64), 4)
-    flags = np.where(has_field & (own[:, 4] > 0), own[:, 5], 0)
-    starts = np.flatnonzero(own[:, 1] & 0x40 != 0)
-    random_access = rows[np.flatnonzero(flags & 0x40 != 0)].tolist()
-    parts, pts = [], []
-    for a, b in zip(starts, np.r_[starts[1:], len(own)]):
-        plain = own[a:b][begin[a:b] == 4, 4:]
-        first = own[a, begin[a] :].tobytes()
-        if b - a > 1 and begin[b - 1] != 4:
-            pes = first + plain.tobytes() + own[b - 1, begin[b - 1] :].tobytes()
-        else:
-            pes = first + plain.tobytes()
-        if pes[:3] != b"\x00\x00\x01":
-            raise ValueError("no PES start code")
-        length, skip = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
-        pts.append(read_pts(pes[9:14]))
-        parts.append(pes[skip : 6 + length])
-    return Stream(b"".join(parts), pts, random_access, len(grid), cc_errors, stream_type, pid)
+def read_section(packets: np.ndarray, begin: np.ndarray, table_id: int) -> bytes:
+    """Body of the first whole section that begins in these packets of one PID."""
+    whole = b""
+    for packet, at in zip(packets, begin):
+        data = packet[at:].tobytes()
+        if packet[1] & 0x40:  # the pointer leads past the end of the section before
+            whole = data[1 + data[0] :] if data else b""
+        elif whole:
+            whole += data
+        if len(whole) >= 3 and len(whole) >= (size := 3 + (int.from_bytes(whole[1:3], "big") & 0xFFF)):
+            return _section(whole[:size], table_id)
+    raise ValueError("no whole program table")
 
 
 _KNOWN: dict[tuple[bytes, int], bytes] = {}
 
 
-def _tables(packet: bytes, table_id: int) -> bytes:
-    """read_table(), with tables parsed before looked up (streams mostly share them)."""
-    key = (packet, table_id)
+def _section(whole: bytes, table_id: int) -> bytes:
+    """check_section(), with sections checked before looked up (streams mostly share them)."""
+    key = (whole, table_id)
     if key not in _KNOWN:
         if len(_KNOWN) > 1000:
             _KNOWN.clear()
-        _KNOWN[key] = read_table(packet, table_id)
+        _KNOWN[key] = check_section(whole, table_id)
     return _KNOWN[key]
 
 
+def read_pes(pes: bytes) -> tuple[bytes | None, int | None]:
+    """Payload and time stamp of a PES packet; no payload where it is cut short."""
+    if pes[:3] != b"\x00\x00\x01":
+        raise ValueError("no PES start code")
+    if len(pes) < 9 or len(pes) < 9 + pes[8]:
+        return None, None
+    pts = read_pts(pes[9:14]) if pes[7] & 0x80 and pes[8] >= 5 else None
+    end = 6 + int.from_bytes(pes[4:6], "big")
+    if end == 6:  # of unbounded length
+        end = len(pes)
+    return (pes[9 + pes[8] : end] if 9 + pes[8] <= end <= len(pes) else None), pts
+
+
+def read_stream(data: bytes, strict: bool = False) -> Stream:
+    """Parse a transport stream.
+
+    Adaptation fields may stand in any packet, tables may span packets, and a packet
+    that is sent twice counts once.  A unit is damaged if packets are missing in it (by
+    the continuity counter, unless a discontinuity is announced), or if its length
+    isn't what its PES header says; where ``strict``, that is an error.  Raises
+    ValueError where sync, tables, fields or start codes are damaged or missing.
+    """
+    if len(data) % PACKET:
+        raise ValueError("length isn't a multiple of the packet size")
+    grid = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
+    if (grid[:, 0] != SYNC).any():
+        raise ValueError("lost sync")
+    pids = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
+    has_field, has_payload = grid[:, 3] & 0x20 != 0, grid[:, 3] & 0x10 != 0
+    begin = np.where(has_field, 5 + grid[:, 4].astype(np.int64), 4)
+    if (begin > PACKET).any():
+        raise ValueError("adaptation field beyond its packet")
+    if (grid[:, 1] & 0x80 != 0).any():
+        raise ValueError("packet with a transport error")
+
+    def section(pid: int, table_id: int) -> bytes:
+        own = np.flatnonzero((pids == pid) & has_payload)
+        return read_section(grid[own], begin[own], table_id)
+
+    pat = section(PAT_PID, 0x00)
+    programs = [pat[k : k + 4] for k in range(0, len(pat) - 3, 4) if pat[k : k + 2] != b"\0\0"]  # 0 names the network
+    if not programs:
+        raise ValueError("no program")
+    pmt = section(int.from_bytes(programs[0][2:], "big") & 0x1FFF, 0x02)
+    at = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
+    if len(pmt) < at + 5:
+        raise ValueError("no elementary stream")
+    stream_type, pid = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
+
+    rows = np.flatnonzero((pids == pid) & has_payload)
+    if not len(rows):
+        raise ValueError("no packet of the elementary stream")
+    flags = np.where(has_field & (grid[:, 4] > 0), grid[:, 5], 0)
+    step = np.diff(grid[rows, 3] & 15) & 15
+    same = np.r_[False, step == 0]
+    same[same] = (grid[rows[same], 4:] == grid[rows[np.flatnonzero(same) - 1], 4:]).all(axis=1)
+    lost = np.r_[False, step != 1] & ~same & (flags[rows] & 0x80 == 0)
+    rows, lost = rows[~same], lost[~same]
+    starts = np.flatnonzero(grid[rows, 1] & 0x40 != 0)
+    inside = np.arange(PACKET) >= begin[rows, None]
+    body = grid[rows][inside].tobytes()
+    upto = np.r_[0, np.cumsum(PACKET - begin[rows])]
+    parts, pts, damaged = [], [], []
+    for unit, (a, b) in enumerate(zip(starts, np.r_[starts[1:], len(rows)])):
+        pes = body[upto[a] : upto[b]]
+        part, stamp = read_pes(pes)
+        pts.append(stamp)
+        after = pes[4:6] == b"\0\0" and b < len(rows) and lost[b]  # what a unit of unbounded length may have lost at its end
+        if part is None or after or lost[a + 1 : b].any():
+            damaged.append(unit)
+        else:
+            parts.append(part)
+    errors = int(lost.sum())
+    if strict and (errors or damaged or not len(starts)):
+        raise ValueError(f"{errors} gaps in the continuity counter, damaged units {damaged} of {len(starts)}")
+    random_access = rows[flags[rows] & 0x40 != 0].tolist()
+    return Stream(b"".join(parts), pts, random_access, len(grid), errors, stream_type, pid, damaged)
+
+
 def payload_of(text: bytes) -> bytes:
     """The text and blanks up to a positive multiple of 192 bytes."""
     return text.ljust(max(1, -(-len(text) // UNIT)) * UNIT, b" ")
@@ -198,7 +253,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
         out = []
         for t in texts:
             media = write_stream(payload_of(t))
-            back = read_stream(media)
+            back = read_stream(media, strict=True)
             p = back.payload
             out.append((
                 len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media),

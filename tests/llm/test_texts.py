@@ -118,6 +118,79 @@ def test_transport_stream_notices_damage():
         mpegts.read_stream(media[1:])
 
 
+def foreign_stream(units, rng, pid=0x77, twice=0.0, tables_in_pieces=False):
+    """A stream as another writer would make it: fields of any size in any packet, packets
+    without payload, other PIDs between, packets sent twice, units of unbounded length."""
+    counters, out = {}, []
+
+    def put(p, data, start, field=None, payload=True):
+        n = counters.get(p, 0) if payload else counters.get(p, 0) - 1
+        counters[p] = n + 1
+        head = bytes([0x47, (0x40 if start else 0) | p >> 8, p & 255, (0x20 if field is not None else 0) | (0x10 if payload else 0) | n & 15])
+        packet = head + (b"" if field is None else bytes([len(field)]) + field) + data
+        assert len(packet) == 188
+        out.append(packet)
+        if payload and rng.random() < twice:
+            out.append(packet)
+
+    def table(p, body):
+        data = b"\x00" + body
+        if tables_in_pieces:  # the field leaves room for 9 bytes at first
+            put(p, data[:9], True, bytes([0]) + b"\xff" * 173)
+            data = data[9:]
+            put(p, data.ljust(184, b"\xff"), False)
+        else:
+            put(p, data.ljust(184, b"\xff"), True)
+
+    table(0, mpegts.section(0, 1, b"\x00\x00\xe0\x10" + b"\x00\x05\xe1\x23"))
+    table(0x123, mpegts.section(2, 5, (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x03\x05\x01\x00" + b"\x1b" + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00"))
+    for k, unit in enumerate(units):
+        stamp = b"\x80\x05" + mpegts.pts_bytes(1000 * k) if k % 2 else b"\x00\x03\xff\xff\xff"
+        body = b"\x80" + stamp + unit
+        pes = b"\x00\x00\x01\xe0" + (0 if k % 3 == 0 else len(body)).to_bytes(2, "big") + body
+        start = True
+        while pes:
+            room = rng.randint(1, 184)
+            take = pes[:room]
+            field = None if len(take) == 184 else b"" if len(take) == 183 else bytes([0x40 if start and k % 2 else 0]) + b"\xff" * (182 - len(take))
+            put(pid, take, start, field)
+            pes, start = pes[room:], False
+            if rng.random() < 0.2:
+                put(pid, b"", False, b"\x00" + b"\xff" * 182, payload=False)
+            if rng.random() < 0.2:
+                put(0x1FFF, b"\x00" * 184, False)
+    return out
+
+
+def test_transport_stream_of_another_writer():
+    rng = random.Random(7)
+    for n in range(30):
+        units = [rng.randbytes(rng.randint(0, 900)) for _ in range(rng.randint(1, 7))]
+        back = mpegts.read_stream(b"".join(foreign_stream(units, rng, twice=0.3 * (n % 2), tables_in_pieces=n % 3 == 0)), strict=True)
+        assert back.payload == b"".join(units) and back.cc_errors == 0 and back.stream_type == 0x1B and back.pid == 0x77
+        assert back.pts == [1000 * k if k % 2 else None for k in range(len(units))]
+
+
+def test_transport_stream_reports_gaps_and_missing_tables():
+    rng = random.Random(8)
+    units = [rng.randbytes(600) for _ in range(4)]
+    packets = foreign_stream(units, rng)
+    own = [k for k, p in enumerate(packets) if p[1] & 0x1F == 0 and p[2] == 0x77 and p[3] & 0x10]
+    begins = [k for k in own if packets[k][1] & 0x40]
+    inner = next(k for k in own if begins[1] < k < begins[2])
+    cut = b"".join(packets[:inner] + packets[inner + 1 :])
+    back = mpegts.read_stream(cut)
+    assert back.cc_errors == 1 and back.damaged == [1] and back.payload == units[0] + units[2] + units[3]
+    with pytest.raises(ValueError):
+        mpegts.read_stream(cut, strict=True)
+    for bad in (packets[1:], packets[:1], packets[:1] + packets[2:], packets[:2], []):
+        with pytest.raises(ValueError):
+            mpegts.read_stream(b"".join(bad), strict=True)
+    long_field = packets[inner][:3] + b"\x30\xc8" + packets[inner][5:]
+    with pytest.raises(ValueError):
+        mpegts.read_stream(b"".join([*packets[:inner], long_field, *packets[inner + 1 :]]))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "tööl"]), st.lists(st.sampled_from(["[", "<", "/", "\\", "INST]", "</s>", "<s>", "[/ASST]", " ", "x", "TURN ]"]), max_size=8).map("".join)), max_size=5))
 def test_chat_round_trip(turns):
