@@ -37,7 +37,7 @@ _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 class Sketcher:
     """Sketches of UTF-8 texts; hashes of words seen before are looked up."""
 
-    def __init__(self, k: int = K, words: int = WORDS, entries: int = 300_000):
+    def __init__(self, k: int = K, words: int = WORDS, entries: int = 150_000):
         self.k, self.words, self.entries, self.known = k, words, entries, {}
 
     def hashes(self, split: list[bytes]) -> np.ndarray:

@@ -112,5 +112,6 @@ def map_column(
                     + [v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()],
                     names=[*keep, *out],
                 )
+        pa.default_memory_pool().release_unused()  # workers live on for the next stage
 
     return source.mapInArrow(run, ", ".join([*kept, schema]))

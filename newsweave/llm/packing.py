@@ -380,5 +380,6 @@ def pack(
                     held.append(own.take(pa.array(np.arange(len(own)))))
         if held:
             yield close()
+        pa.default_memory_pool().release_unused()
 
     return ordered.select("part", "source", "share", "owed", "n", "doc_id", "ids").mapInArrow(run, PIECES)

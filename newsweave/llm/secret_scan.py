@@ -267,5 +267,6 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
                         columns[size_at] = pa.array(sizes, columns[size_at].type)
                     part = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
                 yield part
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

@@ -64,7 +64,7 @@ def features(word: bytes, mask: int) -> tuple[int, ...]:
     return (zlib.crc32(word) & mask, *(zlib.crc32(b"%d^" % n + word[:n]) & mask for n in STEMS if len(word) >= n))
 
 
-_cached = lru_cache(maxsize=300_000)(features)
+_cached = lru_cache(maxsize=50_000)(features)
 
 
 def sentences(text: bytes) -> tuple[list[set[bytes]], np.ndarray]:
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 class Scorer:
     """Scores of texts; weights of words seen before are looked up."""
 
-    def __init__(self, model: Model, entries: int = 200_000):
+    def __init__(self, model: Model, entries: int = 100_000):
         self.model, self.entries, self.known = model, entries, {}
         self.mask = len(model.weights) - 1
 
@@ -232,5 +232,6 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
         for batch in batches:
             clean = [scorer(t)[0] < threshold for _, _, texts in slices(batch.column(at), binary=True) for t in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
