@@ -79,10 +79,19 @@ NON_CONTENT_SEGMENTS = (
     "signup", "sign-up", "signin", "sign-in", "subscribe", "terms", "tos",
 )
 SCORE_BUCKETS = (("0-10", 0, 10), ("11-50", 11, 50), ("51-100", 51, 100), ("101-250", 101, 250), ("251-500", 251, 500), ("501+", 501, None))
-#: A short list for tests; give your own for a language.
+#: Words that item tokens leave out (English, Spanish, and frequent words of the field).
 STOPWORDS = (
-    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "be",
-    "it", "this", "that", "as", "el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "por", "con", "para", "ai", "new",
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from",
+    "as", "into", "through", "during", "before", "after", "above", "below", "between", "out", "off", "over", "under",
+    "again", "further", "then", "once", "and", "but", "or", "nor", "not", "so", "yet", "both", "each", "few", "more",
+    "most", "other", "some", "such", "no", "only", "own", "same", "than", "too", "very", "just", "about", "up", "its",
+    "it", "this", "that", "these", "those", "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her",
+    "they", "them", "their", "what", "which", "who", "whom", "how", "when", "where", "why", "all", "if", "there", "here",
+    "el", "la", "los", "las", "un", "una", "unos", "unas", "de", "del", "en", "con", "por", "para", "al", "es", "son",
+    "fue", "ser", "como", "mas", "pero", "su", "sus", "se", "le", "lo", "que", "y", "o", "e", "ni", "si", "ya", "ha",
+    "han", "hay",
+    "ai", "model", "new", "data", "using", "based", "learning",
 )
 
 

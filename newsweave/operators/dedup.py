@@ -69,10 +69,11 @@ def unseen_by_url(new: DataFrame, stored: DataFrame, as_of: Column, days: int =
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float = DEFAULT.title_similarity, by: list[str] = ()) -> DataFrame:
     """Pairs (a_id, b_id, similarity) of titles at or above the threshold.
 
-    left and right have id, title and the columns of ``by``.  A shared piece is
-    needed, and cheap bounds come before the UDF: both lossless.  Where
-    similarity s is at least t, LCS >= t (la + lb) / 2, so the lengths' ratio is
-    at least t / (2 - t), and sums of common letters bound LCS from above.
+    left and right have id, title and the columns of ``by``.  Titles meet by those
+    columns; without any, ``right`` must be small, as every title meets it.  Cheap
+    bounds come before the UDF, without loss: where similarity s is at least t,
+    LCS >= t (la + lb) / 2, so the lengths' ratio is at least t / (2 - t), and sums of
+    common letters bound LCS from above.
     """
     ratio = max(DEFAULT.title_length_ratio, threshold / (2 - threshold))
     a = left.select(F.col("id").alias("a_id"), F.col("title").alias("a"), *[F.col(c).alias(f"a_{c}") for c in by], _letters("title").alias("al"))
@@ -106,12 +107,12 @@ def unseen_by_title(new: DataFrame, stored: DataFrame, as_of: Column, settings:
     return new.join(seen, "id", "left_anti")
 
 
-def min_label_components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
+def min_label_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): least id reachable, for undirected edges (a_id, b_id), by min-label propagation."""
     both = edges.select("a_id", "b_id").unionByName(edges.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).distinct()
     both = cut(both)
     label = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
+    while True:  # as many rounds as the longest shortest path has links
         near = both.join(label, F.col("b_id") == F.col("id")).groupBy("a_id").agg(F.min("component").alias("near"))
         new = cut(
             label.join(near, F.col("id") == F.col("a_id"), "left")
@@ -124,10 +125,14 @@ def min_label_components(edges: DataFrame, nodes: DataFrame, rounds: int = 100)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of the session, or a temporary one where none is set."""
+    """Checkpoint in the shared folder of the session; a temporary one is taken only where
+    none is set and driver and executors are one process."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsweave-"))
     return df.checkpoint()
 
 
@@ -187,7 +192,7 @@ def similar_pairs(df: DataFrame, threshold: float, token_col: str = "tokens") ->
     return full.where(S.jaccard(F.col("at"), F.col("bt")) >= threshold).select("a_id", "b_id")
 
 
-def greedy_jaccard(df: DataFrame, settings: Settings = DEFAULT, rounds: int = 1000) -> DataFrame:
+def greedy_jaccard(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Rows in order, each kept unless it resembles one kept before.
 
     The sparse pairs are resolved in rounds: rows without an undecided earlier
@@ -199,9 +204,7 @@ def greedy_jaccard(df: DataFrame, settings: Settings = DEFAULT, rounds: int = 10
     lead = cut(least_by(marked.withColumn("_set", key), ["_set"], F.struct("ord")).drop("_set"))
     open_pairs = cut(similar_pairs(lead, settings.jaccard))
     dropped = df.sparkSession.createDataFrame([], lead.select("id").schema)
-    for _ in range(rounds):
-        if not open_pairs.limit(1).count():
-            break
+    while open_pairs.limit(1).count():  # each round decides the first open row at least
         # an earlier side that is no later side of an open pair is kept; its later sides go
         sure = open_pairs.select(F.col("a_id").alias("id")).distinct().join(open_pairs.select(F.col("b_id").alias("id")).distinct(), "id", "left_anti")
         go = open_pairs.join(sure, F.col("a_id") == F.col("id")).select(F.col("b_id").alias("id")).distinct()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import scalars as S
-from .dedup import collapse_variants
+from .dedup import collapse_variants, cut
 from .filters import since_hours
 
 
@@ -69,6 +71,55 @@ def nearest(vectors: DataFrame, query: Column, limit: int, embedding: str = "emb
     return vectors.withColumn("distance", S.cosine_distance(F.col(embedding), query)).orderBy(F.col("distance").asc_nulls_last(), "item_id").limit(limit)
 
 
+def nearest_of_all(vectors: DataFrame, queries: DataFrame, limit: int, block: int = 2048) -> DataFrame:
+    """T8 for many queries: (query_id, item_id, distance), the ``limit`` nearest other items
+    of each row of ``queries`` (item_id, embedding), ties by id; zero vectors come last.
+
+    Queries go out in blocks of bounded size; every task keeps its nearest of each query,
+    and only these are shuffled.  Null vectors and ids are no items.
+    """
+    flat = vectors.select("item_id", "embedding").where(F.col("item_id").isNotNull() & F.col("embedding").isNotNull())
+    asked = queries.select("item_id", "embedding").where(F.col("item_id").isNotNull() & F.col("embedding").isNotNull())
+    placed = running_sum(asked, "item_id", F.lit(1), "_n").withColumn("_block", F.floor((F.col("_n") - 1) / block))
+    placed = cut(placed.select("item_id", "embedding", "_block"))
+    out = None
+    for k in range((placed.agg(F.max("_block")).first()[0] or 0) + 1):
+        part = placed.where(F.col("_block") == k).select("item_id", "embedding").toArrow()  # ``block`` rows
+        ids, matrix = part["item_id"].to_numpy(), _rows(part["embedding"].combine_chunks())
+        found = flat.mapInArrow(_nearest_of(ids, matrix, limit), "query_id long, item_id long, distance double")
+        out = found if out is None else out.unionByName(found)
+    best = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "item_id")
+    return out.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= limit).drop("_rn")
+
+
+def _rows(column) -> np.ndarray:
+    """A list column as rows of a matrix of unit length (zero rows stay)."""
+    matrix = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+    size = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+    return np.divide(matrix, size, out=np.full_like(matrix, np.nan), where=size > 0)
+
+
+def _nearest_of(ids: np.ndarray, matrix: np.ndarray, limit: int):
+    def run(batches):
+        far = np.full((len(ids), limit), np.inf)
+        who = np.full((len(ids), limit), -1, np.int64)
+        for batch in batches:
+            own, rows = batch.column(0).to_numpy().astype(np.int64), _rows(batch.column(1))
+            for a in range(0, len(own), 1024):
+                d = 1.0 - matrix @ rows[a : a + 1024].T if len(ids) else np.zeros((0, len(own[a : a + 1024])))
+                d = np.where(np.isnan(d), 9.0, d)  # zero vectors after all others
+                d[ids[:, None] == own[None, a : a + 1024]] = np.inf
+                d = np.hstack([far, d])
+                w = np.hstack([who, np.broadcast_to(own[a : a + 1024], (len(ids), len(own[a : a + 1024])))])
+                order = np.lexsort((w, d), axis=1)[:, :limit]
+                far, who = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+        q, k = np.nonzero(np.isfinite(far))
+        distance = pa.array(far[q, k], mask=far[q, k] > 8)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q].astype(np.int64)), pa.array(who[q, k]), distance], names=["query_id", "item_id", "distance"])
+
+    return run
+
+
 def recent_or_all(items: DataFrame, vectors: DataFrame, query: Column, as_of: Column, limit: int, days: int = 30, topic: str | None = None) -> DataFrame:
     """Nearest among the last ``days``; if these are fewer than ``limit``, among all."""
     joined = items.join(vectors, items["id"] == vectors["item_id"])

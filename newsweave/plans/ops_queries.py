@@ -277,8 +277,8 @@ def d4(spark, sf):
 
 
 GREEDY = f""", k AS (SELECT id, ord, {TOKENS} AS t FROM items),
-l AS (SELECT id, ord, t FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN len(t) = 0 THEN id::VARCHAR ELSE array_to_string(list_sort(t), ' ') END ORDER BY ord) AS rn FROM k) WHERE rn = 1),
-p AS (SELECT a.id AS a_id, b.id AS b_id FROM l a JOIN l b ON a.ord < b.ord AND least(len(a.t), len(b.t)) >= 0.65 * greatest(len(a.t), len(b.t)) AND len(a.t) > 0 AND len(b.t) > 0
+l AS MATERIALIZED (SELECT id, ord, t FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN len(t) = 0 THEN id::VARCHAR ELSE array_to_string(list_sort(t), ' ') END ORDER BY ord) AS rn FROM k) WHERE rn = 1),
+p AS MATERIALIZED (SELECT a.id AS a_id, b.id AS b_id FROM l a JOIN l b ON a.ord < b.ord AND least(len(a.t), len(b.t)) >= 0.65 * greatest(len(a.t), len(b.t)) AND len(a.t) > 0 AND len(b.t) > 0
  WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE >= 0.65)"""
 
 
@@ -290,7 +290,11 @@ def d5p(spark, sf):
     return dedup.similar_pairs(lead, DEFAULT.jaccard)
 
 
-@query("D5_greedy_jaccard")
+@query("D5_greedy_jaccard", W.replace("WITH", "WITH RECURSIVE", 1) + GREEDY + """,
+nb AS MATERIALIZED (SELECT b_id, list(a_id) AS near, row_number() OVER (ORDER BY any_value(l.ord)) AS n FROM p JOIN l ON l.id = p.b_id GROUP BY b_id),
+g(n, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT nb.n, CASE WHEN len(near) > len(list_intersect(near, gone)) THEN list_append(gone, b_id) ELSE gone END FROM g JOIN nb ON nb.n = g.n + 1)
+SELECT id, title FROM items WHERE id IN (SELECT id FROM l) AND NOT list_contains((SELECT gone FROM g ORDER BY n DESC LIMIT 1), id)""")
 def d5(spark, sf):
     return dedup.greedy_jaccard(items(spark, sf)).select("id", "title")
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import scalars as S
 from ..operators import dedup, filters, rank, store
+from ..streaming.jobs import breaker_states
 
 Provider = Callable[[DataFrame], DataFrame]
 
@@ -106,6 +107,66 @@ def run_record(counters: dict[str, int], status: str = "success", error: str | N
     return {**counters, "status": "empty" if status == "success" and not counters.get("extracted") else status, "error_message": error and error[:500]}
 
 
+def append_record(spark: SparkSession, path: str, run_id: str, started_at: str, sources: list[str], record: dict) -> DataFrame:
+    """K6: append a run to the log at ``path`` (one row a source) and return the whole log."""
+    counts = {k: v for k, v in record.items() if k not in ("status", "error_message")}
+    rows = [(run_id, started_at, s, record["status"], record.get("error_message"), counts) for s in sources]
+    schema = "run_id string, started_at string, source string, status string, error_message string, counters map<string, long>"
+    spark.createDataFrame(rows, schema).withColumn("started_at", F.col("started_at").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def closed_sources(log: DataFrame | None, sources: list[str], as_of: str, threshold: int = 3, reset_seconds: int = 3600) -> list[str]:
+    """Sources whose breaker isn't open at ``as_of``, by the run log."""
+    if log is None:
+        return sources
+    due = log.sparkSession.createDataFrame([(s, as_of) for s in sources], "source string, started_at string")
+    due = due.select("source", F.col("started_at").cast("timestamp_ntz").alias("started_at"), F.lit("~").alias("run_id"), F.lit("due").alias("status"))
+    past = log.where(F.col("started_at") < F.lit(as_of).cast("timestamp_ntz")).select("source", "started_at", "run_id", "status")
+    states = breaker_states(past.unionByName(due), threshold, reset_seconds).where("status = 'due' and not open")
+    found = {r.source for r in states.select("source").collect()}  # one row a source
+    return [s for s in sources if s in found]
+
+
+def run_scheduled(
+    spark: SparkSession, sources: list[str], run: Callable[[list[str]], tuple[DataFrame, dict[str, int]]], log_path: str, log: DataFrame | None, run_id: str, as_of: str,
+) -> DataFrame | None:
+    """Breaker gate, run_pipeline() over the sources that pass, and a row of the log.
+
+    ``run`` takes the sources and returns what run_pipeline() does.  A run that raises is
+    logged as an error of all its sources; it doesn't end the schedule.  Without a source
+    that passes nothing is run or logged.
+    """
+    active = closed_sources(log, sources, as_of)
+    if not active:
+        return None
+    try:
+        merged, counters = run(active)
+        record = run_record(counters)
+    except Exception as error:  # noqa: BLE001  whatever fails is the breaker's matter
+        merged, record = None, run_record({}, "error", str(error))
+    append_record(spark, log_path, run_id, as_of, active, record)
+    return merged
+
+
+#: F32: what stands before and after the items of a prompt; give your own for another service.
+PROMPT = ("Classify the items below for a news digest. Reply with a JSON array of objects with idx, topic, relevance (0 to 1) and summary.\nTopics: {topics}\nItems:", "\n")
+
+
+def prompts(df: DataFrame, settings: Settings = DEFAULT, size: int = 10, template: tuple[str, str] = PROMPT, order: str = "ord") -> DataFrame:
+    """F32: (batch, n, prompt) of every ``size`` rows in order; texts are previewed by 200 characters."""
+    placed = batches(df, size, order).withColumn("pos", F.row_number().over(Window.partitionBy("batch").orderBy(order)) - 1)
+    preview = F.substring(F.coalesce("full_text", F.lit("")), 1, 200)
+    line = F.concat(
+        F.lit("\n["), "pos", F.lit("] title: "), F.coalesce("title", F.lit("")), F.lit("\n    source: "), F.coalesce("source", F.lit("")),
+        F.lit(" | score: "), F.coalesce("score", F.lit(0)), F.lit("\n    text: "), preview,
+    )
+    lines = placed.select("batch", "pos", line.alias("line")).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    head = template[0].replace("{topics}", ", ".join(settings.topics))
+    items_text = F.concat_ws("", F.transform("lines", lambda x: x.line))
+    return lines.select("batch", F.size("lines").cast("long").alias("n"), F.concat(F.lit(head), items_text, F.lit(template[1])).alias("prompt"))
+
+
 def context_blocks(items: DataFrame) -> DataFrame:
     """Numbered text blocks (place, block) for retrieval answers."""
     line = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), value))

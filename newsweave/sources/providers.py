@@ -6,6 +6,7 @@ The service itself is a function given by the caller; offline tests give a stub.
 from __future__ import annotations
 
 import json
+import random
 import time
 from collections.abc import Callable, Iterator
 
@@ -58,6 +59,11 @@ def classify_with(service: Callable[[list[str]], str], batch: int = 10) -> Calla
     return provider
 
 
+def with_jitter(sleep: Callable[[float], None] = time.sleep, share: float = 0.3, draw: Callable[[], float] = random.random) -> Callable[[float], None]:
+    """Waits up to ``share`` longer, so that callers don't come back all at once."""
+    return lambda seconds: sleep(seconds * (1.0 + share * draw()))
+
+
 def with_retry(fetch: Callable[[str], tuple[int, str, float | None]], tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
     """fetch gives (status, body, seconds to wait or None).  429 waits as told, 5xx 2, 4, ... seconds; then it raises."""
 
