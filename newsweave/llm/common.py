@@ -75,6 +75,12 @@ def labelled_sample(
     return found.where(F.lit(last is not None) & (F.col("place") <= F.lit(last or 0))).select("id", "label", "row.*")
 
 
+def one_row(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key, the same whatever the order: the one with the least hash."""
+    names = df.columns
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
+
+
 def slices(column: pa.Array, binary: bool = False, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list]]:
     """Ranges of a text column of about ``limit`` bytes each, at least one row, with their
     values (null as empty); only one range is held as Python objects at a time."""

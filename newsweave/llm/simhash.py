@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_column, slices
+from .common import checkpoint, map_column, one_row, slices
 from .components import connected_components
 
 WORDS, RADIUS, MOST = 3, 3, 4096
@@ -319,4 +319,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     first = pairs.groupBy("root").agg(F.min(F.struct(F.col(id_).isNull(), F.col(id_), F.col("fp"))).alias("k"))
     keep = first.select(F.col(f"k.{id_}").alias("keep_id"), F.col("k.fp").alias("keep_fp"))
     kept = marked.join(keep, F.col(id_).eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")), "left_semi")
-    return kept.dropDuplicates([id_, "fp"]).drop("fp").toDF(*names)
+    return one_row(kept, id_, "fp").drop("fp").toDF(*names)
