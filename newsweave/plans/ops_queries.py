@@ -254,14 +254,15 @@ def d2(spark, sf):
     return dedup.unseen_by_title(dedup.unseen_by_url(new, stored, at()), stored, at()).select("id", "title")
 
 
-def daily_topics(spark, sf):
-    """Items with a topic for each day, so that most topics are within the limit of 100 rows."""
-    return items(spark, sf).withColumn("topic", F.concat_ws("@", "topic", F.to_date("ed")))
+def batch_topics(spark, sf):
+    """Items with a topic for every 300 rows in order, so that topics are within the limit of
+    100 rows at any size of the input."""
+    return items(spark, sf).withColumn("topic", F.concat_ws("@", "topic", F.floor(F.col("ord") / 300)))
 
 
 @query("D3_event_dedup")
 def d3(spark, sf):
-    return dedup.event_dedup(daily_topics(spark, sf)).select("id", "topic", "trending", "priority", "source_count")
+    return dedup.event_dedup(batch_topics(spark, sf)).select("id", "topic", "trending", "priority", "source_count")
 
 
 COLLAPSE_SQL = r"""f AS (SELECT *, CASE WHEN source = 'huggingface' AND contains(title, '/') THEN lower(regexp_replace(regexp_replace(substr(title, position('/' IN title) + 1), '-(GGUF|GPTQ|AWQ|ONNX|EXL2|MLX|FP8|FP16|NVFP4|abliterated|censored)$', '', 'i'), '-\d+\.?\d*B(-A\d+\.?\d*B)?', '', 'gi')) END AS family
@@ -301,7 +302,7 @@ def d5(spark, sf):
 
 @query("J6_title_pairs")
 def j6(spark, sf):
-    i = dedup.within_limit(daily_topics(spark, sf)).select("id", "title", "topic")
+    i = dedup.within_limit(batch_topics(spark, sf)).select("id", "title", "topic")
     return dedup.similar_titles(i, i, 0.80, ["topic"]).where("a_id < b_id").select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
 
 
