@@ -39,7 +39,32 @@ def f2(spark, sf):
     return items(spark, sf).select("id", S.url_hash().alias("url_hash"))
 
 
-@query("F3_title_similarity")
+def title_ratio(a: str, b: str) -> str:
+    """SQL of F3 by the textbook table of longest common subsequences, one row for each letter of ``a``."""
+    row, cell = "row_", "cell"
+    step = (
+        f"list_reduce(list_prepend([0]::BIGINT[], list_transform(range(1, len(y) + 1), lambda j: [j]::BIGINT[])), "
+        f"lambda {cell}, j: list_append({cell}, CASE WHEN y[j[1]] = c[1] THEN {row}[j[1]] + 1 ELSE greatest({row}[j[1] + 1], {cell}[len({cell})]) END))"
+    )
+    lcs = f"list_reduce(list_prepend(list_transform(range(len(y) + 1), lambda j: 0::BIGINT), list_transform(x, lambda c: [c]::BIGINT[])), lambda {row}, c: {step})[-1]"
+    letters = lambda t: f"list_transform(str_split(lower({t}), ''), lambda c: unicode(c)::BIGINT)"
+    ratio = f"least(length({a}), length({b})) / greatest(length({a}), length({b}))::DOUBLE"
+    return (
+        f"CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' OR {ratio} < 0.6 THEN 0 "
+        f"ELSE (SELECT 2.0::DOUBLE * {lcs} / (len(x) + len(y)) FROM (SELECT {letters(a)} AS x, {letters(b)} AS y)) END"
+    )
+
+
+#: Titles t(id, title) with bit masks of their letters (80 letters fit into HUGEINT), for COMMON.
+MASKS = """lt AS MATERIALIZED (SELECT id, lower(title) AS l, length(title) AS n, str_split(lower(title), '') AS cs FROM t WHERE title <> ''),
+mk AS MATERIALIZED (SELECT id, l, n, cs, (1::HUGEINT << len(cs)) - 1 AS f, map_from_entries(list_transform(list_distinct(cs), lambda ch: (ch, list_sum(list_transform(range(len(cs)), lambda i: CASE WHEN cs[i + 1] = ch THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT))) AS m FROM lt)"""
+#: Similarity of rows a and b of mk: zero bits left by the bit-parallel recurrence are the common subsequence.
+COMMON = """CASE WHEN least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE < 0.6 THEN 0 ELSE 2.0::DOUBLE * (len(a.cs) - bit_count(
+ list_reduce(list_prepend(a.f, list_transform(b.cs, lambda ch: coalesce(a.m[ch], 0::HUGEINT))), lambda v, h: ((v + (v & h)) | (v - (v & h))) & a.f))) / (len(a.cs) + len(b.cs)) END"""
+
+
+@query("F3_title_similarity", W + f"""SELECT id, round({title_ratio("title", "b")}, 6) AS similarity
+FROM (SELECT a.id, a.title, b.title AS b FROM items a JOIN items b ON b.id = a.id + 1)""")
 def f3(spark, sf):
     i = items(spark, sf).select("id", "title")
     following = i.select((F.col("id") - 1).alias("id"), F.col("title").alias("b"))
@@ -247,7 +272,11 @@ def d1(spark, sf):
     return dedup.hash_dedup(items(spark, sf)).select("id", "part", "place")
 
 
-@query("D2_seen_filter")
+@query("D2_seen_filter", W + f""", st AS (SELECT * FROM items WHERE id % 2 = 1 AND created_at >= TIMESTAMP '2024-01-31' - INTERVAL {DEFAULT.seen_days} DAY),
+fresh AS (SELECT id, title FROM items WHERE id % 2 = 0 AND (url IS NULL OR url = '' OR url NOT IN (SELECT url FROM st WHERE url <> ''))),
+newest AS (SELECT id FROM st ORDER BY created_at DESC, id LIMIT {DEFAULT.seen_titles}), t AS (SELECT id, title FROM items), {MASKS}
+SELECT id, title FROM fresh WHERE id NOT IN (SELECT a.id FROM mk a, mk b WHERE a.id IN (SELECT id FROM fresh) AND b.id IN (SELECT id FROM newest)
+ AND {COMMON} >= {DEFAULT.title_similarity})""")
 def d2(spark, sf):
     i = items(spark, sf)
     new, stored = i.where("id % 2 = 0"), i.where("id % 2 = 1")
@@ -260,7 +289,19 @@ def batch_topics(spark, sf):
     return items(spark, sf).withColumn("topic", F.concat_ws("@", "topic", F.floor(F.col("ord") / 300)))
 
 
-@query("D3_event_dedup")
+BATCHES_SQL = "bt AS (SELECT *, concat_ws('@', topic, ord // 300) AS batch, count(*) OVER (PARTITION BY topic, ord // 300) AS size FROM items)"
+EDGES_SQL = f"""{BATCHES_SQL}, t AS (SELECT id, title FROM bt WHERE size <= {DEFAULT.event_group_limit}), {MASKS},
+ed AS MATERIALIZED (SELECT a.id AS a_id, b.id AS b_id, {COMMON} AS similarity FROM mk a JOIN bt x ON x.id = a.id JOIN bt y ON y.batch = x.batch AND y.id > x.id JOIN mk b ON b.id = y.id
+ WHERE {COMMON} >= {DEFAULT.title_similarity})"""
+
+
+@query("D3_event_dedup", W.replace("WITH", "WITH RECURSIVE", 1) + f""", {EDGES_SQL},
+both_ AS (SELECT a_id, b_id FROM ed UNION ALL SELECT b_id, a_id FROM ed),
+reach(id, c) AS (SELECT id, id FROM items UNION SELECT b_id, c FROM reach JOIN both_ ON a_id = id),
+comp AS (SELECT id, min(c) AS component FROM reach GROUP BY id),
+won AS (SELECT bt.*, count(*) OVER (PARTITION BY component) AS source_count,
+ row_number() OVER (PARTITION BY component ORDER BY coalesce(score, 0) + 100 * relevance_score DESC, ord) AS rn FROM bt JOIN comp USING (id))
+SELECT id, batch AS topic, source_count > 1 OR trending AS trending, CASE WHEN source_count > 1 THEN greatest(1, priority - 1) ELSE priority END AS priority, source_count FROM won WHERE rn = 1""")
 def d3(spark, sf):
     return dedup.event_dedup(batch_topics(spark, sf)).select("id", "topic", "trending", "priority", "source_count")
 
@@ -300,7 +341,7 @@ def d5(spark, sf):
     return dedup.greedy_jaccard(items(spark, sf)).select("id", "title")
 
 
-@query("J6_title_pairs")
+@query("J6_title_pairs", W + f", {EDGES_SQL} SELECT a_id, b_id, round(similarity, 6) AS similarity FROM ed")
 def j6(spark, sf):
     i = dedup.within_limit(batch_topics(spark, sf)).select("id", "title", "topic")
     return dedup.similar_titles(i, i, 0.80, ["topic"]).where("a_id < b_id").select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
