@@ -13,7 +13,7 @@ from ..sources import payloads
 from ..streaming import jobs
 from . import pipeline
 from .bindings import ITEMS_SQL, RUNS_SQL, SURROGATE_KEYWORDS, at, embeddings, items, runs, table
-from .ops_queries import CRED, REL, SURROGATE, THRESHOLD, TONE_SQL, TOP, VELOCITY, class_sql
+from .ops_queries import CRED, REL, SURROGATE, THRESHOLD, TONE_SQL, TOP, VELOCITY, class_sql, unescaped
 from .registry import query
 
 W = f"WITH {ITEMS_SQL}"
@@ -296,12 +296,13 @@ def f43(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.concat(F.try_parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url("url", F.lit("AUTHORITY")), F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))).alias("canonical"))
 
 
-@query("F43_join_url")
+@query("F43_join_url", r"""SELECT page_id, root || CASE WHEN parent = '' THEN '/' ELSE parent END || 'x/y?z#w' AS joined FROM (
+ SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS root, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*/|/)', 1), '[^/]+/$', '') AS parent FROM pages)""")
 def f43b(spark, sf):
     return table(spark, sf, "pages").select("page_id", udfs.join_url("url", F.lit("../x/y?z#w")).alias("joined"))
 
 
-@query("F44_page_titles")
+@query("F44_page_titles", f"SELECT page_id, trim(regexp_replace({unescaped("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS title FROM pages")
 def f44(spark, sf):
     return table(spark, sf, "pages").select("page_id", udfs.parse_page("html")["title"].alias("title"))
 
@@ -318,7 +319,8 @@ def f47(spark, sf):
     return items(spark, sf).select("id", merged["lane"].alias("lane"), merged["classifier"].alias("classifier"))
 
 
-@query("F49_public_address")
+@query("F49_public_address", """SELECT event_id, a IS NOT NULL AND NOT (a IN (0, 10, 127) OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 169 AND b = 254 OR a = 198 AND b IN (18, 19)) AS public
+FROM (SELECT event_id, user_id % 224 AS a, event_id % 256 AS b FROM events)""")
 def f49(spark, sf):
     ip = F.concat_ws(".", F.col("user_id") % 224, F.col("event_id") % 256, F.lit(1), F.lit(1))
     return table(spark, sf, "events").select("event_id", udfs.public_address(ip).alias("public"))

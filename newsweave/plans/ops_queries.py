@@ -71,7 +71,14 @@ def f3(spark, sf):
     return i.join(following, "id").select("id", F.round(udfs.title_similarity("title", "b"), 6).alias("similarity"))
 
 
-@query("F4_strip_html")
+def unescaped(text: str) -> str:
+    """SQL: the named entities that these pages have, the ampersand last."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", "\xa0"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+@query("F4_strip_html", f"SELECT page_id, trim(regexp_replace({unescaped("regexp_replace(html, '<[^>]+>', '', 'g')")}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS text FROM pages")
 def f4(spark, sf):
     return table(spark, sf, "pages").select("page_id", udfs.strip_html("html").alias("text"))
 
@@ -100,8 +107,11 @@ def f10b(spark, sf):
     return pipeline.classify(items(spark, sf)).select("id", "topic", "relevance", "matches")
 
 
-@query("F11_priority", W + """SELECT id, greatest(1, least(5, CASE WHEN coalesce(score, 0) > 500 THEN 1 WHEN coalesce(score, 0) > 200 THEN 2 WHEN coalesce(score, 0) > 50 THEN 3 WHEN coalesce(score, 0) > 10 THEN 4 ELSE 5 END
-+ CASE WHEN relevance_score >= 0.95 THEN -2 WHEN relevance_score >= 0.9 THEN -1 WHEN relevance_score <= 0.75 THEN 1 ELSE 0 END + CASE WHEN source IN ('rss', 'arxiv') THEN -1 ELSE 0 END))::INT AS priority FROM items""")
+PRIORITY = """greatest(1, least(5, CASE WHEN coalesce(score, 0) > 500 THEN 1 WHEN coalesce(score, 0) > 200 THEN 2 WHEN coalesce(score, 0) > 50 THEN 3 WHEN coalesce(score, 0) > 10 THEN 4 ELSE 5 END
++ CASE WHEN relevance_score >= 0.95 THEN -2 WHEN relevance_score >= 0.9 THEN -1 WHEN relevance_score <= 0.75 THEN 1 ELSE 0 END + CASE WHEN source IN ('rss', 'arxiv') THEN -1 ELSE 0 END))::INT"""
+
+
+@query("F11_priority", W + f"SELECT id, {PRIORITY} AS priority FROM items")
 def f11(spark, sf):
     return items(spark, sf).select("id", S.priority().alias("priority"))
 
@@ -208,7 +218,8 @@ def f29(spark, sf):
     return items(spark, sf).select("id", S.prepare_text().alias("text"))
 
 
-@query("F31_model_reply")
+@query("F31_model_reply", W + r""", r AS (SELECT id, regexp_extract('Here: ```json' || chr(10) || '[{"idx": ' || id % 10 || ', "topic": "models", "relevance": 0.9}]' || chr(10) || '```', '(?s)(\[.*\])', 1)::JSON AS reply FROM items)
+SELECT id, json_array_length(reply)::INT AS n, (reply->0->>'idx')::INT AS idx FROM r""")
 def f31(spark, sf):
     reply = F.concat(F.lit('Here: ```json\n[{"idx": '), F.col("id") % 10, F.lit(', "topic": "models", "relevance": 0.9}]\n```'))
     return items(spark, sf).select("id", F.size(pipeline.model_reply(reply)).alias("n"), pipeline.model_reply(reply)[0]["idx"].alias("idx"))
@@ -289,19 +300,29 @@ def batch_topics(spark, sf):
     return items(spark, sf).withColumn("topic", F.concat_ws("@", "topic", F.floor(F.col("ord") / 300)))
 
 
-BATCHES_SQL = "bt AS (SELECT *, concat_ws('@', topic, ord // 300) AS batch, count(*) OVER (PARTITION BY topic, ord // 300) AS size FROM items)"
-EDGES_SQL = f"""{BATCHES_SQL}, t AS (SELECT id, title FROM bt WHERE size <= {DEFAULT.event_group_limit}), {MASKS},
+def event_edges_sql(rows: str, topic: str) -> str:
+    """CTEs: bt, the rows with their topic as ``batch``, and ed, pairs of similar titles of topics within the limit."""
+    return f"""bt AS (SELECT *, {topic} AS batch, count(*) OVER (PARTITION BY {topic}) AS size FROM {rows}), t AS (SELECT id, title FROM bt WHERE size <= {DEFAULT.event_group_limit}), {MASKS},
 ed AS MATERIALIZED (SELECT a.id AS a_id, b.id AS b_id, {COMMON} AS similarity FROM mk a JOIN bt x ON x.id = a.id JOIN bt y ON y.batch = x.batch AND y.id > x.id JOIN mk b ON b.id = y.id
  WHERE {COMMON} >= {DEFAULT.title_similarity})"""
 
 
-@query("D3_event_dedup", W.replace("WITH", "WITH RECURSIVE", 1) + f""", {EDGES_SQL},
+def event_winners_sql(rows: str, topic: str) -> str:
+    """D3 of the CTE ``rows``, after WITH RECURSIVE."""
+    return event_edges_sql(rows, topic) + """,
 both_ AS (SELECT a_id, b_id FROM ed UNION ALL SELECT b_id, a_id FROM ed),
-reach(id, c) AS (SELECT id, id FROM items UNION SELECT b_id, c FROM reach JOIN both_ ON a_id = id),
+reach(id, c) AS (SELECT id, id FROM bt UNION SELECT b_id, r.c FROM reach r JOIN both_ ON a_id = r.id),
 comp AS (SELECT id, min(c) AS component FROM reach GROUP BY id),
 won AS (SELECT bt.*, count(*) OVER (PARTITION BY component) AS source_count,
- row_number() OVER (PARTITION BY component ORDER BY coalesce(score, 0) + 100 * relevance_score DESC, ord) AS rn FROM bt JOIN comp USING (id))
-SELECT id, batch AS topic, source_count > 1 OR trending AS trending, CASE WHEN source_count > 1 THEN greatest(1, priority - 1) ELSE priority END AS priority, source_count FROM won WHERE rn = 1""")
+ row_number() OVER (PARTITION BY component ORDER BY coalesce(score, 0) + 100 * relevance_score DESC, ord) AS rn FROM bt JOIN comp ON bt.id = comp.id),
+winners AS (SELECT id, batch AS topic, relevance_score, source_count > 1 OR trending AS trending, CASE WHEN source_count > 1 THEN greatest(1, priority - 1) ELSE priority END AS priority, source_count FROM won WHERE rn = 1)"""
+
+
+WR_ = W.replace("WITH", "WITH RECURSIVE", 1)
+BATCH = "concat_ws('@', topic, ord // 300)"
+
+
+@query("D3_event_dedup", f"{WR_}, {event_winners_sql('items', BATCH)} SELECT id, topic, trending, priority, source_count FROM winners")
 def d3(spark, sf):
     return dedup.event_dedup(batch_topics(spark, sf)).select("id", "topic", "trending", "priority", "source_count")
 
@@ -318,13 +339,15 @@ def d4(spark, sf):
     return dedup.collapse_variants(i).select("id", "family")
 
 
-GREEDY = f""", k AS (SELECT id, ord, {TOKENS} AS t FROM items),
+def greedy_sql(rows: str) -> str:
+    """CTEs of D5: l, one row of each token set, and p, pairs of similar sets."""
+    return f""", k AS (SELECT id, ord, {TOKENS} AS t FROM {rows}),
 l AS MATERIALIZED (SELECT id, ord, t FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN len(t) = 0 THEN id::VARCHAR ELSE array_to_string(list_sort(t), ' ') END ORDER BY ord) AS rn FROM k) WHERE rn = 1),
 p AS MATERIALIZED (SELECT a.id AS a_id, b.id AS b_id FROM l a JOIN l b ON a.ord < b.ord AND least(len(a.t), len(b.t)) >= 0.65 * greatest(len(a.t), len(b.t)) AND len(a.t) > 0 AND len(b.t) > 0
  WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE >= 0.65)"""
 
 
-@query("D5_similar_pairs", W + GREEDY + " SELECT a_id, b_id FROM p")
+@query("D5_similar_pairs", W + greedy_sql("items") + " SELECT a_id, b_id FROM p")
 def d5p(spark, sf):
     k = items(spark, sf).withColumn("tokens", S.item_tokens(DEFAULT.stopwords))
     key = F.when(F.size("tokens") == 0, F.col("id").cast("string")).otherwise(F.concat_ws(" ", F.array_sort("tokens")))
@@ -332,16 +355,20 @@ def d5p(spark, sf):
     return dedup.similar_pairs(lead, DEFAULT.jaccard)
 
 
-@query("D5_greedy_jaccard", W.replace("WITH", "WITH RECURSIVE", 1) + GREEDY + """,
+GREEDY_STEPS = """,
 nb AS MATERIALIZED (SELECT b_id, list(a_id) AS near, row_number() OVER (ORDER BY any_value(l.ord)) AS n FROM p JOIN l ON l.id = p.b_id GROUP BY b_id),
 g(n, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
-  SELECT nb.n, CASE WHEN len(near) > len(list_intersect(near, gone)) THEN list_append(gone, b_id) ELSE gone END FROM g JOIN nb ON nb.n = g.n + 1)
-SELECT id, title FROM items WHERE id IN (SELECT id FROM l) AND NOT list_contains((SELECT gone FROM g ORDER BY n DESC LIMIT 1), id)""")
+  SELECT nb.n, CASE WHEN len(near) > len(list_intersect(near, gone)) THEN list_append(gone, b_id) ELSE gone END FROM g JOIN nb ON nb.n = g.n + 1),
+greedy AS (SELECT id FROM l WHERE NOT list_contains((SELECT gone FROM g ORDER BY n DESC LIMIT 1), id))
+"""
+
+
+@query("D5_greedy_jaccard", WR_ + greedy_sql("items") + GREEDY_STEPS + "SELECT id, title FROM items WHERE id IN (SELECT id FROM greedy)")
 def d5(spark, sf):
     return dedup.greedy_jaccard(items(spark, sf)).select("id", "title")
 
 
-@query("J6_title_pairs", W + f", {EDGES_SQL} SELECT a_id, b_id, round(similarity, 6) AS similarity FROM ed")
+@query("J6_title_pairs", W + f", {event_edges_sql('items', BATCH)} SELECT a_id, b_id, round(similarity, 6) AS similarity FROM ed")
 def j6(spark, sf):
     i = dedup.within_limit(batch_topics(spark, sf)).select("id", "title", "topic")
     return dedup.similar_titles(i, i, 0.80, ["topic"]).where("a_id < b_id").select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
@@ -456,12 +483,16 @@ def c1(spark, sf):
     return merged.select("url_hash", "id", "title", "topic", "composite_score", "action")
 
 
-@query("C2_classification", None)
+@query("C2_classification", f"""{WR_}, {class_sql(SURROGATE_KEYWORDS)},
+kept AS (SELECT * REPLACE (relevance AS relevance_score, {PRIORITY.replace("relevance_score", "relevance")} AS priority) FROM classed WHERE matches >= 1 AND relevance >= {DEFAULT.min_relevance} AND topic IN ({", ".join(f"'{t}'" for t in DEFAULT.topics)})),
+{event_winners_sql("kept", "topic")} SELECT id, topic, relevance_score, priority, source_count FROM winners""")
 def c2(spark, sf):
     return pipeline.run_classification(items(spark, sf), SURROGATE).select("id", "topic", "relevance_score", "priority", "source_count")
 
 
-@query("C3_validation")
+@query("C3_validation", f"""{WR_}, {TONE_SQL}, kept AS (SELECT *, {CRED} AS credibility_score FROM toned
+ WHERE round({CRED}, 9) >= {DEFAULT.min_credibility} AND (source NOT IN ('hackernews', 'reddit') OR metadata LIKE '%leading%' OR coalesce(score, 0) >= {DEFAULT.min_social_score}))
+{greedy_sql("kept")}{GREEDY_STEPS} SELECT id, round(credibility_score, 6) AS credibility_score FROM kept WHERE id IN (SELECT id FROM greedy)""")
 def c3(spark, sf):
     return pipeline.run_validation(items(spark, sf)).select("id", F.round("credibility_score", 6).alias("credibility_score"))
 
