@@ -111,23 +111,24 @@ def parse_page(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "text", "links"])
 
 
-@F.pandas_udf(T.BooleanType())
-def public_address(host: pd.Series) -> pd.Series:
+def is_public(address: str | None) -> bool:
     """False for IP literals that are private, loopback, link-local, reserved or no address."""
+    try:
+        ip = ipaddress.ip_address((address or "").strip("[]"))
+    except ValueError:
+        return False
+    return not (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified)
 
-    def check(h):
-        try:
-            ip = ipaddress.ip_address((h or "").strip("[]"))
-        except ValueError:
-            return False
-        return not (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified)
 
-    return host.map(check)
+@F.pandas_udf(T.BooleanType())
+def public_address(host: pd.Series) -> pd.Series:
+    """is_public() of each row."""
+    return host.map(is_public)
 
 
 @F.pandas_udf(T.BooleanType())
 def safe_url(url: pd.Series) -> pd.Series:
-    """http(s) and no private IP literal; names are not resolved here."""
+    """http(s) and no private IP literal; names are not resolved here (providers.safe_get does)."""
 
     def check(u):
         try:
@@ -138,9 +139,9 @@ def safe_url(url: pd.Series) -> pd.Series:
         if parts.scheme not in ("http", "https") or not host or host == "localhost":
             return False
         try:
-            ip = ipaddress.ip_address(host)
+            ipaddress.ip_address(host)
         except ValueError:
             return True
-        return not (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified)
+        return is_public(host)
 
     return url.map(check)

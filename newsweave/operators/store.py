@@ -77,6 +77,18 @@ def search_vector() -> Column:
     return F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "full_text", "source")), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
+def with_search_vector(items: DataFrame) -> DataFrame:
+    """Items with the stored column ``search_vector``; rows that have one keep it.
+    Write this once; searches then read the words instead of splitting whole texts each time."""
+    stored = F.coalesce("search_vector", search_vector()) if "search_vector" in items.columns else search_vector()
+    return items.withColumn("search_vector", stored)
+
+
+def search_words(items: DataFrame) -> Column:
+    """The stored words, or those made now of items that were stored without."""
+    return F.col("search_vector") if "search_vector" in items.columns else search_vector()
+
+
 def rescored(items: DataFrame, as_of: Column, only_missing: bool = False) -> DataFrame:
     """Live composite for all rows or for those without one."""
     live = S.composite(as_of)

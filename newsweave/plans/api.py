@@ -116,7 +116,7 @@ class NewsApi:
     def search(self, q: str, topic=None, source=None, date_from=None, date_to=None, sort_by="relevance", limit=50, offset=0):
         if not q.strip():
             raise ValueError("q is empty")
-        words = store.search_vector()
+        words = store.search_words(self.items)
         ranked = self._filtered(source, topic, None, date_from, date_to).withColumn("_words", words)
         ranked = ranked.withColumn("rank", rank.text_rank(F.col("_words"), filters.query_words(q)))
         kept = ranked.where(filters.matches_all(F.col("_words"), q) | filters.contains_any(q, "title", "source", "summary")).drop("_words")

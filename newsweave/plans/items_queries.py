@@ -139,7 +139,7 @@ def q13(spark, sf):
 
 def search(df, text: str, limit: int, sort_by: str = "relevance"):
     """Full-text or contains; by rank, date or score."""
-    words = store.search_vector()
+    words = store.search_words(df)
     marked = df.withColumn("_words", words).withColumn("rank", F.round(rank.text_rank(F.col("_words"), filters.query_words(text)), 6))
     kept = marked.where(filters.matches_all(F.col("_words"), text) | filters.contains_any(text, "title", "source", "summary"))
     order = {"relevance": [F.col("rank").desc()], "date": [rank.newest()], "score": [rank.by_score()]}[sort_by]

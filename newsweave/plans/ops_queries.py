@@ -73,7 +73,7 @@ def f3(spark, sf):
 
 def unescaped(text: str) -> str:
     """SQL: the named entities that these pages have, the ampersand last."""
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", "\xa0"), ("amp", "&")):
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "\xa9"), ("middot", "\xb7"), ("amp", "&")):
         text = f"replace({text}, '&{name};', '{char}')"
     return text
 
