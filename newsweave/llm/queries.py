@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, chat, mixing, mpegts, packing, quality, secret_scan, simhash, token_counts, toxicity
+from . import bottomk, chat, divergence, mixing, mpegts, packing, quality, secret_scan, simhash, token_counts, toxicity, vector_codes
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +72,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_quality, op2_secret_scan, op3_fingerprints, op4_chat, op5_simhash, op6_toxicity, op7_mixing, op8_packing,
-        op9_transport_stream, op10_token_counts,
+        op9_transport_stream, op10_token_counts, op12_source_divergence, op13_vector_codes,
     ]
     return {f.__name__: f for f in own}
 
@@ -138,4 +146,4 @@ FROM w GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op7_mixing": OP7_SQL}
+    return {"op4_chat": OP4_SQL, "op7_mixing": OP7_SQL, "op12_source_divergence": divergence.SQL, "op13_vector_codes": vector_codes.SQL}
