@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, chat, divergence, mixing, mpegts, packing, quality, secret_scan, simhash, token_counts, toxicity, vector_codes
+from . import bottomk, chat, divergence, mixing, mpegts, packing, pii, quality, secret_scan, simhash, token_counts, toxicity, vector_codes
 from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -83,7 +87,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = [
         op1_quality, op2_secret_scan, op3_fingerprints, op4_chat, op5_simhash, op6_toxicity, op7_mixing, op8_packing,
-        op9_transport_stream, op10_token_counts, op12_source_divergence, op13_vector_codes,
+        op9_transport_stream, op10_token_counts, op11_pii, op12_source_divergence, op13_vector_codes,
     ]
     return {f.__name__: f for f in own}
 
