@@ -86,7 +86,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 (n + 5) / (total + 5 terms)); null where there is nothing to divide by."""
-    over, under = ((n + PRIOR).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")), (total + PRIOR * terms).cast("decimal(20,0)")
+    over = (n + PRIOR).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
+    under = F.nullif((total + PRIOR * terms).cast("decimal(20,0)"), F.lit(0))
     return ((over - F.pmod(over, under)) / under).cast("long") + 1
 
 

@@ -5,24 +5,25 @@ shingles is ``least`` = 0.8 or more; classes are the connected components of
 these links.  (Operator 5, ``simhash``, has a contract of its own: three words,
 three bits.)
 
-At similarity 0.8 SimHashes differ in about ten of 64 bits, more than pieces of a
-fingerprint can find in linear time, so texts meet in buckets by MinHash: 20 bands of
-five least hashes each, at least one of which a pair of similarity 0.8 shares with
-probability 0.9996.  In a bucket, SimHashes are compared bit-sliced, as in operator 5
-but within wider radii (``RADII``, to 26 bits, which a pair of similarity 0.8 exceeds
-once in 10^7): all pairs of a bucket of up to eight texts, and of larger ones a spanning
-forest, nearest links first, so a bucket gives links in proportion to its size.  The
-links are then checked on the whole texts, exactly.
-
-A bucket of over ``most`` texts isn't compared as it is: its texts are dealt anew to
-buckets by each other band they share as well, which a pair of similarity 0.8 does with
-probability 0.9995.  Texts that are still too many then share ten least hashes, so nearly
-all are alike; they are compared in overlapping parts, in another order in each bucket.
-
-Equal texts are one node.  Null, empty and blank texts are one class.  A class
-keeps the row with the least id (nulls last); rows with the same id and text count
-once (of those that differ elsewhere, one by a hash of the row).  An empty
-table gives no rows.
+Families first, exactly then.  At similarity 0.8 SimHashes differ in about ten of 64 bits, more
+than pieces of a fingerprint can find in linear time, so texts meet in buckets by MinHash: 20 bands
+of five least hashes each, at least one of which a pair of similarity 0.8 shares with
+probability 0.9996.  In a bucket, SimHashes are compared bit-sliced, as in operator 5 but within
+wider radii (``RADII``, to 26 bits, which a pair of similarity 0.8 exceeds once in 10^7), and give a
+spanning forest of what is near.  A bucket of over ``most`` texts is taken as near as a whole.  The
+components of these unchecked links are families: a link between near copies never leaves one.
+
+In a family all pairs of texts are then compared by their whole sets of shingles.  A family is
+cut into blocks of about 1,024 texts and 512,000 shingles, and each two blocks meet in
+one group, whose common shingles are counted by products of bit matrices; so a family of any size is
+compared whole, in pieces of bounded size, and gives a spanning forest of checked links for
+each two blocks.  Texts outside families move nowhere.
+
+Texts are told apart by 128 bits (MD5).  Equal texts are one node.  Null, empty and blank texts are
+one class.  A class keeps the row with the least id (nulls last); rows with the same id and text
+count once (of those that differ elsewhere, one by a hash of the row).  Very long texts are
+shingled in parts and compared by their sets of hashes.  Columns are renamed inside, so no name
+clashes.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bottomk import _MIX, _MIX2, Sketcher
@@ -40,8 +41,10 @@ from .components import connected_components
 from .simhash import Sliced
 
 WORDS, LEAST, BANDS, ROWS, MOST = 5, 0.8, 20, 5, 4096
-#: Radii (bits) by which a bucket's forest grows, and members of a bucket that are compared in all pairs.
-RADII, ALL = (6, 13, 20, 26), 8
+#: Radii (bits) by which a bucket's forest grows.
+RADII = (6, 13, 20, 26)
+#: Texts and shingles (about) in a block of a family; columns of a bit matrix.
+MEMBERS, SHINGLES, COLUMNS = 1024, 512_000, 4096
 #: Rows (of a few numbers each) that are broadcast at most.
 BROADCAST_ROWS = 500_000
 _DRAWN = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False)
@@ -82,13 +85,6 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.uint64]:
     return key * _MIX2, _BITS[2 * count > len(shingles)].sum(dtype=np.uint64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """|A and B| / |A or B| of two arrays of shingles; two empty ones are alike."""
-    a, b = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (a, b) enough to join what all of them join; ``label`` is brought up to date."""
     chosen_a, chosen_b = [a[:0]], [b[:0]]
@@ -109,17 +105,13 @@ def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 
 
 def near_forest(fps: np.ndarray, starts: np.ndarray, radii: tuple[int, ...] = RADII) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of members of one run: all within the last radius in runs of up to
-    ``ALL`` members; in others a spanning forest, by one radius after another."""
+    """A spanning forest (a, b) of the members of each run that are within the last radius, by one
+    radius after another."""
     cut = Sliced(fps, starts)
-    few = cut.size <= ALL
-    rows = np.flatnonzero(few[cut.run_of])
-    a, b = cut.pairs(rows, cut.first_block[cut.run_of[rows]], radii[-1])
-    found = [(a[a < b], b[a < b])]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     label = np.arange(len(fps))
-    rows = np.flatnonzero(~few[cut.run_of])
-    width = cut.blocks[cut.run_of[rows]]
-    row = np.repeat(rows, width)
+    width = cut.blocks[cut.run_of]
+    row = np.repeat(np.arange(len(fps)), width)
     block = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width) + cut.first_block[cut.run_of[row]]
     for radius in radii:
         for k in range(0, len(row), 65_536):
@@ -127,108 +119,171 @@ def near_forest(fps: np.ndarray, starts: np.ndarray, radii: tuple[int, ...] = RA
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def compare_bands(dealt: DataFrame, most: int, last: bool) -> DataFrame:
-    """Rows (band, t, fp) -> pairs of a bucket (kind 0, a, b), and the rows (kind 1, band, t)
-    of buckets of over ``most`` texts; in the ``last`` level these are compared in overlapping parts."""
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+def compare_bands(dealt: DataFrame, most: int) -> DataFrame:
+    """Rows (band, t, fp) -> a forest (a, b) of near members of each bucket; all members of a
+    bucket of over ``most``, one after another."""
 
     def close(band: np.ndarray, t: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
         size = np.diff(np.r_[starts, len(band)])
         many = np.repeat(size > 1, size)
         kept = size[size > 1]
-        x, y = near_forest(fp[many], np.cumsum(kept) - kept)
         t = t[many]
-        return out(0, np.minimum(t[x], t[y]), np.maximum(t[x], t[y]))
+        x, y = near_forest(fp[many], np.cumsum(kept) - kept)
+        return _edges(t[x], t[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        flowing = None  # a bucket that is already too large
+        flowing = None  # band and last member of a bucket that is already too large
         for batch in batches:
             new = [batch.column(i).to_numpy() for i in range(3)]
             held = [np.concatenate([h, c.view(h.dtype)]) for h, c in zip(held, new)]
             if flowing is not None and len(held[0]):
-                same = int(np.searchsorted(held[0], flowing, side="right"))
-                yield out(1, held[0][:same], held[1][:same])
+                same = int(np.searchsorted(held[0], flowing[0], side="right"))
+                chain = np.r_[flowing[1], held[1][:same]]
+                yield _edges(chain[:-1], chain[1:])
+                flowing = (flowing[0], chain[-1]) if same == len(held[0]) else None
                 held = [h[same:] for h in held]
-                flowing = None if len(held[0]) else flowing
             if not len(held[0]):
                 continue
             end = int(np.searchsorted(held[0], held[0][-1]))
             if end:
                 bands, size = np.unique(held[0][:end], return_counts=True)
-                large = np.repeat((size > most) & (not last), size)
+                large = np.repeat(size > most, size)
                 if large.any():
-                    yield out(1, held[0][:end][large], held[1][:end][large])
+                    chain, band = held[1][:end][large], held[0][:end][large]
+                    same = band[1:] == band[:-1]
+                    yield _edges(chain[:-1][same], chain[1:][same])
                 yield close(*(h[:end][~large] for h in held))
                 held = [h[end:] for h in held]
-            if not last and len(held[0]) > most:
-                flowing = held[0][0]
-                yield out(1, held[0], held[1])
+            if len(held[0]) > most:
+                yield _edges(held[1][:-1], held[1][1:])
+                flowing = (held[0][0], held[1][-1])
                 held = [h[:0] for h in held]
-            while len(held[0]) > most:
-                yield close(*(h[:most] for h in held))
-                held = [h[most - most // 4 :] for h in held]
         if len(held[0]):
             yield close(*held)
+        pa.default_memory_pool().release_unused()
 
-    ordered = dealt.repartition("band").sortWithinPartitions("band", F.xxhash64("band", "t"))
-    return ordered.select("band", "t", "fp").mapInArrow(run, "kind int, a long, b long")
-
-
-def candidates(nodes: DataFrame, most: int = MOST) -> DataFrame:
-    """Rows (t, bands, fp) -> pairs (a, b), a < b, that may be near copies."""
-    done = checkpoint(compare_bands(nodes.select(F.explode("bands").alias("band"), "t", "fp"), most, False))
-    found = done.where("kind = 0").select("a", "b")
-    large = done.where("kind = 1").select(F.col("a").alias("band"), F.col("b").alias("t"))
-    if large.limit(1).count():
-        others = F.explode(F.filter("bands", lambda b: b != F.col("band")))
-        again = large.join(nodes, "t").select("band", "t", "fp", others.alias("other"))
-        # a pair shares two bands whichever of them is first
-        both = F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band")
-        found = found.unionByName(compare_bands(again.select(both, "t", "fp").distinct(), most, True).select("a", "b"))
-    return found.distinct()
+    ordered = dealt.repartition("band").sortWithinPartitions("band")
+    return ordered.select("band", "t", "fp").mapInArrow(run, "a long, b long")
+
+
+def checked(sets: list[np.ndarray], first: int, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the pairs of sorted sets whose similarity is ``least`` or more;
+    if 0 < ``first`` < len(sets), only pairs of one of the first so many with another one."""
+    size = np.array([len(x) for x in sets])
+    across = (np.arange(len(sets)) < first) if first < len(sets) else None
+    columns, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[where]
+    row = np.repeat(np.arange(len(sets)), size)
+    row, place = row[place >= 0], place[place >= 0]
+    if len(sets) > 2:  # in the order of their columns, to fill one matrix after another
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    total = int((count > 1).sum())
+    if len(sets) == 2:
+        both[0, 1] = total
+    else:
+        for k in range(0, total, COLUMNS):
+            a, b = np.searchsorted(place, [k, k + COLUMNS])
+            bits = np.zeros((len(sets), min(COLUMNS, total - k)), np.float32)
+            bits[row[a:b], place[a:b] - k] = 1
+            both += bits @ bits.T  # whole numbers below 2^24
+    a, b = np.nonzero(np.triu(both >= least * (size[:, None] + size[None, :] - both) - 1e-6, 1) | np.triu((size[:, None] + size[None, :]) == 0, 1))
+    if across is not None:
+        a, b = a[across[a] != across[b]], b[across[a] != across[b]]
+    return join(np.arange(len(sets)), a, b)
+
+
+def check(dealt: DataFrame, least: float = LEAST) -> DataFrame:
+    """Rows (root, i, j, block, t, shingles), where blocks i and j of a family meet -> a forest (a, b)
+    of each group's near copies.  Shingles are sorted sets of 64-bit hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, firsts, seconds = None, [], []
 
-def check(pairs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Rows (a, b, text_a, text_b) -> (a, b) of those whose similarity is ``least`` or more."""
+        def close() -> pa.RecordBatch:
+            members = firsts + seconds
+            found = _edges(np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if len(members) > 1 and (firsts or group[1] == group[2]):
+                t = np.array([m[0] for m in members], np.int64)
+                a, b = checked([np.frombuffer(m[1], np.uint64) for m in members], len(firsts) if group[1] != group[2] else len(members), least)
+                found = _edges(t[a], t[b])
+            return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
         for batch in batches:
-            texts = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-            alike = [similarity(shingles(a.as_py()), shingles(b.as_py())) >= least for a, b in zip(*texts)]
-            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+            root, i, j, block, t = (batch.column(k).to_pylist() for k in range(5))
+            for k in range(len(t)):
+                key = (root[k], i[k], j[k])
+                if key != group:
+                    if group:
+                        yield close()
+                    group, firsts, seconds = key, [], []
+                (firsts if block[k] == i[k] else seconds).append((t[k], batch.column(5)[k].as_py()))
+        if group:
+            yield close()
         pa.default_memory_pool().release_unused()
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    ordered = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "t")
+    return ordered.select("root", "i", "j", "block", "t", "shingles").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, text: str = "text", least: float = LEAST, most: int = MOST) -> DataFrame:
-    """Checked links (a, b) between nodes; a node is the xxhash64 of a text."""
+def text_key(text: str) -> Column:
+    """128 bits by which a text is known."""
+    return F.unhex(F.md5(text_col(text).cast("binary")))
+
+
+def nodes_of(docs: DataFrame, text: str) -> DataFrame:
+    """(h, t, bands, fp, n) for each different text: its key, a number, bands, SimHash, shingles."""
 
     def make():
         shingles = Shingler()
 
         def work(texts: list[bytes]) -> dict:
-            found = [signature(shingles(x)) for x in texts]
+            hashed = [shingles(x) for x in texts]
+            found = [signature(x) for x in hashed]
             return {
                 "bands": pa.array([k.view(np.int64) for k, _ in found], pa.list_(pa.int64())),
-                "fp": np.array([f for _, f in found], np.uint64).view(np.int64),
+                "fp": np.array([f for _, f in found], np.uint64).view(np.int64), "n": np.array([len(x) for x in hashed], np.int64),
             }
 
         return work
 
-    source = docs.select(F.xxhash64(text_col(text)).alias("t"), text_col(text).alias("text"))
-    marked = map_column(source, make, "bands array<long>, fp long", "text", ("t",), binary=True)
-    nodes = marked.groupBy("t").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"))
-    pairs = checkpoint(candidates(checkpoint(nodes), most))
-    ends = small(checkpoint(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()))
-    texts = checkpoint(source.join(ends, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")))
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return check(both, least)
+    source = docs.select(text_key(text).alias("h"), text_col(text).alias("text"))
+    marked = map_column(source, make, "bands array<long>, fp long, n long", "text", ("h",), binary=True)
+    once = marked.groupBy("h").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    return checkpoint(once.withColumn("t", F.monotonically_increasing_id()))
+
+
+def families(nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """(h, t, root, k) for each text of a family: its family, and in how many blocks that is cut."""
+    edges = compare_bands(nodes.select(F.explode("bands").alias("band"), "t", "fp"), most).distinct()
+    roots = connected_components(edges).withColumnRenamed("node", "t")
+    members = checkpoint(nodes.join(roots, "t").select("h", "t", "root", "n"))
+    blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES, F.lit(1.0))).cast("int")
+    return members.join(members.groupBy("root").agg(blocks.alias("k")), "root").select("h", "t", "root", "k")
+
+
+def links(docs: DataFrame, nodes: DataFrame, text: str = "text", least: float = LEAST, most: int = MOST) -> DataFrame:
+    """Checked links (a, b), a < b, whose components are the classes of near copies; a and b are
+    numbers (t) of ``nodes``."""
+
+    def make():
+        shingles = Shingler()
+        return lambda texts: {"shingles": pa.array([np.unique(shingles(x)).tobytes() for x in texts], pa.binary())}
+
+    members = checkpoint(families(nodes, most))
+    found = docs.select(text_key(text).alias("h"), text_col(text).alias("text")).join(small(members), "h")
+    sets = map_column(found, make, "shingles binary", "text", ("t", "root", "k"), binary=True)
+    once = checkpoint(sets.groupBy("t", "root", "k").agg(F.first("shingles").alias("shingles")))
+    block = F.pmod(F.xxhash64("t"), F.col("k")).cast("int").alias("block")
+    dealt = once.select("root", "t", "shingles", block, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("with"))
+    return check(dealt.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "t", "shingles"), least)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -239,23 +294,27 @@ def small(df: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, most: int = MOST) -> DataFrame:
     """docs with one row of each class; columns stay as they are, whatever their names.
 
-    Rows are marked by a hash of text and id.  Those that go are filtered out where
-    they are, without moving a text, if they are few enough to be broadcast.
+    Rows are known by text and id.  Those that go are filtered out where they are, without moving
+    a text, as long as their keys can be broadcast; of rows that are repeated only these few move,
+    combined before.
     """
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     id_, text_ = f"c{names.index(id_col)}", f"c{names.index(text)}"
-    t = F.xxhash64(text_col(text_)).alias("t")
-    ids = checkpoint(inner.select(t, F.col(id_).alias("id")))
-    roots = connected_components(links(inner, text_, least, most)).withColumnRenamed("node", "t")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "t")
-    rows = ids.groupBy("t", "id").count()
-    rooted = checkpoint(rows.join(roots, "t", "left").select("t", "id", "count", F.coalesce("root", "t").alias("root")))
-    first = rooted.groupBy("root").agg(F.min(order).alias("k"))
-    key = F.xxhash64("t", "id").alias("key")
-    kept = first.select(F.xxhash64("k.t", "k.id").alias("key"))
-    gone = checkpoint(rooted.select(key, "count").join(kept, "key", "left_anti"))
-    marked = inner.withColumn("key", F.xxhash64(t, F.col(id_)))
-    if gone.count() <= BROADCAST_ROWS and not rooted.where("count > 1").limit(1).count():
-        return marked.join(F.broadcast(gone.select("key")), "key", "left_anti").drop("key").toDF(*names)
-    return one_row(marked.join(kept, "key", "left_semi"), "key").drop("key").toDF(*names)
+    nodes = nodes_of(inner, text_)
+    roots = connected_components(links(inner, nodes, text_, least, most)).withColumnRenamed("node", "t")
+    rooted = nodes.select("h", "t").join(roots, "t", "left").select("h", F.coalesce("root", "t").alias("root"))
+    rows = checkpoint(inner.select(text_key(text_).alias("h"), F.col(id_).alias("id")).groupBy("h", "id").agg(F.count("*").alias("count")))
+    named = checkpoint(rows.join(rooted, "h"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k"))
+    kept = first.select(F.col("k.h").alias("kept_h"), F.col("k.id").alias("kept_id"))
+    stays = (F.col("h") == F.col("kept_h")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    marked = named.join(kept, stays, "left").select("h", "id", "count", F.col("kept_h").isNotNull().alias("kept"))
+    other = checkpoint(marked.where("count > 1 or not kept").select(F.col("h").alias("other_h"), F.col("id").alias("other_id"), "kept"))
+    is_other = (text_key(text_) == F.col("other_h")) & F.col(id_).eqNullSafe(F.col("other_id"))
+    single = inner.join(small(other), is_other, "left_anti")
+    again = checkpoint(other.where("kept"))
+    if not again.limit(1).count():
+        return single.toDF(*names)
+    repeated = inner.join(small(again), is_other).drop("kept")
+    return single.unionByName(one_row(repeated, "other_h", "other_id").select(*inner.columns)).toDF(*names)
