@@ -5,13 +5,14 @@ from __future__ import annotations
 import html
 import ipaddress
 import re
-from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import main_content
+
 TAGS, BLANKS = re.compile(r"<[^>]+>"), re.compile(r"\s+")
 
 
@@ -60,54 +61,13 @@ _LINK = T.StructType([T.StructField("href", T.StringType()), T.StructField("labe
 PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(_LINK))])
 
 
-class _Page(HTMLParser):
-    SKIP = {"script", "style", "noscript", "template"}
-    BLOCK = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "ul", "ol", "table", "title"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.links, self.parts, self.title, self.open, self.skipped, self.in_title = [], [], "", None, 0, False
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skipped += 1
-        if tag == "title":
-            self.in_title = True
-        if tag == "a" and (href := dict(attrs).get("href")):
-            self.open = (href, [])
-        if tag in self.BLOCK:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIP:
-            self.skipped = max(0, self.skipped - 1)
-        if tag == "title":
-            self.in_title = False
-        if tag == "a" and self.open:
-            self.links.append((self.open[0], " ".join("".join(self.open[1]).split())))
-            self.open = None
-        if tag in self.BLOCK:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.skipped:
-            self.parts.append(data)
-            if self.open:
-                self.open[1].append(data)
-
-
 @F.pandas_udf(PAGE)
 def parse_page(pages: pd.Series) -> pd.DataFrame:
-    """Title, readable text and links of HTML; the text approximates main-content extraction."""
+    """Title, main content and links of HTML."""
     rows = []
     for page in pages:
-        p = _Page()
-        p.feed(page or "")
-        p.close()
-        lines = [" ".join(x.split()) for x in "".join(p.parts).split("\n")]
-        rows.append((" ".join(p.title.split()), "\n".join(x for x in lines if x), [{"href": h, "label": t} for h, t in p.links]))
+        p = main_content.Page(page or "")
+        rows.append((" ".join(p.title.split()), "\n".join(main_content.lines(p.content())), [{"href": h, "label": t} for h, t in p.links]))
     return pd.DataFrame(rows, columns=["title", "text", "links"])
 
 

@@ -10,6 +10,7 @@ from ..functions import udfs
 from ..operators import dedup, filters, stats, store
 from ..sources import payloads
 from ..streaming import jobs
+from ..streaming.breaker import breaker_states
 from . import pipeline
 from .bindings import ITEMS_SQL, RUNS_SQL, SURROGATE_KEYWORDS, at, items, runs, table
 from .registry import query
@@ -252,14 +253,38 @@ def d13(spark, sf):
     return jobs.resumed(payloads.month_ranges(spark, "2023-11", "2024-03"), "2023-12").select("month")
 
 
-@query("S10_web_pages")
+#: On these pages the content is what stands in <article>; a line for each block, entities of these pages.
+def _shown(text: str) -> str:
+    for name, shown in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{shown}')"
+    return text
+
+
+MAIN_SQL = f"""
+m AS (SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t,
+    regexp_extract(html, '<article[^>]*>(.*)</article>', 1, 's') AS a FROM pages),
+l AS (SELECT page_id, url, t, list_filter(list_transform(regexp_split_to_array(regexp_replace(a, '</?(?:p|br|h1|h2|h3|div|ul|ol|li|table|tr|td|pre)(?: [^>]*)?/?>', chr(10), 'g'), chr(10)),
+    lambda x: trim(regexp_replace({_shown("regexp_replace(x, '<[^>]*>', '', 'g')")}, '[\\s\\x{{a0}}]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM m)"""
+
+
+@query("S10_web_pages", "WITH " + MAIN_SQL.strip() + f""" SELECT url, trim(regexp_replace({_shown("t")}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS title, array_to_string(ls, chr(10)) AS text FROM l WHERE len(ls) > 0""")
 def s10(spark, sf):
-    return payloads.web_pages(table(spark, sf, "pages"))
+    return payloads.web_pages(table(spark, sf, "pages")).select("url", "title", "text")
 
 
-@query("S10_page_links")
+LINKS_SQL = r"""
+f AS (SELECT url AS page_url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS ls FROM pages),
+e AS (SELECT page_url, site, unnest(hs) AS h, unnest(ls) AS label, generate_subscripts(hs, 1) - 1 AS pos FROM f),
+x AS (SELECT page_url, pos, label, site || '/world' || h AS href FROM e WHERE h LIKE '/%' AND length(h) > 1)
+SELECT page_url, pos::INTEGER AS pos, href, label, rtrim(regexp_extract(href, '^[^?#]*'), '/') AS canonical FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_url, rtrim(regexp_extract(href, '^[^?#]*'), '/') ORDER BY pos) AS r FROM x) WHERE r = 1"""
+
+
+@query("S10_page_links", "WITH " + LINKS_SQL.strip())
 def s10b(spark, sf):
-    return payloads.page_links(table(spark, sf, "pages")).select("page_url", "pos", "href", "label", "canonical")
+    """Links of these pages have one segment; a section in front makes them article links."""
+    pages = table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", '<a href="/', '<a href="/world/'))
+    return payloads.page_links(pages).select("page_url", "pos", "href", "label", "canonical")
 
 
 @query("S18_raw_items", """SELECT concat_ws(': ', o_orderkey::VARCHAR, o_orderstatus) AS title, 'github' AS source, 'https://x.org/' || o_orderkey AS url, o_orderstatus AS text, o_totalprice::BIGINT AS score FROM (SELECT *, trunc(o_totalprice) FROM orders) WHERE o_totalprice > 100""".replace("o_totalprice::BIGINT", "trunc(o_totalprice)::BIGINT"))
@@ -374,12 +399,35 @@ def j6(spark, sf):
     return dedup.similar_titles(i, i, 0.80, ["topic"]).where("a_id < b_id").select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("D7_breaker", f"""WITH {RUNS_SQL}, m AS (SELECT *, coalesce(sum((status = 'success')::INT) OVER (PARTITION BY source ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM runs),
-c AS (SELECT *, coalesce(sum((status = 'error')::INT) OVER w, 0)::BIGINT AS failures, max(CASE WHEN status = 'error' THEN started_at END) OVER w AS last_failure FROM m
- WINDOW w AS (PARTITION BY source, island ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT run_id, failures, coalesce(failures >= 3 AND (epoch_us(started_at) - epoch_us(last_failure)) / 1e6 < 3600, false) AS open FROM c""")
+#: One run of each source a step, as the reference keeps its state.
+BREAKER_SQL = f"""WITH RECURSIVE {RUNS_SQL},
+n AS MATERIALIZED (SELECT *, epoch_us(started_at) AS us, row_number() OVER (PARTITION BY source ORDER BY started_at, run_id) AS rn FROM runs),
+st AS (
+  SELECT source, rn, run_id, 0 AS failures, false AS open, (status = 'error')::INT AS f, NULL::BIGINT AS opened FROM n WHERE rn = 1
+  UNION ALL
+  SELECT source, rn, run_id, g, o IS NOT NULL, CASE status WHEN 'success' THEN 0 WHEN 'error' THEN g + 1 ELSE g END,
+    CASE status WHEN 'success' THEN NULL WHEN 'error' THEN CASE WHEN g + 1 >= 3 AND o IS NULL THEN us ELSE o END ELSE o END
+  FROM (
+    SELECT n.source, n.rn, n.run_id, n.status, n.us, CASE WHEN n.us - st.opened >= 3600000000 THEN 0 ELSE st.f END AS g,
+      CASE WHEN n.us - st.opened >= 3600000000 THEN NULL ELSE st.opened END AS o
+    FROM st JOIN n ON n.source = st.source AND n.rn = st.rn + 1))
+SELECT run_id, failures::BIGINT AS failures, open FROM st"""
+
+
+@query("D7_breaker", BREAKER_SQL)
 def d7(spark, sf):
-    return jobs.breaker_states(runs(spark, sf)).select("run_id", "failures", "open")
+    return breaker_states(runs(spark, sf)).select("run_id", "failures", "open")
+
+
+@query("D7_breaker_crowded", BREAKER_SQL.replace("FROM events)", "FROM (SELECT event_id, 1 AS user_id, event_type, TIMESTAMP '2024-01-01' + to_seconds(event_id * 40) AS ts FROM events))").replace(
+    "event_id % 3 = 0 THEN 'error' WHEN event_id % 5 = 0 THEN 'empty' ELSE 'success'", "event_id % 977 <> 0 THEN 'error' WHEN event_id % 2 = 0 THEN 'empty' ELSE 'success'"))
+def d7_crowded(spark, sf):
+    """All runs are of one source, fail but for some, and follow each other within the cooldown."""
+    n = F.col("run_id")
+    status = F.when(n % 977 != 0, "error").when(n % 2 == 0, "empty").otherwise("success")
+    started = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=(n * 40).cast("decimal(18,6)"))).cast("timestamp_ntz")
+    log = runs(spark, sf).withColumns({"source": F.lit("github"), "status": status, "started_at": started})
+    return breaker_states(log).select("run_id", "failures", "open")
 
 
 @query("D14_budget", "SELECT o_orderkey FROM (SELECT o_orderkey, sum(c) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - c AS before FROM (SELECT o_orderkey, (o_orderkey % 1000) * 0.20::DOUBLE / 1e6 + 45 * 2.00::DOUBLE / 1e6 AS c FROM orders)) WHERE before < 0.05")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import scalars as S
 from ..operators import dedup, filters, rank, store
-from ..streaming.jobs import breaker_states
+from ..streaming.breaker import breaker_states
 
 Provider = Callable[[DataFrame], DataFrame]
 

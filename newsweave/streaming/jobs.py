@@ -1,11 +1,10 @@
-"""Structured Streaming: micro-batch ingestion, dedup in a watermark, breaker."""
+"""Structured Streaming: micro-batch ingestion, dedup in a watermark."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -37,50 +36,6 @@ def windowed_counts(stream: DataFrame, keys: list[str], ts: str = "ts", size: st
     return timed.groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("count")).select("window.start", "window.end", *keys, "count")
 
 
-def breaker_states(runs: DataFrame, threshold: int = 3, reset_seconds: int = 3600) -> DataFrame:
-    """D7 over a run log (source, started_at, run_id, status): consecutive failures before
-    each run, and whether the breaker is open for it.
-
-    Gaps and islands: a success begins a new island; inside one the failures are
-    counted; the breaker is open from the third on for an hour after the last.
-    An empty run records neither.
-    """
-    order = Window.partitionBy("source").orderBy("started_at", "run_id")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = runs.withColumn("island", F.coalesce(F.sum(F.when(F.col("status") == "success", 1).otherwise(0)).over(past), F.lit(0)))
-    inside = Window.partitionBy("source", "island").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    bad = F.col("status") == "error"
-    counted = marked.withColumn("failures", F.coalesce(F.sum(F.when(bad, 1).otherwise(0)).over(inside), F.lit(0)))
-    counted = counted.withColumn("last_failure", F.max(F.when(bad, F.col("started_at"))).over(inside))
-    age = S.seconds_between(F.col("started_at"), F.col("last_failure"))
-    return counted.withColumn("open", F.coalesce((F.col("failures") >= threshold) & (age < reset_seconds), F.lit(False)))
-
-
-STATE, OUTPUT = "failures int, opened timestamp", "source string, ts timestamp, failures int, open boolean"
-
-
-def breaker_stream(runs: DataFrame, threshold: int = 3, reset_seconds: int = 3600) -> DataFrame:
-    """D7 on a stream (source, ts, status): the state after each run, kept by source."""
-
-    def step(key, frames, state):
-        failures, opened = state.get if state.exists else (0, None)
-        out = []
-        for pdf in frames:
-            for ts, status in zip(pdf["ts"], pdf["status"]):
-                if opened is not None and (ts - opened).total_seconds() >= reset_seconds:
-                    failures, opened = 0, None
-                if status == "success":
-                    failures, opened = 0, None
-                elif status == "error":
-                    failures += 1
-                    opened = ts if failures >= threshold else opened
-                out.append((key[0], ts, failures, opened is not None))
-        state.update((failures, opened))
-        yield pd.DataFrame(out, columns=["source", "ts", "failures", "open"])
-
-    return runs.groupBy("source").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
-
-
 def resumed(months: DataFrame, last_month: str | None) -> DataFrame:
     """Months after the checkpoint."""
     return months if last_month is None else months.where(F.col("month") > last_month)

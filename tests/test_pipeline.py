@@ -96,16 +96,3 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = events.groupBy(F.to_date("ts"), "event_type").count()
     assert sorted(spark.table("daily").select(F.to_date("start"), "event_type", "count").collect()) == sorted(want.collect())
-
-
-def test_breaker_batch_and_stream(spark, tmp_path):
-    log = [("s", f"2024-01-01 00:{m:02d}:00", m, st) for m, st in enumerate(["error", "empty", "error", "error", "error"])] + [("s", "2024-01-01 02:00:00", 9, "error"), ("s", "2024-01-01 02:01:00", 10, "success"), ("s", "2024-01-01 02:02:00", 11, "error")]
-    runs = spark.createDataFrame(log, "source string, started_at string, run_id int, status string").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
-    got = {r.run_id: (r.failures, r.open) for r in jobs.breaker_states(runs).collect()}
-    assert got[3] == (2, False) and got[4] == (3, True) and got[9] == (4, False) and got[11] == (0, False)
-    folder = str(tmp_path / "r")
-    runs.select("source", F.col("started_at").cast("timestamp").alias("ts"), "status").orderBy("ts").coalesce(1).write.parquet(folder)
-    q = jobs.breaker_stream(spark.readStream.schema("source string, ts timestamp, status string").parquet(folder)).writeStream.format("memory").queryName("breaker").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    states = [(r.failures, r.open) for r in spark.table("breaker").orderBy("ts").collect()]
-    assert states == [(1, False), (1, False), (2, False), (3, True), (4, True), (1, False), (0, False), (1, False)]
