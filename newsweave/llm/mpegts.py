@@ -164,9 +164,12 @@ def read_stream(data: bytes, strict: bool = False) -> Stream:
 
     Adaptation fields may stand in any packet, tables may span packets, and a packet
     that is sent twice counts once.  A unit is damaged if packets are missing in it (by
-    the continuity counter, unless a discontinuity is announced), or if its length
-    isn't what its PES header says; where ``strict``, that is an error.  Raises
-    ValueError where sync, tables, fields or start codes are damaged or missing.
+    the continuity counter, unless a discontinuity is announced), or if it is shorter than its
+    PES header says; one of known length isn't touched by what is lost behind its end.  Packets
+    without a beginning, before the first unit or behind the end of one, and a gap between whole
+    units of known length, are a damaged unit of their own, without a time stamp.  Where
+    ``strict``, any of these is an error.  Raises ValueError where sync, tables, fields or start codes are
+    damaged or missing, and where packets of the stream are scrambled.
     """
     if len(data) % PACKET:
         raise ValueError("length isn't a multiple of the packet size")
@@ -198,6 +201,8 @@ def read_stream(data: bytes, strict: bool = False) -> Stream:
     rows = np.flatnonzero((pids == pid) & has_payload)
     if not len(rows):
         raise ValueError("no packet of the elementary stream")
+    if (grid[rows, 3] & 0xC0 != 0).any():
+        raise ValueError("scrambled packet")
     flags = np.where(has_field & (grid[:, 4] > 0), grid[:, 5], 0)
     step = np.diff(grid[rows, 3] & 15) & 15
     same = np.r_[False, step == 0]
@@ -209,15 +214,28 @@ def read_stream(data: bytes, strict: bool = False) -> Stream:
     body = grid[rows][inside].tobytes()
     upto = np.r_[0, np.cumsum(PACKET - begin[rows])]
     parts, pts, damaged = [], [], []
-    for unit, (a, b) in enumerate(zip(starts, np.r_[starts[1:], len(rows)])):
+
+    def beginning_lost() -> None:
+        damaged.append(len(pts))
+        pts.append(None)
+
+    if not len(starts) or starts[0]:
+        beginning_lost()
+    for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
         pes = body[upto[a] : upto[b]]
         part, stamp = read_pes(pes)
-        pts.append(stamp)
-        after = pes[4:6] == b"\0\0" and b < len(rows) and lost[b]  # what a unit of unbounded length may have lost at its end
-        if part is None or after or lost[a + 1 : b].any():
-            damaged.append(unit)
-        else:
+        bounded = int.from_bytes(pes[4:6], "big")
+        # a unit of known length ends with the packet that fills it, whatever follows
+        end = int(np.searchsorted(upto, upto[a] + 6 + bounded)) if bounded and part is not None else b
+        after = b < len(rows) and lost[b]  # what a unit of unbounded length may have lost at its end
+        whole = part is not None and not lost[a + 1 : end].any() and (bounded or not after)
+        if whole:
             parts.append(part)
+        else:
+            damaged.append(len(pts))
+        pts.append(stamp)
+        if whole and bounded and (end < b or after):
+            beginning_lost()
     errors = int(lost.sum())
     if strict and (errors or damaged or not len(starts)):
         raise ValueError(f"{errors} gaps in the continuity counter, damaged units {damaged} of {len(starts)}")

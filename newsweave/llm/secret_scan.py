@@ -6,15 +6,15 @@ context ("password is ...", "pin: ...") are segmented at least cost, by dynamic
 programming, into known words, dates, repeats, keyboard walks and brute-force
 spans; a value that needs at least ``bits`` bits of guesses is a secret.
 
-Known words are frequent words of passwords, the whole words of a public
-vocabulary in its order, and the words of the documents themselves, by the number
-of documents (``least_docs`` or more) that have them outside credential contexts;
-the places in these lists are the guesses.  At most ``most_words`` words of the
-documents are taken, so what is sent to the workers has a bounded size.
+Known words are frequent words of passwords and the whole words of a public vocabulary, in their
+order; the places in these lists are the guesses.  Nothing is learnt from the documents, so what is a
+secret in a text doesn't depend on the others.
 
-A context begins where a word does.  Addresses without credentials, e-mail addresses
-and placeholders are no secrets, and after "is" a value of letters alone needs
-``PROSE_BITS``, as prose stands there.
+A value reaches to the next white space, letters of any script included.  A context begins where a
+word does.  What only refers to something is no secret: addresses without credentials, e-mail and
+network addresses, times, expressions of program code, placeholders.  A value of letters alone
+whose pairs of letters are those of words (by the vocabulary) isn't either, as prose and names stand
+there, too; after "is" other letters need ``PROSE_BITS``.
 
 Offsets are code points, ends exclusive.  Null and empty texts have no spans.
 Repeated rows give the same spans.  Texts of any length are scanned whole;
@@ -28,15 +28,15 @@ import hashlib
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_column, slices, text_col
+from .common import map_column, slices
 
 #: The base detectors.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -50,7 +50,7 @@ _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_ -]?key|login|pin)["']?\s{0,3}([:=]|\bis\b)\s{0,3}["']?([!-~]{6,})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_ -]?key|login|pin)["']?\s{0,3}([:=]|\bis\b)\s{0,3}["'«„“”‘’]?(\S{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 #: Frequent words of passwords, most frequent first; the place is the number of guesses.
@@ -66,10 +66,19 @@ ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 BITS = 40.0
 #: After "is" stands mostly prose, so a value of letters alone needs so many bits.
 PROSE_BITS = 60.0
-#: What only refers to something: addresses without a user's name and password, e-mail addresses, placeholders.
-_REFERENCE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^@\s]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[$%#]?[{(\[<].*|\$\w+|\*+", re.ASCII)
-#: Documents that have a word at least, words of documents at most, and letters of a word.
-LEAST_DOCS, MOST_WORDS, LETTERS = 5, 100_000, (3, 24)
+#: Letters of which each pair costs so many bits at most read like a word.
+WORDLIKE_BITS = 4.4
+#: What only refers to something: addresses without a user's name and password, e-mail and network addresses, times,
+#: program code (a name with a call, an index or parts), placeholders.
+_REFERENCE = re.compile(
+    r"[A-Za-z][A-Za-z0-9+.-]*://[^@\s]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d{1,3}(?:\.\d{1,3}){3}(?::\d+|/\d+)?|(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}"
+    r"|\d{4}-\d\d-\d\d(?:T[\d:.]*(?:Z|[+-][\d:]+)?)?|\d\d?[./]\d\d?[./]\d{4}|\d\d?:\d\d(?::\d\d)?"
+    r"|[$%#@]?[{(\[<].*|\$\w+|[$A-Za-z_][A-Za-z_]*(?:\d?\.[A-Za-z_]+\d?)*[(\[].*|[A-Za-z_]+(?:(?:\.|::|->)[A-Za-z_]+)+"
+    r"|(?-i:[A-Z]+(?:[_-][A-Z]+)+)|(?:your|my|the|enter|insert|example|sample|dummy)[_-].*|(.)\1*",
+    re.ASCII | re.IGNORECASE,
+)
+#: Letters of a word.
+LETTERS = (3, 24)
 
 
 def word_costs() -> dict[str, float]:
@@ -103,26 +112,38 @@ def vocabulary() -> tuple[str, ...]:
     return tuple(w for w in whole if _WORD.fullmatch(w))
 
 
-def frequent_words(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, most_words: int = MOST_WORDS) -> list[str]:
-    """Words of at least ``least_docs`` rows outside credential contexts, most frequent first."""
-    outside = F.regexp_replace(F.lower(text_col(text)), f"(?i){_CONTEXT.pattern}", " ")
-    words = docs.select(F.explode(F.array_distinct(F.split(outside, r"[^\p{L}0-9]+"))).alias("word"))
-    counted = words.where(F.col("word").rlike(f"^{_WORD.pattern}$")).groupBy("word").count().where(F.col("count") >= least_docs)
-    return [r.word for r in counted.orderBy(F.desc("count"), "word").limit(most_words).collect()]
-
-
-def dictionary(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, most_words: int = MOST_WORDS) -> dict[str, float]:
-    """Cost of each known word: of its best place in the three lists."""
+@lru_cache(maxsize=1)
+def dictionary() -> dict[str, float]:
+    """Cost of each known word: of its better place in the two lists."""
     costs = dict(_WORDS)
-    for ranked in (vocabulary(), frequent_words(docs, text, least_docs, most_words)):
-        for i, w in enumerate(ranked):
-            costs[w] = min(costs.get(w, math.inf), math.log2(i + 2))
+    for i, w in enumerate(vocabulary()):
+        costs[w] = min(costs.get(w, math.inf), math.log2(i + 2))
     return costs
 
 
+@lru_cache(maxsize=1)
+def pair_bits() -> dict[str, float]:
+    """Bits of a letter behind the one before it in the words of the vocabulary, each pair counted once more."""
+    ends = "abcdefghijklmnopqrstuvwxyz"
+    pairs = Counter(w[i : i + 2] for w in vocabulary() for i in range(len(w) - 1))
+    first = Counter()
+    for pair, n in pairs.items():
+        first[pair[0]] += n
+    return {a + b: -math.log2((pairs[a + b] + 1) / (first[a] + len(ends))) for a in ends for b in ends}
+
+
+def wordlike(value: str) -> bool:
+    """Letters alone, of one case but for the first, that read like a word; letters beyond a to z count as such."""
+    if not value.isalpha() or not (value[1:].islower() or value.isupper()):
+        return False
+    bits, low = pair_bits(), value.lower()
+    found = [bits[p] for p in (low[i : i + 2] for i in range(len(low) - 1)) if p in bits]
+    return not found or sum(found) / len(found) <= WORDLIKE_BITS
+
+
 def alphabet(value: str) -> float:
     """Bits of one brute-force character, from the kinds of characters that occur."""
-    size = sum(n for n, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"), (33, "[^A-Za-z0-9]")) if re.search(p, value))
+    size = sum(n for n, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"), (33, "[!-/:-@[-`{-~]"), (100, "[^!-~]")) if re.search(p, value))
     return math.log2(max(size, 2))
 
 
@@ -191,9 +212,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_guess(sign: str, value: str, bits: float, words: dict[str, float]) -> bool:
-    if len(value) < 6 or _REFERENCE.fullmatch(value):
+    if len(value) < 6 or _REFERENCE.fullmatch(value) or wordlike(value):
         return False
-    prose = value.isalpha() and sign not in ":="
+    prose = sign not in ":=" and value.isalpha() and (value[1:].islower() or value.isupper())
     return guess_bits(value, words) >= (max(bits, PROSE_BITS) if prose else bits)
 
 
@@ -201,7 +222,7 @@ def guess_spans(text: str, bits: float = BITS, words: dict[str, float] = _WORDS)
     return [
         (m.start(2), 3, m.start(2) + len(value))
         for m in _CONTEXT.finditer(text)
-        if is_guess(m[1], value := m[2].rstrip("\"',;)]}>."), bits, words)
+        if is_guess(m[1], value := m[2].rstrip("\"',;)]}>.»“”’"), bits, words)
     ]
 
 
@@ -212,10 +233,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, bits: float = BITS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of each row's whole text."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text))  # bounded: see MOST_WORDS
-
     def make():
-        words = shared.value
+        words = dictionary()
 
         def work(texts: list[str]) -> dict:
             base = [base_spans(t) for t in texts]
@@ -251,10 +270,8 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     length brought up to date in rows that changed.  Null texts stay null."""
     at = docs.columns.index(text)
     size_at = docs.columns.index(length) if length in docs.columns else None
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text))  # bounded: see MOST_WORDS
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        words = dictionary()
         for batch in batches:
             for a, b, old in slices(batch.column(at)):
                 part = batch.slice(a, b - a)

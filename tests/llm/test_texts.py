@@ -162,6 +162,32 @@ def foreign_stream(units, rng, pid=0x77, twice=0.0, tables_in_pieces=False):
     return out
 
 
+def test_every_missing_packet_is_an_error_and_names_the_unit_that_was_hit():
+    payload = mpegts.payload_of(bytes(range(256)) * 75)
+    media = mpegts.write_stream(payload)
+    grid = [media[k : k + 188] for k in range(0, len(media), 188)]
+    units = [payload[k : k + mpegts.UNIT * mpegts.UNITS] for k in range(0, len(payload), mpegts.UNIT * mpegts.UNITS)]
+    unit_of, unit = [], -1
+    for packet in grid[2:]:
+        unit += packet[1] & 0x40 != 0
+        unit_of.append(unit)
+    for k in range(2, len(grid)):
+        cut = b"".join(grid[:k] + grid[k + 1 :])
+        hit = unit_of[k - 2]
+        back = mpegts.read_stream(cut)
+        assert back.damaged == [hit], k
+        assert back.payload == b"".join(u for i, u in enumerate(units) if i != hit)
+        with pytest.raises(ValueError):
+            mpegts.read_stream(cut, strict=True)
+
+
+def test_scrambled_packets_are_refused():
+    media = bytearray(mpegts.write_stream(mpegts.payload_of(b"x" * 3000)))
+    media[188 * 4 + 3] |= 0x80
+    with pytest.raises(ValueError, match="scrambled"):
+        mpegts.read_stream(bytes(media))
+
+
 def test_transport_stream_of_another_writer():
     rng = random.Random(7)
     for n in range(30):
