@@ -102,6 +102,7 @@ class Settings:
     plain_weights: tuple[float, float, float] = (0.45, 0.30, 0.25)  # relevance, recency, topic
     recency_hours: float = 48.0
     mmr_lambda: float = 0.7
+    most_ranked: int = 2_000  # ranks of one feed; its pool goes into one task
     candidate_multiplier: int = 5
     feed_hours: float = 48.0
     feed_min_items: int = 5

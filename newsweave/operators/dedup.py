@@ -107,21 +107,35 @@ def unseen_by_title(new: DataFrame, stored: DataFrame, as_of: Column, settings:
     return new.join(seen, "id", "left_anti")
 
 
-def min_label_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component): least id reachable, for undirected edges (a_id, b_id), by min-label propagation."""
-    both = edges.select("a_id", "b_id").unionByName(edges.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).distinct()
-    both = cut(both)
-    label = cut(nodes.select("id", F.col("id").alias("component")))
-    while True:  # as many rounds as the longest shortest path has links
-        near = both.join(label, F.col("b_id") == F.col("id")).groupBy("a_id").agg(F.min("component").alias("near"))
-        new = cut(
-            label.join(near, F.col("id") == F.col("a_id"), "left")
-            .select("id", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
-        )
-        label = new.select("id", "component")
-        if not new.where("moved").limit(1).count():
-            break
-    return label
+def stars(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(leaf, centre) for each node that isn't the least of its component, and the rounds taken.
+
+    Edges (a_id, b_id) are contracted by stars: of each node and its neighbours the larger ones are hung
+    onto the least (large star), then the smaller ones and the node itself (small star).  Rounds grow with
+    the logarithm of the longest path, and no round makes more edges than there were.  Only ids
+    move; a checkpoint a round cuts the lineage.
+    """
+    big, small = F.greatest("a_id", "b_id"), F.least("a_id", "b_id")
+    held = cut(edges.where("a_id <> b_id").select(big.alias("leaf"), small.alias("centre")).distinct())
+    rounds, before = 0, None
+    while True:
+        now = held.agg(F.count("*").alias("n"), F.sum(F.xxhash64("leaf", "centre").cast("decimal(38,0)")).alias("sum")).first()
+        if now == before or not now["n"]:
+            return held, rounds
+        before, rounds = now, rounds + 1
+        around = held.unionByName(held.select(F.col("centre").alias("leaf"), F.col("leaf").alias("centre")))
+        least = around.groupBy("leaf").agg(F.least(F.min("centre"), F.first("leaf")).alias("least"))
+        larger = around.join(least, "leaf").where("centre > leaf").select(F.col("centre").alias("leaf"), F.col("least").alias("centre")).distinct()
+        below = larger.groupBy("leaf").agg(F.min("centre").alias("least"))
+        hung = larger.join(below, "leaf")
+        smaller = hung.where("centre <> least").select(F.col("centre").alias("leaf"), F.col("least").alias("centre"))
+        held = cut(smaller.unionByName(below.withColumnRenamed("least", "centre")).where("leaf <> centre").distinct())
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, component): the least id reachable over undirected edges (a_id, b_id)."""
+    found, _ = stars(edges)
+    return nodes.select("id").join(found, F.col("id") == F.col("leaf"), "left").select("id", F.coalesce("centre", "id").alias("component"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -154,7 +168,7 @@ def event_dedup(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     rest = sized.where((F.col("_n") <= 1) | (F.col("_n") > settings.event_group_limit)).drop("_n")
     keyed = small.select("id", "title", "topic")
     edges = similar_titles(keyed, keyed, settings.title_similarity, ["topic"]).where("a_id < b_id")
-    placed = small.join(min_label_components(edges, keyed), "id")
+    placed = small.join(components(edges, keyed), "id")
     value = F.coalesce("score", F.lit(0)) + 100 * F.col("relevance_score")
     ranked = placed.withColumn("source_count", F.count("*").over(Window.partitionBy("component")))
     won = best_by(ranked, ["component"], value.desc(), F.col("ord"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -157,34 +159,51 @@ def item_similarity(a: tuple, b: tuple) -> float:
     return same
 
 
-def mmr(pool: DataFrame, lambda_: float = DEFAULT.mmr_lambda, limit: int = 20) -> DataFrame:
+def choose(quality: list[float], facts: list[tuple], lambda_: float, limit: int) -> list[int]:
+    """Greedy maximal marginal relevance: places of the chosen, in order; ties go to the first.
+
+    Closeness to the chosen only grows, so a value found earlier bounds the present one from above:
+    only candidates that come up first are brought up to date.
+    """
+    closest, known, chosen = [0.0] * len(quality), [0] * len(quality), []
+    heap = [(-(lambda_ * q - (1 - lambda_) * 0.0), i) for i, q in enumerate(quality)]
+    heapq.heapify(heap)
+    while heap and len(chosen) < limit:
+        value, i = heapq.heappop(heap)
+        if known[i] == len(chosen):
+            chosen.append(i)
+            continue
+        for c in chosen[known[i] :]:
+            closest[i] = max(closest[i], item_similarity(facts[i], facts[c]))
+        known[i] = len(chosen)
+        heapq.heappush(heap, (-(lambda_ * quality[i] - (1 - lambda_) * closest[i]), i))
+    return chosen
+
+
+def mmr(pool: DataFrame, lambda_: float = DEFAULT.mmr_lambda, limit: int = 20, by: str | None = None) -> DataFrame:
     """Greedy maximal marginal relevance over a bounded pool (its limit is part of the
-    semantics); adds ``rank`` from 1.  Candidates come by stored order, ties go to the first."""
-    keyed = pool.withColumn("_words", S.tokens("title")).withColumn("_pool", F.lit(0))
+    semantics); adds ``rank`` from 1.  Candidates come by stored order, ties go to the first.
+    ``by`` names a column of requests, each with a pool of its own, which are served in parallel."""
+    keyed = pool.withColumn("_words", S.tokens("title")).withColumn("_pool", F.col(by) if by else F.lit(0))
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+    def serve(rows: pd.DataFrame) -> pd.DataFrame:
         score = rows["stored_score"] if "stored_score" in rows else rows["composite_score"]
         rows = rows.assign(_s=score).sort_values(["_s", "ed", "id"], ascending=[False, False, True], na_position="last", ignore_index=True)
         none = lambda x: None if pd.isna(x) else x
         facts = [(none(s), none(t), none(a), frozenset(w)) for s, t, a, w in zip(rows["source"], rows["topic"], rows["author"], rows["_words"])]
-        quality = rows["composite_score"].fillna(0.0).tolist()
-        left, closest, chosen = list(range(len(rows))), [0.0] * len(rows), []
-        while left and len(chosen) < limit:
-            best = max(left, key=lambda i: lambda_ * quality[i] - (1 - lambda_) * closest[i])
-            left.remove(best)
-            chosen.append(best)
-            for i in left:
-                closest[i] = max(closest[i], item_similarity(facts[i], facts[best]))
+        chosen = choose(rows["composite_score"].fillna(0.0).tolist(), facts, lambda_, limit)
         out = rows.iloc[chosen].drop(columns=["_s", "_words", "_pool"])
         out["rank"] = range(1, len(chosen) + 1)
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema.fields)
-    return keyed.groupBy("_pool").applyInPandas(choose, f"{schema}, rank int")
+    return keyed.groupBy("_pool").applyInPandas(serve, f"{schema}, rank int")
 
 
 def feed(items: DataFrame, as_of: Column, limit: int = 20, offset: int = 0, lambda_: float | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, int]:
-    """Q7: (page, total); total is the pool after collapse."""
+    """Q7: (page, total); total is the pool after collapse.  A page ends at ``most_ranked`` ranks at the latest."""
+    if offset + limit > settings.most_ranked:
+        raise ValueError(f"no more than {settings.most_ranked} ranks")
     pool = candidates(items, as_of, limit, offset, settings)
     ranked = mmr(pool, settings.mmr_lambda if lambda_ is None else lambda_, limit + offset)
     return ranked.where(F.col("rank") > offset), pool.count()

@@ -188,6 +188,35 @@ def t10(spark, sf):
     return rank.mmr(pool, 1.0, 30).select("id", "rank")
 
 
+def mmr_sql(steps: int) -> str:
+    """One choice a step, for every topic at once: quality against the closest of those chosen before."""
+    out = ["""p AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY composite_score DESC, ed DESC, id) AS place FROM (
+    SELECT id, topic, source, author, ed, composite_score, list_distinct(regexp_extract_all(lower(title), '[a-zA-Z0-9]+')) AS t FROM items WHERE composite_score IS NOT NULL AND topic IS NOT NULL)
+  QUALIFY place <= 40),
+sim AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b, CASE WHEN a.source IS NOT DISTINCT FROM b.source THEN 0.3::DOUBLE ELSE 0 END + 0.3::DOUBLE + CASE WHEN a.author = b.author THEN 0.2::DOUBLE ELSE 0 END
+    + CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE * 0.2::DOUBLE END AS s
+  FROM p a JOIN p b ON a.topic = b.topic AND a.id <> b.id),
+c0 AS (SELECT id, topic, 0 AS rank FROM p WHERE false)"""]
+    for k in range(1, steps + 1):
+        out.append(f"""c{k} AS MATERIALIZED (
+  SELECT * FROM c{k - 1} UNION ALL SELECT id, topic, {k} FROM (
+    SELECT p.id, p.topic, row_number() OVER (PARTITION BY p.topic ORDER BY 0.7::DOUBLE * p.composite_score - (1 - 0.7::DOUBLE) * coalesce(m.s, 0) DESC, p.place) AS r
+    FROM p LEFT JOIN (SELECT a, max(s) AS s FROM sim SEMI JOIN c{k - 1} c ON c.id = sim.b GROUP BY a) m ON m.a = p.id
+    WHERE p.id NOT IN (SELECT id FROM c{k - 1})) WHERE r = 1)""")
+    return ",\n".join(out)
+
+
+@query("D6_mmr_by_topic", W + ", " + mmr_sql(12) + " SELECT id, topic, rank FROM c12")
+def d6_topics(spark, sf):
+    """Twelve of the forty best of each topic, at lambda 0.7."""
+    best = Window.partitionBy("topic").orderBy(rank.by_composite(), rank.newest(), "id")
+    scored = items(spark, sf).where("composite_score is not null and topic is not null")
+    pool = scored.withColumn("_rn", F.row_number().over(best)).where("_rn <= 40").drop("_rn")
+    return rank.mmr(pool, 0.7, 12, by="topic").select("id", "topic", "rank")
+
+
 @query("T11_window", W + """SELECT CASE WHEN count(*) FILTER (ed >= TIMESTAMP '2024-01-29') >= 5 THEN 48 WHEN count(*) FILTER (ed >= TIMESTAMP '2024-01-28') >= 5 THEN 72 ELSE 168 END AS hours FROM items WHERE composite_score IS NOT NULL""")
 def t11(spark, sf):
     return spark.range(1).select(F.lit(rank.feed_window(items(spark, sf), at())).alias("hours"))

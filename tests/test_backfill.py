@@ -105,7 +105,29 @@ def test_nearest_of_all_equals_brute_force(spark):
         assert sorted(r.item_id for r in got if r.query_id == q) == sorted(k for _, k in want)
 
 
-def test_components_of_a_chain_longer_than_a_hundred_links(spark):
-    nodes = spark.range(130)
-    edges = spark.createDataFrame([(k, k + 1) for k in range(129)], "a_id long, b_id long")
-    assert {r.component for r in dedup.min_label_components(edges, nodes).collect()} == {0}
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark):
+    rng = np.random.default_rng(7)
+    rounds = {}
+    for n in (30, 500):
+        names = rng.permutation(n).tolist()
+        edges = spark.createDataFrame([(names[k], names[k + 1]) for k in range(n - 1)] + [(5, 5), (None, 3)], "a_id long, b_id long")
+        found, rounds[n] = dedup.stars(edges)
+        assert found.count() == n - 1 and found.select("centre").distinct().collect() == [(0,)]
+    assert rounds[500] <= 12 and rounds[500] - rounds[30] <= 6
+
+
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(8)
+    pairs = rng.integers(0, 300, (200, 2)).tolist()
+    root = list(range(300))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[max(top(x), top(y))] = min(top(x), top(y))
+    got = dedup.components(spark.createDataFrame(pairs, "a_id long, b_id long"), spark.range(300)).collect()
+    assert {r.id: r.component for r in got} == {x: top(x) for x in range(300)}
+    assert dedup.components(spark.createDataFrame([], "a_id long, b_id long"), spark.range(2)).count() == 2

@@ -4,6 +4,7 @@ import datetime
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,18 @@ def test_text_search_ranks_dense_first(spark):
     i = items(spark, dict(title="sparse", full_text="neural networks once"), dict(title="dense", full_text="neural networks neural networks neural"), dict(title="neither"), dict(title="like NEURAL networkss"))
     got = [r.id for r in search(i.withColumn("summary", F.lit(None).cast("string")), "neural networks", 10).collect()]
     assert got == [1, 0, 3]
+
+
+def test_lazy_choice_equals_eager_choice():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 40, 150):
+        facts = [(int(rng.integers(3)), int(rng.integers(4)), [None, "a", "b"][rng.integers(3)], frozenset(rng.choice(list("abcdefgh"), rng.integers(0, 5)).tolist())) for _ in range(n)]
+        quality = rng.choice([0.0, 0.2, 0.5, 0.9], n).tolist()
+        for lambda_ in (0.0, 0.3, 0.7, 1.0):
+            left, chosen = list(range(n)), []
+            while left and len(chosen) < 25:
+                near = lambda i: max((rank.item_similarity(facts[i], facts[c]) for c in chosen), default=0.0)  # noqa: B023, E731
+                best = max(left, key=lambda i: lambda_ * quality[i] - (1 - lambda_) * near(i))
+                left.remove(best)
+                chosen.append(best)
+            assert rank.choose(quality, facts, lambda_, 25) == chosen
