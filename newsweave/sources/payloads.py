@@ -73,7 +73,7 @@ def hackernews_leading(payloads: DataFrame, domains: tuple[str, ...] = AUTHORITA
         published_at=F.timestamp_seconds("created_at_i"), score=F.coalesce("points", F.lit(0)),
         metadata=F.to_json(F.struct(F.lit("leading").alias("lane"), S.host("url").alias("domain"), F.col("objectID").alias("story_id"), "num_comments")),
     )
-    return out.orderBy("ord").limit(cap)
+    return _cap(out, cap)
 
 
 def _entries(xml: str | None) -> list[dict]:
@@ -146,7 +146,7 @@ def arxiv(payloads: DataFrame, keywords: tuple[str, ...], cap: int = 50) -> Data
         found, "arxiv", title=F.col("title"), url=F.col("link"), text=F.col("body"), author=author, published_at=F.col("published"), score=F.lit(0),
         metadata=F.to_json(F.struct("arxiv_id", F.get("tags", F.lit(0)).alias("category"), S.pdf_url("link").alias("pdf_url"))),
     )
-    return out.orderBy("ord").limit(cap)
+    return _cap(out, cap)
 
 
 def _quote(word: str) -> str:
@@ -198,7 +198,7 @@ def github_trending(payloads: DataFrame, as_of: Column, marker: str = '<article
         author=F.get(F.split("full_name", "/"), F.lit(0)), published_at=as_of, score=F.coalesce("stars", F.lit(0)),
         metadata=F.to_json(F.struct("language", "stars", F.col("today").alias("stars_today"))),
     )
-    return out.orderBy("ord").limit(cap)
+    return _cap(out, cap)
 
 
 REPOS = "items array<struct<full_name: string, html_url: string, description: string, stargazers_count: long, language: string, created_at: string, pushed_at: string, topics: array<string>, forks_count: long, owner: struct<login: string>>>"
@@ -230,7 +230,7 @@ def huggingface_models(payloads: DataFrame, cutoff: Column, min_downloads: int =
         text=S.model_text(F.col("id"), F.col("pipeline_tag"), F.col("library_name")), author=F.get(F.split("id", "/"), F.lit(0)), published_at=modified,
         score=F.col("downloads"), metadata=F.to_json(F.struct("pipeline_tag", "downloads", "likes", "tags", F.lit("model").alias("type"))),
     )
-    return out.orderBy("ord").limit(cap)
+    return _cap(out, cap)
 
 
 PAPERS = "array<struct<paper: struct<id: string, title: string, upvotes: long, publishedAt: string>>>"
