@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -138,15 +138,20 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, F.col("id") == F.col("leaf"), "left").select("id", F.coalesce("centre", "id").alias("component"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one is taken only where none is set
+    and driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="newsweave-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of the session; a temporary one is taken only where
-    none is set and driver and executors are one process."""
+    """Checkpoint in the shared folder of the session."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsweave-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -40,8 +40,11 @@ def merge_items(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_absent(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """K2, K3, K5, K8: rows of new whose keys aren't stored, one for each key."""
-    return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """K2, K3, K5, K8: rows of new whose keys aren't stored; of each key the first by ``ord``, without
+    that column the least by a hash of the row, so reruns agree."""
+    order = F.struct("ord", F.xxhash64(*new.columns)) if "ord" in new.columns else F.xxhash64(*new.columns)
+    first = new.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*new.columns), order).alias("_row"))
+    return first.select("_row.*").join(stored.select(*keys), keys, "left_anti").select(*new.columns)
 
 
 def merge_briefing(stored: DataFrame, run: DataFrame) -> DataFrame:

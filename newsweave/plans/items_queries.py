@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import SOURCES
 from ..functions import scalars as S
-from ..operators import dedup, filters, rank, stats, store
+from ..operators import dedup, filters, rank, search_index, stats, store
 from .bindings import ITEMS_SQL, RUNS_SQL, at, embeddings, items, runs, table
-from .registry import query
+from .registry import SQL, query, same
 
 DAY, TODAY = "2024-01-25", "2024-01-30"
 W = f"WITH {ITEMS_SQL}"
@@ -146,6 +148,25 @@ def search(df, text: str, limit: int, sort_by: str = "relevance"):
     return kept.orderBy(*order, "id").limit(limit).select("id", "rank")
 
 
+def indexed(spark, sf) -> str:
+    """A search index of the items in the shared folder."""
+    path = f"{dedup.shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    search_index.write_batch(items(spark, sf).withColumn("search_vector", store.search_vector()), path, 0)
+    return path
+
+
+@query("Q13_search_index", SQL["Q13_search"])
+def q13_index(spark, sf):
+    return search_indexed(items(spark, sf), indexed(spark, sf), "the reddit", 50)
+
+
+def search_indexed(df, path: str, text: str, limit: int):
+    """As search() by rank, with an index: words from postings, and contains on the short columns."""
+    like = df.where(filters.contains_any(text, "title", "source", "summary")).select("id", F.lit(0.0).alias("rank"))
+    both = search_index.full_text(df.sparkSession, path, text).unionByName(like).groupBy("id").agg(F.round(F.max("rank"), 6).alias("rank"))
+    return both.orderBy(F.col("rank").desc(), "id").limit(limit)
+
+
 @query("Q13_search_like", W + """SELECT id, 0.0::DOUBLE AS rank FROM items WHERE coalesce(title ILIKE '%th_s%', false) OR coalesce(source ILIKE '%th_s%', false) OR coalesce(summary ILIKE '%th_s%', false)
 ORDER BY score DESC NULLS LAST, id LIMIT 30""")
 def q13b(spark, sf):
@@ -323,6 +344,11 @@ def p11(spark, sf):
     return items(spark, sf).where(filters.matches_all(store.search_vector(), "The license OF")).select("id")
 
 
+@query("P11_full_text_index", SQL["P11_full_text"])
+def p11_index(spark, sf):
+    return search_index.full_text(spark, indexed(spark, sf), "The license OF").select("id")
+
+
 @query("P13_validation", W + "SELECT id, list_filter([CASE WHEN coalesce(trim(title), '') = '' THEN 'missing or empty title' END, CASE WHEN coalesce(trim(url), '') = '' THEN 'missing or empty url' END], lambda x: x IS NOT NULL) AS errors FROM items")
 def p13(spark, sf):
     return items(spark, sf).select("id", filters.errors().alias("errors"))
@@ -381,18 +407,15 @@ def j5(spark, sf):
     return table(spark, sf, "pages").where(S.host_in(S.host("url"), ("example.com",))).select("page_id")
 
 
-@query("J8_absent_hashes", W + "SELECT id FROM items n WHERE n.id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM items s WHERE s.id % 3 = 1 AND sha256(s.title || '|' || coalesce(s.url, '')) = sha256(n.title || '|' || coalesce(n.url, '')))")
-def j8(spark, sf):
-    i = items(spark, sf).withColumn("content_hash", S.content_hash())
-    return i.where("id % 3 = 0").join(i.where("id % 3 = 1").select("content_hash"), "content_hash", "left_anti").select("id")
-
-
 @query("J8_absent_hashes_all", W + "SELECT id FROM items n WHERE n.id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM items s WHERE s.id % 3 <> 0 AND sha256(s.title || '|' || coalesce(s.url, '')) = sha256(n.title || '|' || coalesce(n.url, '')))")
 def j8_all(spark, sf):
     i = items(spark, sf).withColumn("content_hash", S.content_hash())
     return i.where("id % 3 = 0").join(i.where("id % 3 <> 0").select("content_hash"), "content_hash", "left_anti").select("id")
 
 
+same("J8_absent_hashes", "J8_absent_hashes_all")
+
+
 @query("J10_distances", "SELECT e.vec_id AS item_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q")
 def j10(spark, sf):
     e = embeddings(spark, sf)

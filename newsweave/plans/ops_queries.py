@@ -13,7 +13,7 @@ from ..streaming import jobs
 from ..streaming.breaker import breaker_states
 from . import pipeline
 from .bindings import ITEMS_SQL, RUNS_SQL, SURROGATE_KEYWORDS, at, items, runs, table
-from .registry import query
+from .registry import query, same
 
 W = f"WITH {ITEMS_SQL}"
 AS_OF_SQL = "TIMESTAMP '2024-01-31'"
@@ -485,15 +485,6 @@ def _briefing_sql(name: str, keep: str) -> str:
 REPLACED = ", ".join(f"CASE WHEN b.date IS NOT NULL THEN b.{c} ELSE a.{c} END AS {c}" for c in ("items_extracted", "items_after_dedup", "items_filtered", "trending_count", "duration_seconds"))
 
 
-@query("K4_briefing_upsert", f"""WITH {_briefing_sql('a', "user_id % 2 = 0 AND ts < TIMESTAMP '2024-01-25'")}, {_briefing_sql('b', "user_id % 2 = 1 AND ts >= TIMESTAMP '2024-01-05'")}
-SELECT coalesce(a.date, b.date) AS date, coalesce(a.total_items, 0) + coalesce(b.total_items, 0) AS total_items, {REPLACED},
-CASE WHEN a.date IS NULL THEN b.sources WHEN b.date IS NULL THEN a.sources ELSE list_sort(list_distinct(list_concat(a.sources, b.sources))) END AS sources FROM a FULL OUTER JOIN b ON a.date = b.date""")
-def k4(spark, sf):
-    e = table(spark, sf, "events")
-    ts = lambda t: F.lit(t).cast("timestamp_ntz")
-    return store.merge_briefing(_briefing(e, (F.col("user_id") % 2 == 0) & (F.col("ts") < ts("2024-01-25"))), _briefing(e, (F.col("user_id") % 2 == 1) & (F.col("ts") >= ts("2024-01-05"))))
-
-
 @query("K4_briefing_upsert_all", f"""WITH {_briefing_sql('a', "user_id % 2 = 0")}, {_briefing_sql('b', "coalesce(user_id % 2 <> 0, true)")}
 SELECT coalesce(a.date, b.date) AS date, coalesce(a.total_items, 0) + coalesce(b.total_items, 0) AS total_items, {REPLACED},
 CASE WHEN a.date IS NULL THEN b.sources WHEN b.date IS NULL THEN a.sources ELSE list_sort(list_distinct(list_concat(a.sources, b.sources))) END AS sources FROM a FULL OUTER JOIN b ON a.date = b.date""")
@@ -503,22 +494,22 @@ def k4_all(spark, sf):
     return store.merge_briefing(_briefing(e, even), _briefing(e, F.coalesce(~even, F.lit(True))))
 
 
+same("K4_briefing_upsert", "K4_briefing_upsert_all")
+
+
 @query("K14_remap", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'models' WHEN 'MACHINERY' THEN 'tools' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def k14(spark, sf):
     return store.remap(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", {"BUILDING": "models", "MACHINERY": "tools"})
 
 
-@query("K16_cascade", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
-def k16(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id % 3 = 0")
-    return store.cascade(table(spark, sf, "embeddings").select("vec_id"), docs, "vec_id", "doc_id")
-
-
 @query("K16_cascade_all", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
 def k16_all(spark, sf):
     return store.cascade(table(spark, sf, "embeddings").select("vec_id"), table(spark, sf, "documents"), "vec_id", "doc_id")
 
 
+same("K16_cascade", "K16_cascade_all")
+
+
 @query("K20_sse", W + """SELECT id, 'event: item' || chr(10) || 'data: {"id":' || id || ',"source":"' || source || '"}' || chr(10) || chr(10) AS frame FROM items""")
 def k20(spark, sf):
     return items(spark, sf).select("id", pipeline.sse("item", "id", "source").alias("frame"))

@@ -22,3 +22,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def same(name: str, of: str) -> None:
+    """Register a query by an earlier name, too."""
+    QUERIES[name] = QUERIES[of]
+    if of in SQL:
+        SQL[name] = SQL[of]
