@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import scalars as S
-from ..functions.udfs import title_similarity
+from ..functions import titles
+from ..functions.udfs import similarity
 
 
 def best_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -66,45 +68,46 @@ def unseen_by_url(new: DataFrame, stored: DataFrame, as_of: Column, days: int =
     return new.withColumn("url_hash", S.url_hash()).join(recent, "url_hash", "left_anti")
 
 
-def similar_titles(left: DataFrame, right: DataFrame, threshold: float = DEFAULT.title_similarity, by: list[str] = ()) -> DataFrame:
-    """Pairs (a_id, b_id, similarity) of titles at or above the threshold.
+def similar_titles(left: DataFrame, right: DataFrame, by: list[str], threshold: float = DEFAULT.title_similarity) -> DataFrame:
+    """Pairs (a_id, b_id, similarity) of titles at or above the threshold that agree in the columns ``by``.
 
-    left and right have id, title and the columns of ``by``.  Titles meet by those
-    columns; without any, ``right`` must be small, as every title meets it.  Cheap
-    bounds come before the UDF, without loss: where similarity s is at least t,
-    LCS >= t (la + lb) / 2, so the lengths' ratio is at least t / (2 - t), and sums of
-    common letters bound LCS from above.
+    left and right have id, title and these columns.  Bounds come before the common
+    subsequence, without loss: where similarity s is at least t, the lengths' ratio is at least
+    t / (2 - t), here and in the join; common characters and pairs of neighbours in the UDF.
     """
     ratio = max(DEFAULT.title_length_ratio, threshold / (2 - threshold))
-    a = left.select(F.col("id").alias("a_id"), F.col("title").alias("a"), *[F.col(c).alias(f"a_{c}") for c in by], _letters("title").alias("al"))
-    b = right.select(F.col("id").alias("b_id"), F.col("title").alias("b"), *[F.col(c).alias(f"b_{c}") for c in by], _letters("title").alias("bl"))
+
+    @F.pandas_udf("double")
+    def checked(a: pd.Series, b: pd.Series) -> pd.Series:
+        maybe = titles.may_be_similar(a, b, threshold, ratio)
+        return pd.Series([similarity(x, y) if m else 0.0 for x, y, m in zip(a, b, maybe, strict=True)], dtype="float64")
+
+    a = left.select(F.col("id").alias("a_id"), F.col("title").alias("a"), *[F.col(c).alias(f"a_{c}") for c in by])
+    b = right.select(F.col("id").alias("b_id"), F.col("title").alias("b"), *[F.col(c).alias(f"b_{c}") for c in by])
     la, lb = F.length("a"), F.length("b")
-    near = (F.least(la, lb) >= F.lit(ratio - 1e-9) * F.greatest(la, lb)) & (F.least(la, lb) > 0)
-    on = near
+    on = (F.least(la, lb) >= F.lit(ratio - 1e-9) * F.greatest(la, lb)) & (F.least(la, lb) > 0)
     for c in by:
         on = on & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    common = F.aggregate(F.zip_with("al", "bl", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = a.join(b, on).where(common >= F.lit(threshold / 2) * (F.size(F.split(F.lower("a"), "")) + F.size(F.split(F.lower("b"), ""))) - 1e-9)
-    return pairs.withColumn("similarity", title_similarity("a", "b")).where(F.col("similarity") >= threshold).select("a_id", "b_id", "similarity")
-
-
-def _letters(title: str) -> Column:
-    """Counts of 27 classes of letters (a-z and the rest) in the lower-cased title."""
-    low = F.lower(title)
-    n = lambda c: F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))
-    letters = [n(chr(97 + i)).alias(chr(97 + i)) for i in range(26)]
-    return F.array(*letters, F.length(F.regexp_replace(low, "[a-z]", "")))
+    return a.join(b, on).withColumn("similarity", checked("a", "b")).where(F.col("similarity") >= threshold).select("a_id", "b_id", "similarity")
 
 
 def unseen_by_title(new: DataFrame, stored: DataFrame, as_of: Column, settings: Settings = DEFAULT) -> DataFrame:
     """New rows that resemble none of the newest stored titles in the window.
 
-    The stored side is at most ``seen_titles`` rows, so it is broadcast.
+    These are at most ``seen_titles``, so they go to every task, and new rows are filtered where they are: no
+    join, and the work grows with the new rows only.
     """
     recent = stored.where(F.col("created_at") >= (as_of - F.make_dt_interval(days=F.lit(settings.seen_days))))
-    newest = F.broadcast(recent.orderBy(F.col("created_at").desc(), "id").limit(settings.seen_titles).select("id", "title"))
-    seen = similar_titles(new.select("id", "title"), newest, settings.title_similarity).select(F.col("a_id").alias("id")).distinct()
-    return new.join(seen, "id", "left_anti")
+    newest = [r["title"] for r in recent.orderBy(F.col("created_at").desc(), "id").limit(settings.seen_titles).select("title").collect()]
+    threshold = settings.title_similarity
+    ratio = max(settings.title_length_ratio, threshold / (2 - threshold))
+    shared = new.sparkSession.sparkContext.broadcast(titles.Titles(newest))
+
+    @F.pandas_udf("boolean")
+    def seen(title: pd.Series) -> pd.Series:
+        return pd.Series(titles.resembling(titles.Titles(title), shared.value, threshold, ratio))
+
+    return new.where(~seen("title"))
 
 
 def stars(edges: DataFrame) -> tuple[DataFrame, int]:
@@ -172,7 +175,7 @@ def event_dedup(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     small = sized.where((F.col("_n") > 1) & (F.col("_n") <= settings.event_group_limit)).drop("_n")
     rest = sized.where((F.col("_n") <= 1) | (F.col("_n") > settings.event_group_limit)).drop("_n")
     keyed = small.select("id", "title", "topic")
-    edges = similar_titles(keyed, keyed, settings.title_similarity, ["topic"]).where("a_id < b_id")
+    edges = similar_titles(keyed, keyed, ["topic"], settings.title_similarity).where("a_id < b_id")
     placed = small.join(components(edges, keyed), "id")
     value = F.coalesce("score", F.lit(0)) + 100 * F.col("relevance_score")
     ranked = placed.withColumn("source_count", F.count("*").over(Window.partitionBy("component")))

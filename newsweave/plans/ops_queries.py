@@ -396,7 +396,7 @@ def d5(spark, sf):
 @query("J6_title_pairs", W + f", {event_edges_sql('items', BATCH)} SELECT a_id, b_id, round(similarity, 6) AS similarity FROM ed")
 def j6(spark, sf):
     i = dedup.within_limit(batch_topics(spark, sf)).select("id", "title", "topic")
-    return dedup.similar_titles(i, i, 0.80, ["topic"]).where("a_id < b_id").select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
+    return dedup.similar_titles(i, i, ["topic"], 0.80).where("a_id < b_id").select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
 
 
 #: One run of each source a step, as the reference keeps its state.
@@ -518,7 +518,7 @@ def k20(spark, sf):
 @query("C1_pipeline")
 def c1(spark, sf):
     i = items(spark, sf)
-    merged, _ = pipeline.run_pipeline(i.where("id % 2 = 0"), i.where("id % 2 = 1"), at(), SURROGATE)
+    merged, _ = pipeline.run_pipeline(i.where("id % 2 = 0"), i.where("id % 2 = 1"), at(), SURROGATE, count=False)
     return merged.select("url_hash", "id", "title", "topic", "composite_score", "action")
 
 

@@ -8,6 +8,7 @@ its row count is wanted anyway.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,8 +77,8 @@ def run_validation(df: DataFrame, settings: Settings = DEFAULT, enabled: bool =
     return dedup.greedy_jaccard(kept, settings)
 
 
-def run_pipeline(new: DataFrame, stored: DataFrame, as_of: Column, settings: Settings = DEFAULT, provider: Provider | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """C1 up to the merged table: (merged rows with action, counters A26)."""
+def run_pipeline(new: DataFrame, stored: DataFrame, as_of: Column, settings: Settings = DEFAULT, provider: Provider | None = None, count: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """C1 up to the merged table: (merged rows with action, counters A26, none of them unless ``count``)."""
     unique = dedup.cut(dedup.hash_dedup(new).drop("part", "place", "content_hash"))
     unseen = dedup.unseen_by_url(unique, stored, as_of, settings.seen_days)
     fresh = dedup.cut(dedup.unseen_by_title(unseen, stored, as_of, settings))
@@ -91,15 +92,27 @@ def run_pipeline(new: DataFrame, stored: DataFrame, as_of: Column, settings: Set
         if c not in hashed.columns:
             hashed = hashed.withColumn(c, F.lit(None).cast(stored.schema[c].dataType))
     base = stored.withColumn("url_hash", S.url_hash()).where("url_hash is not null")
-    best = dedup.best_by(base, ["url_hash"], F.col("composite_score").desc_nulls_last(), F.col("created_at").desc(), F.col("id"))
+    order = F.struct(
+        F.col("composite_score").isNull(), -F.coalesce("composite_score", F.lit(0.0)), -F.unix_micros(F.col("created_at").cast("timestamp")), F.col("id")
+    )
+    best = dedup.least_by(base, ["url_hash"], order)
     merged = dedup.cut(store.merge_items(best.select("url_hash", *columns), hashed.select("url_hash", *columns)))
-    n_unique, n_fresh = unique.count(), fresh.count()
-    counters = {
-        "extracted": new.count(), "after_dedup": n_unique, "seen_filtered": n_unique - n_fresh, "classified": classified.count(),
-        "validated": validated.count(), "stored": merged.where("action <> 'unchanged'").count(),
-        "trending": classified.where("trending").count(),
+    return merged, _counters(new, unique, fresh, classified, validated, merged) if count else {}
+
+
+def _counters(new: DataFrame, unique: DataFrame, fresh: DataFrame, classified: DataFrame, validated: DataFrame, merged: DataFrame) -> dict[str, int]:
+    """A26, all of them in one job."""
+    every = F.count("*")
+    asked = {
+        "extracted": (new, every), "unique": (unique, every), "fresh": (fresh, every), "classified": (classified, every), "validated": (validated, every),
+        "stored": (merged, F.count_if(F.col("action") != "unchanged")), "trending": (classified, F.count_if("trending")),
+    }
+    parts = [df.agg(value.alias("n")).select(F.lit(name).alias("name"), "n") for name, (df, value) in asked.items()]
+    n = {r["name"]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()}  # a row a counter
+    return {
+        "extracted": n["extracted"], "after_dedup": n["unique"], "seen_filtered": n["unique"] - n["fresh"], "classified": n["classified"],
+        "validated": n["validated"], "stored": n["stored"], "trending": n["trending"],
     }
-    return merged, counters
 
 
 def run_record(counters: dict[str, int], status: str = "success", error: str | None = None) -> dict:

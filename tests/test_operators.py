@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsweave.config import Settings
+from newsweave.functions import titles
 from newsweave.functions.udfs import similarity
 from newsweave.operators import dedup, filters, rank, stats, store
 from newsweave.plans.items_queries import search
@@ -59,7 +60,7 @@ def test_title_pairs_lose_nothing(spark, seed):
     words = ["alpha", "beta", "gamma", "delta", "Epsilon", "İx", "été"]
     titles = [" ".join(rng.choices(words, k=rng.randint(2, 6))) for _ in range(60)]
     i = items(spark, *[dict(title=t) for t in titles]).select("id", "title")
-    got = {(r.a_id, r.b_id) for r in dedup.similar_titles(i, i).where("a_id < b_id").collect()}
+    got = {(r.a_id, r.b_id) for r in dedup.similar_titles(*[i.withColumn("k", F.lit(1))] * 2, ["k"]).where("a_id < b_id").collect()}
     assert got == {(a, b) for a, b in itertools.combinations(range(60), 2) if similarity(titles[a], titles[b]) >= 0.8}
 
 
@@ -213,3 +214,23 @@ def test_lazy_choice_equals_eager_choice():
                 left.remove(best)
                 chosen.append(best)
             assert rank.choose(quality, facts, lambda_, 25) == chosen
+
+
+def test_bounds_of_titles_lose_nothing():
+    rng = np.random.default_rng(12)
+    letters = list("abcdeéß漢İ ")
+    base = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(40)]
+    more = []
+    for t in base:
+        for rate in (0.05, 0.15, 0.25):
+            more.append("".join(c if rng.random() > rate else str(rng.choice(letters)) * int(rng.integers(0, 3)) for c in t))
+    a, b = [*base, None, "", "İİİİ"], [*more, None, "", "i̇i̇i̇i̇"]
+    for threshold in (0.5, 0.8, 0.95):
+        ratio = max(0.6, threshold / (2 - threshold))
+        want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if similarity(x, y, ratio) >= threshold}
+        got = set(zip(*(x.tolist() for x in titles.candidates(titles.Titles(a), titles.Titles(b), threshold, ratio))))
+        assert want <= got and len(got) < 0.5 * len(a) * len(b)
+        assert titles.resembling(titles.Titles(a), titles.Titles(b), threshold, ratio).tolist() == [any(i == k for i, _ in want) for k in range(len(a))]
+        side = [(x, y) for x in a for y in b]
+        kept = titles.may_be_similar([x for x, _ in side], [y for _, y in side], threshold, ratio)
+        assert {(k // len(b), k % len(b)) for k in np.flatnonzero(kept)} == got
