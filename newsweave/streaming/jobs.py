@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.bucketed import BucketedTable
 from ..operators.store import VersionedTable
 
 
@@ -30,6 +31,16 @@ def upsert_into(table: VersionedTable, prepare: Callable[[DataFrame], DataFrame]
     return write
 
 
+def merge_into(table: BucketedTable, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink into buckets; a batch is known by its number, so one that is run
+    again changes nothing."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        table.upsert(prepare(batch), f"epoch-{epoch}")
+
+    return write
+
+
 def windowed_counts(stream: DataFrame, keys: list[str], ts: str = "ts", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling event-time counts with a watermark."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
