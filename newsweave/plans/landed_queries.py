@@ -82,7 +82,12 @@ def documents(rows: DataFrame, entry: Column, head: str, tail: str) -> DataFrame
     return listed.select("ord", F.concat(F.lit(head), F.concat_ws("", F.transform("es", lambda x: x["e"])), F.lit(tail)).alias("payload"))
 
 
-KEY, CUSTOMER = F.col("o_orderkey"), F.col("o_custkey")
+def key() -> Column:
+    return F.col("o_orderkey")
+
+
+def customer() -> Column:
+    return F.col("o_custkey")
 
 
 def text(*parts: Column | str) -> Column:
@@ -93,7 +98,8 @@ def mail_date() -> Column:
     return F.concat(F.date_format("o_orderdate", "EEE, dd MMM yyyy"), F.lit(" 00:00:00 GMT"))
 
 
-SECONDS = F.unix_timestamp("published_at").alias("published_s")
+def published() -> Column:
+    return F.unix_timestamp("published_at").alias("published_s")
 
 
 @query("S2_leading_stories", """SELECT title, url, score, published_s FROM (
@@ -101,13 +107,13 @@ SELECT 'story & ' || o_orderkey AS title, 'https://' || CASE o_orderkey % 3 WHEN
   CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 200 END AS score, epoch(o_orderdate::TIMESTAMP)::BIGINT AS published_s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
 FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderdate > TIMESTAMP '1995-02-01') WHERE rn = 1""")
 def s2(spark, sf):
-    host = F.element_at(F.array(F.lit("openai.com"), F.lit("blog.mistral.ai"), F.lit("notopenai.com")), (KEY % 3 + 1).cast("int"))
+    host = F.element_at(F.array(F.lit("openai.com"), F.lit("blog.mistral.ai"), F.lit("notopenai.com")), (key() % 3 + 1).cast("int"))
     story = F.struct(
-        KEY.alias("k"), CUSTOMER.cast("string").alias("objectID"), text("story &amp; ", KEY).alias("title"), F.concat(F.lit("https://"), host, F.lit("/"), KEY).alias("url"),
-        F.when(KEY % 7 != 0, KEY % 200).alias("points"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("created_at_i"),
+        key().alias("k"), customer().cast("string").alias("objectID"), text("story &amp; ", key()).alias("title"), F.concat(F.lit("https://"), host, F.lit("/"), key()).alias("url"),
+        F.when(key() % 7 != 0, key() % 200).alias("points"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("created_at_i"),
     )
     found = payloads.hackernews_leading(pages(table(spark, sf, "orders"), story, "hits", False).select("ord", "payload"), since=791596800, cap=0)
-    return found.select("title", "url", "score", SECONDS)
+    return found.select("title", "url", "score", published())
 
 
 @query("S3_papers", """SELECT title, url, text, author, published_s, pdf_url FROM (
@@ -116,16 +122,16 @@ SELECT 'Paper ' || o_orderkey AS title, u AS url, 'new ' || CASE WHEN o_orderkey
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
 FROM (SELECT *, 'https://arxiv.org/abs/24.' || o_custkey || 'v' || (o_orderkey % 3) AS u, CASE WHEN o_orderkey % 2 = 0 THEN 'LLMs' ELSE 'plants' END AS w FROM orders) WHERE o_orderkey % 5 <> 0) WHERE rn = 1 AND w = 'LLMs'""")
 def s3(spark, sf):
-    about = F.when(KEY % 2 == 0, "LLMs").otherwise("plants")
-    named = F.when(KEY % 4 == 0, text("Authors: P ", KEY, "\n")).otherwise("")
-    creators = F.when(KEY % 6 == 0, "<author><name>N</name></author><author><name>M</name></author>").otherwise("")
+    about = F.when(key() % 2 == 0, "LLMs").otherwise("plants")
+    named = F.when(key() % 4 == 0, text("Authors: P ", key(), "\n")).otherwise("")
+    creators = F.when(key() % 6 == 0, "<author><name>N</name></author><author><name>M</name></author>").otherwise("")
     entry = F.concat(
-        text("<item><title>Paper ", KEY, "</title><link>https://arxiv.org/abs/24.", CUSTOMER, "v", KEY % 3, "</link><description>Announce Type: "),
-        F.when(KEY % 5 != 0, "new").otherwise("replace"), F.lit("\n"), named, text("Abstract: ", about, " of ", KEY, "</description>"), creators,
+        text("<item><title>Paper ", key(), "</title><link>https://arxiv.org/abs/24.", customer(), "v", key() % 3, "</link><description>Announce Type: "),
+        F.when(key() % 5 != 0, "new").otherwise("replace"), F.lit("\n"), named, text("Abstract: ", about, " of ", key(), "</description>"), creators,
         F.lit("<pubDate>"), mail_date(), F.lit("</pubDate></item>"),
     )
     found = payloads.arxiv(documents(table(spark, sf, "orders"), entry, "<rss><channel>", "</channel></rss>"), ("LLM", "agent"), cap=0)
-    return found.select("title", "url", "text", "author", SECONDS, F.get_json_object("metadata", "$.pdf_url").alias("pdf_url"))
+    return found.select("title", "url", "text", "author", published(), F.get_json_object("metadata", "$.pdf_url").alias("pdf_url"))
 
 
 @query("S4_posts", """SELECT title, url, text, score, published_s FROM (
@@ -134,14 +140,14 @@ SELECT 'post ' || o_orderkey AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'https:
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
 FROM orders WHERE o_orderkey % 11 <> 0) WHERE rn = 1""")
 def s4(spark, sf):
-    post = F.struct(KEY.alias("k"), F.struct(
-        text("r", CUSTOMER).alias("id"), text("post ", KEY).alias("title"), text("https://x.org/", KEY).alias("url"), text("/r/x/", KEY).alias("permalink"),
-        F.when(KEY % 3 != 0, text("text ", KEY)).otherwise("").alias("selftext"), (KEY % 2 == 0).alias("is_self"), (KEY % 11 == 0).alias("stickied"),
-        (KEY % 300).alias("score"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("created_utc"),
+    post = F.struct(key().alias("k"), F.struct(
+        text("r", customer()).alias("id"), text("post ", key()).alias("title"), text("https://x.org/", key()).alias("url"), text("/r/x/", key()).alias("permalink"),
+        F.when(key() % 3 != 0, text("text ", key())).otherwise("").alias("selftext"), (key() % 2 == 0).alias("is_self"), (key() % 11 == 0).alias("stickied"),
+        (key() % 300).alias("score"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("created_utc"),
     ).alias("data"))
     rows = pages(table(spark, sf, "orders"), post, "children", False)
     found = payloads.reddit(rows.select("ord", F.concat(F.lit('{"data": '), "payload", F.lit("}")).alias("payload")), cap=0)
-    return found.select("title", "url", "text", "score", SECONDS)
+    return found.select("title", "url", "text", "score", published())
 
 
 @query("S5_feeds", """SELECT title, url, text, author, published_s FROM (
@@ -150,13 +156,13 @@ SELECT 'News ' || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN ' - Other' ELS
 FROM orders) WHERE rn = 1 AND (published_s IS NULL OR published_s >= epoch(TIMESTAMP '1997-01-01'))""")
 def s5(spark, sf):
     entry = F.concat(
-        text("<item><title>News ", KEY), F.when(KEY % 4 == 0, " - Other").otherwise(" - Pub"), text("</title><link>https://n.example.com/", CUSTOMER, "</link>"),
-        text("<description>&lt;p&gt;Text ", KEY, " &amp;amp;  more&lt;/p&gt;</description><source>Pub</source>"),
-        F.when(KEY % 5 == 0, text("<author>A", CUSTOMER, "</author>")).otherwise(""),
-        F.when(KEY % 6 != 0, F.concat(F.lit("<pubDate>"), mail_date(), F.lit("</pubDate>"))).otherwise(""), F.lit("</item>"),
+        text("<item><title>News ", key()), F.when(key() % 4 == 0, " - Other").otherwise(" - Pub"), text("</title><link>https://n.example.com/", customer(), "</link>"),
+        text("<description>&lt;p&gt;Text ", key(), " &amp;amp;  more&lt;/p&gt;</description><source>Pub</source>"),
+        F.when(key() % 5 == 0, text("<author>A", customer(), "</author>")).otherwise(""),
+        F.when(key() % 6 != 0, F.concat(F.lit("<pubDate>"), mail_date(), F.lit("</pubDate>"))).otherwise(""), F.lit("</item>"),
     )
     feeds = documents(table(spark, sf, "orders"), entry, "<rss><channel>", "</channel></rss>")
-    return payloads.rss(feeds, F.lit("1997-01-01").cast("timestamp"), cap=0).select("title", "url", "text", "author", SECONDS)
+    return payloads.rss(feeds, F.lit("1997-01-01").cast("timestamp"), cap=0).select("title", "url", "text", "author", published())
 
 
 @query("S6_trending", """SELECT title, url, author, score, stars_today FROM (
@@ -164,11 +170,11 @@ SELECT 'o' || o_custkey || '/r' || (o_custkey % 7) || ': An LLM & ' || o_orderke
   CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 1000 + o_orderkey END AS score, (o_orderkey % 50)::VARCHAR AS stars_today, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
 FROM orders WHERE o_orderkey % 2 = 0) WHERE rn = 1""")
 def s6(spark, sf):
-    name = text("/o", CUSTOMER, "/r", CUSTOMER % 7)
+    name = text("/o", customer(), "/r", customer() % 7)
     row = F.concat(
-        F.lit('<article class="Box-row"><h2 class="h3">\n<a href="'), name, F.lit('">x</a></h2>\n<p class="c">An '), F.when(KEY % 2 == 0, "LLM").otherwise("plant"), text(" &amp; <b>", KEY, "</b></p>"),
+        F.lit('<article class="Box-row"><h2 class="h3">\n<a href="'), name, F.lit('">x</a></h2>\n<p class="c">An '), F.when(key() % 2 == 0, "LLM").otherwise("plant"), text(" &amp; <b>", key(), "</b></p>"),
         F.lit('<span itemprop="programmingLanguage">Rust</span>'),
-        F.when(KEY % 9 != 0, F.concat(F.lit('<a href="'), name, F.lit('/stargazers" class="d"> <svg></svg> '), F.format_number(KEY + 1000, 0), F.lit("\n</a>"))).otherwise(""), text("<span>", KEY % 50, " stars today</span></article>"),
+        F.when(key() % 9 != 0, F.concat(F.lit('<a href="'), name, F.lit('/stargazers" class="d"> <svg></svg> '), F.format_number(key() + 1000, 0), F.lit("\n</a>"))).otherwise(""), text("<span>", key() % 50, " stars today</span></article>"),
     )
     found = payloads.github_trending(documents(table(spark, sf, "orders"), row, "<main>", "</main>"), F.lit("2024-01-01").cast("timestamp"), cap=0)
     return found.select("title", "url", "author", "score", F.get_json_object("metadata", "$.stars_today").alias("stars_today"))
@@ -180,12 +186,12 @@ SELECT 'o/' || o_custkey || CASE WHEN o_orderkey % 3 > 0 THEN ': about ' || o_or
 FROM orders WHERE o_orderkey % 1000 > 200) WHERE rn = 1 AND (o_orderkey % 8 = 0 OR floor((epoch(TIMESTAMP '2001-08-02') - epoch(o_orderdate::TIMESTAMP)) / 86400) <= 1500)""")
 def s7(spark, sf):
     repo = F.struct(
-        KEY.alias("k"), text("o/", CUSTOMER).alias("full_name"), text("https://github.com/o/", CUSTOMER).alias("html_url"), F.when(KEY % 3 > 0, text("about ", KEY)).alias("description"),
-        (KEY % 1000).alias("stargazers_count"), F.when(KEY % 8 != 0, stamp()).alias("created_at"), stamp().alias("pushed_at"), F.struct(text("u", KEY % 5).alias("login")).alias("owner"),
+        key().alias("k"), text("o/", customer()).alias("full_name"), text("https://github.com/o/", customer()).alias("html_url"), F.when(key() % 3 > 0, text("about ", key())).alias("description"),
+        (key() % 1000).alias("stargazers_count"), F.when(key() % 8 != 0, stamp()).alias("created_at"), stamp().alias("pushed_at"), F.struct(text("u", key() % 5).alias("login")).alias("owner"),
     )
     rows = pages(table(spark, sf, "orders"), repo, "items", False).select("ord", "payload")
     found = payloads.github_search(rows, F.lit("2001-08-02").cast("timestamp"), max_age_days=1500, cap=0)
-    return found.select("title", "url", "author", "score", SECONDS)
+    return found.select("title", "url", "author", "score", published())
 
 
 @query("S8_models", """SELECT title, text, author, score, published_s FROM (
@@ -194,12 +200,12 @@ SELECT 'org' || (o_custkey % 10) || '/m' || o_custkey AS title, 'org' || (o_cust
 FROM orders WHERE o_orderkey % 500 >= 100 AND o_orderkey % 4 > 0 AND o_orderkey % 9 > 0 AND (o_orderkey % 7 = 0 OR o_orderdate >= TIMESTAMP '1998-01-01')) WHERE rn = 1""")
 def s8(spark, sf):
     model = F.struct(
-        KEY.alias("k"), text("org", CUSTOMER % 10, "/m", CUSTOMER).alias("id"), F.when(KEY % 3 > 0, text("t", KEY % 3)).otherwise("").alias("pipeline_tag"), F.when(KEY % 9 > 0, "lib").alias("library_name"),
-        (KEY % 500).alias("downloads"), F.when(KEY % 4 == 0, F.array(F.lit("base_model:quantized:x"))).otherwise(F.array(F.lit("en"))).alias("tags"), F.when(KEY % 7 > 0, stamp()).alias("lastModified"),
+        key().alias("k"), text("org", customer() % 10, "/m", customer()).alias("id"), F.when(key() % 3 > 0, text("t", key() % 3)).otherwise("").alias("pipeline_tag"), F.when(key() % 9 > 0, "lib").alias("library_name"),
+        (key() % 500).alias("downloads"), F.when(key() % 4 == 0, F.array(F.lit("base_model:quantized:x"))).otherwise(F.array(F.lit("en"))).alias("tags"), F.when(key() % 7 > 0, stamp()).alias("lastModified"),
     )
     rows = pages(table(spark, sf, "orders"), model, None, False).select("ord", "payload")
     found = payloads.huggingface_models(rows, F.lit("1998-01-01").cast("timestamp"), cap=0)
-    return found.select("title", "text", "author", "score", SECONDS)
+    return found.select("title", "text", "author", "score", published())
 
 
 @query("S9_daily_papers", """SELECT title, url, text, score, published_s, has_abstract FROM (
@@ -207,13 +213,13 @@ SELECT 'Paper ' || o_orderkey AS title, 'https://huggingface.co/papers/24.' || o
   epoch(o_orderdate::TIMESTAMP)::BIGINT AS published_s, (p_name IS NOT NULL)::VARCHAR AS has_abstract, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
 FROM orders LEFT JOIN part ON p_partkey = o_custkey AND p_size > 10 WHERE o_orderkey % 13 > 0) WHERE rn = 1""")
 def s9(spark, sf):
-    paper = F.struct(KEY.alias("k"), F.struct(
-        F.when(KEY % 13 > 0, text("24.", CUSTOMER)).otherwise("").alias("id"), text("Paper ", KEY).alias("title"), (KEY % 90).alias("upvotes"), stamp().alias("publishedAt")
+    paper = F.struct(key().alias("k"), F.struct(
+        F.when(key() % 13 > 0, text("24.", customer())).otherwise("").alias("id"), text("Paper ", key()).alias("title"), (key() % 90).alias("upvotes"), stamp().alias("publishedAt")
     ).alias("paper"))
     rows = pages(table(spark, sf, "orders"), paper, None, False).select("ord", "payload")
     abstracts = table(spark, sf, "part").where("p_size > 10").select(text("24.", F.col("p_partkey"), "v", F.col("p_size")).alias("arxiv_id"), F.col("p_name").alias("abstract"))
     found = payloads.huggingface_papers(rows, abstracts)
-    return found.select("title", "url", "text", "score", SECONDS, F.get_json_object("metadata", "$.has_abstract").alias("has_abstract"))
+    return found.select("title", "url", "text", "score", published(), F.get_json_object("metadata", "$.has_abstract").alias("has_abstract"))
 
 
 @query("F32_prompts", f"""WITH {ITEMS_SQL}, placed AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS k FROM items)
