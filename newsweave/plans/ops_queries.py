@@ -515,7 +515,38 @@ def k20(spark, sf):
     return items(spark, sf).select("id", pipeline.sse("item", "id", "source").alias("frame"))
 
 
-@query("C1_pipeline")
+#: The whole run, each step in a scope of its own: what a step reads is its ``items``.
+RUN_SQL = f"""{WR_},
+uniq AS MATERIALIZED (
+  WITH c AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY title || '|' || coalesce(url, '') ORDER BY ord) AS r FROM items WHERE id % 2 = 0) WHERE r = 1)
+  SELECT * EXCLUDE (b) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY coalesce(score, 0) DESC, ord) AS b FROM c WHERE url <> '') WHERE b = 1
+  UNION ALL SELECT * FROM c WHERE url IS NULL OR url = ''),
+fresh AS MATERIALIZED (
+  WITH st AS (SELECT * FROM items WHERE id % 2 = 1 AND created_at >= TIMESTAMP '2024-01-31' - INTERVAL {DEFAULT.seen_days} DAY),
+  fr AS (SELECT * FROM uniq WHERE url IS NULL OR url = '' OR url NOT IN (SELECT url FROM st WHERE url <> '')),
+  newest AS (SELECT id FROM st ORDER BY created_at DESC, id LIMIT {DEFAULT.seen_titles}), t AS (SELECT id, title FROM items), {MASKS}
+  SELECT * FROM fr WHERE coalesce(trim(title), '') <> '' AND coalesce(trim(url), '') <> '' AND id NOT IN (
+    SELECT a.id FROM mk a, mk b WHERE a.id IN (SELECT id FROM fr) AND b.id IN (SELECT id FROM newest) AND {COMMON} >= {DEFAULT.title_similarity})),
+classified AS MATERIALIZED (
+  WITH RECURSIVE items AS (SELECT * FROM fresh), {class_sql(SURROGATE_KEYWORDS)},
+  kept AS (SELECT * REPLACE (relevance AS relevance_score, {PRIORITY.replace("relevance_score", "relevance")} AS priority) FROM classed WHERE matches >= 1 AND relevance >= {DEFAULT.min_relevance} AND topic IN ({", ".join(f"'{t}'" for t in DEFAULT.topics)})),
+  {event_winners_sql("kept", "topic")} SELECT kept.* EXCLUDE (c, m, tp, sz) REPLACE (w.trending AS trending, w.priority AS priority) FROM kept JOIN winners w ON w.id = kept.id),
+rescored AS MATERIALIZED (WITH items AS (SELECT * FROM classified), {SCORED_SQL} SELECT * EXCLUDE (live, v, r, t, w) REPLACE (live AS composite_score) FROM scored),
+validated AS MATERIALIZED (
+  WITH RECURSIVE items AS (SELECT * FROM rescored), {TONE_SQL}, kept AS (SELECT * FROM toned
+    WHERE round({CRED}, 9) >= {DEFAULT.min_credibility} AND (source NOT IN ('hackernews', 'reddit') OR metadata LIKE '%leading%' OR coalesce(score, 0) >= {DEFAULT.min_social_score}))
+  {greedy_sql("kept")}{GREEDY_STEPS} SELECT kept.* FROM kept WHERE id IN (SELECT id FROM greedy)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY composite_score DESC NULLS LAST, created_at DESC, id) AS rn FROM items WHERE id % 2 = 1 AND url <> '') WHERE rn = 1),
+j AS (
+  SELECT o.id AS oid, n.id AS nid, coalesce(o.url, n.url) AS url, o.title AS ot, n.title AS nt, o.topic AS otp, n.topic AS ntp, o.composite_score AS oc, n.composite_score AS nc,
+    coalesce(n.composite_score > o.composite_score, false) OR coalesce(n.score > o.score, false) OR coalesce(n.relevance_score > o.relevance_score, false) AS better
+  FROM best o FULL OUTER JOIN validated n ON o.url = n.url),
+a AS (SELECT *, CASE WHEN oid IS NULL THEN 'inserted' WHEN nid IS NULL OR NOT better THEN 'unchanged' ELSE 'updated' END AS action FROM j)
+SELECT substr(sha256(url), 1, 16) AS url_hash, coalesce(oid, nid) AS id, CASE action WHEN 'inserted' THEN nt ELSE ot END AS title, CASE action WHEN 'inserted' THEN ntp ELSE otp END AS topic,
+  CASE action WHEN 'inserted' THEN nc WHEN 'updated' THEN greatest(oc, nc) ELSE oc END AS composite_score, action FROM a"""
+
+
+@query("C1_pipeline", RUN_SQL)
 def c1(spark, sf):
     i = items(spark, sf)
     merged, _ = pipeline.run_pipeline(i.where("id % 2 = 0"), i.where("id % 2 = 1"), at(), SURROGATE, count=False)
