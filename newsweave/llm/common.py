@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -37,6 +38,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder: for many rows with repeated values, which a
+    checkpoint would hold as they are."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_col(name: str = "text") -> Column:
     """The text column with null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, text_col
+from .common import checkpoint, slices, stored, text_col
 
 LEAST_DOCS, TOP, PRIOR, UNIT = 30, 50, 5, 1_000_000_000
 #: Sources and terms (about) of a tile; side of a leaf.
@@ -185,7 +185,7 @@ def audit(
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): for each source the other sources of its language by
     distance (part ``pair``), and the ``top`` terms that it uses more than its language (``term``)."""
-    cells = checkpoint(cells_of(docs, text, lang, source))
+    cells = stored(cells_of(docs, text, lang, source))
     kept = checkpoint(
         cells.where("term != ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
         .where(F.col("docs") >= least_docs).drop("docs")
