@@ -18,7 +18,7 @@ def both(spark, tmp_path, name):
     return [tuple(r[c] for c in want.columns) for r in got.collect()], want.fetchall()
 
 
-@pytest.mark.parametrize("name", ["F44_page_titles", "F4_strip_html"])
+@pytest.mark.parametrize("name", ["F44_page_titles", "F4_strip_html", "S10_web_pages"])
 def test_as_sql(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name)
     assert got == want and "&amp" in str(got)
