@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from ..operators.dedup import cut
 
 THRESHOLD, COOLDOWN = 3, 3600
+#: Runs of one range in batch, about: what a task holds at once.
+RANGE_RUNS = 50_000
 #: Failures in a row, and microseconds of the opening (None: closed).
 State = tuple[int, int | None]
 CLOSED: State = (0, None)
@@ -122,7 +124,8 @@ def breaker_states(runs: DataFrame, threshold: int = THRESHOLD, reset_seconds: i
     us = F.coalesce(F.unix_micros(F.col("started_at").cast("timestamp")), F.lit(-(2**60))).alias("_us")
     order = ["source", "_us", "run_id"]
     timed = runs.select("*", us)
-    ranged = timed.repartitionByRange(parts, *order) if parts else timed.repartitionByRange(*order)
+    # ranges grow in number with the log, not in size; a number that is given isn't coalesced
+    ranged = timed.repartitionByRange(parts or max(runs.count() // RANGE_RUNS + 1, 16), *order)
     placed = cut(ranged.withColumn("_part", F.spark_partition_id()))
 
     def sum_up(rows: pd.DataFrame) -> pd.DataFrame:
