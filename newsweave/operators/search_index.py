@@ -1,6 +1,6 @@
 """An inverted index for full-text search (Q13, P11, K12, K13), kept up by batches.
 
-``path``/postings holds (term, id, tf) and ``path``/docs the ids of each batch, both partitioned by batch; postings
+``path``/postings holds (term, ids, tfs), a row for a term in a stretch of items, and ``path``/docs the ids of each batch, both partitioned by batch; postings
 also by ``bucket``, a hash of the term, and sorted by term inside, so a search opens the files of its
 words only and skips row groups without them.  A batch is one folder: writing it again replaces
 it, so a batch that is run twice changes nothing.  The latest batch of an id holds, the others' postings of
@@ -12,6 +12,11 @@ they shrink word by word.  No text is read.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +24,55 @@ from .filters import query_words
 from .store import search_words
 
 BUCKETS = 256
+#: Postings of a stretch of items: a task holds so many, and those of one more item, until it hands them on.
+HELD = 300_000
+#: Rows of a term at most that ``compact`` writes.
+STRETCHES = 1_024
 
 
 def bucket(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, ids, tfs) of rows (id, words joined by blanks), a row for a term in a stretch of rows: words are counted
+    where their row is, and a term moves once a stretch."""
+
+    def listed(ids: pa.Array, places: list[int], sizes: list[int], terms: list[str], tfs: list[int]) -> pa.RecordBatch:
+        coded = pa.array(terms, pa.string()).dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(code))]), pa.int32())
+        of = np.repeat(np.array(places, np.int64), sizes)[order]
+        columns = [coded.dictionary, pa.ListArray.from_arrays(ends, ids.take(pa.array(of))), pa.ListArray.from_arrays(ends, pa.array(np.array(tfs, np.int32)[order]))]
+        return pa.RecordBatch.from_arrays(columns, ["term", "ids", "tfs"])
+
+    for rows in batches:
+        places, sizes, terms, tfs = [], [], [], []
+        for place, words in enumerate(rows.column(1)):
+            found = Counter(words.as_py().split(" "))
+            found.pop("", None)
+            places.append(place)
+            sizes.append(len(found))
+            terms.extend(found)
+            tfs.extend(found.values())
+            if len(terms) >= HELD:
+                yield listed(rows.column(0), places, sizes, terms, tfs)
+                places, sizes, terms, tfs = [], [], [], []
+        if terms:
+            yield listed(rows.column(0), places, sizes, terms, tfs)
+
+
 def postings(items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, id, tf) of items; the words are those stored, or of title, full text and source."""
-    words = items.select("id", F.explode(search_words(items)).alias("term"))
-    counted = words.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
-    return counted.select(bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "tf")
+    """(bucket, term, ids, tfs) of items; the words are those stored, or of title, full text and source."""
+    words = items.select("id", F.concat_ws(" ", search_words(items)).alias("words"))
+    found = words.mapInArrow(counted, f"term string, ids array<{dict(items.dtypes)['id']}>, tfs array<int>")
+    return found.select(bucket(F.col("term"), buckets).alias("bucket"), "term", "ids", "tfs")
+
+
+def flat(found: DataFrame, *columns: str) -> DataFrame:
+    """A row (term, id, tf) for each posting, with further columns."""
+    return found.select("term", *columns, F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"))))
 
 
 def write_batch(items: DataFrame, path: str, batch: int, deleted: DataFrame | None = None, buckets: int = BUCKETS) -> None:
@@ -41,7 +84,7 @@ def write_batch(items: DataFrame, path: str, batch: int, deleted: DataFrame | No
 
 
 def _write(found: DataFrame, ids: DataFrame, path: str, batch: int) -> None:
-    placed = found.repartition("bucket").sortWithinPartitions("bucket", "term", "id")
+    placed = found.repartition("bucket").sortWithinPartitions("bucket", "term")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     ids.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
 
@@ -67,14 +110,16 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str, to: str) -> None:
     """What holds, as batch 0 of a new index at ``to``."""
     live = latest(spark, path)
-    found = spark.read.parquet(f"{path}/postings").join(live, ["id", "batch"]).select("bucket", "term", "id", "tf")
-    _write(found, live.select("id", F.lit(False).alias("deleted")), to, 0)
+    found = flat(spark.read.parquet(f"{path}/postings"), "bucket", "batch").join(live, ["id", "batch"])
+    stretch = F.pmod(F.xxhash64("id"), F.lit(STRETCHES))
+    both = found.groupBy("bucket", "term", stretch.alias("s")).agg(F.collect_list(F.struct("id", "tf")).alias("l"))
+    _write(both.select("bucket", "term", F.col("l.id").alias("ids"), F.col("l.tf").alias("tfs")), live.select("id", F.lit(False).alias("deleted")), to, 0)
 
 
 def term_postings(spark: SparkSession, path: str, words: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Postings of some words; only their buckets are opened."""
     numbers = sorted({r[0] for r in spark.range(1).select(F.explode(F.array(*[bucket(F.lit(w), buckets) for w in words]))).collect()})
-    return spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(numbers) & F.col("term").isin(words)).select("term", "id", "tf", "batch")
+    return flat(spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(numbers) & F.col("term").isin(words)), "batch")
 
 
 def full_text(spark: SparkSession, path: str, query: str, buckets: int = BUCKETS) -> DataFrame:
@@ -85,7 +130,7 @@ def full_text(spark: SparkSession, path: str, query: str, buckets: int = BUCKETS
     found = term_postings(spark, path, words, buckets)
     frequent = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row a word
     rarest, *others = sorted(words, key=lambda w: (frequent.get(w, 0), w))
-    of = lambda w: found.where(F.col("term") == w).select("id", "batch", F.log1p("tf").alias(f"_{words.index(w)}"))
+    of = lambda w: found.where(F.col("term") == w).groupBy("id", "batch").agg(F.log1p(F.sum("tf")).alias(f"_{words.index(w)}"))
     ids = of(rarest).join(latest(spark, path), ["id", "batch"])
     for w in others:
         ids = ids.join(of(w), ["id", "batch"])

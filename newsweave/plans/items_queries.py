@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import SOURCES
 from ..functions import scalars as S
 from ..operators import dedup, filters, rank, search_index, stats, store
-from .bindings import ITEMS_SQL, RUNS_SQL, at, embeddings, items, runs, table
+from .bindings import ITEMS_SQL, RUNS_SQL, at, embeddings, items, runs, searched, table
 from .registry import SQL, query, same
 
 DAY, TODAY = "2024-01-25", "2024-01-30"
@@ -151,7 +151,7 @@ def search(df, text: str, limit: int, sort_by: str = "relevance"):
 def indexed(spark, sf) -> str:
     """A search index of the items in the shared folder."""
     path = f"{dedup.shared_folder(spark)}/search-{uuid.uuid4().hex}"
-    search_index.write_batch(items(spark, sf).withColumn("search_vector", store.search_vector()), path, 0)
+    search_index.write_batch(searched(spark, sf), path, 0)
     return path
 
 
