@@ -12,11 +12,12 @@ they shrink word by word.  No text is read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,14 @@ from .filters import query_words
 from .store import search_words
 
 BUCKETS = 256
-#: Postings of a stretch of items: a task holds so many, and those of one more item, until it hands them on.
+#: Words of a stretch of items: a task splits so many, and those of one more item, at a time.
 HELD = 300_000
+#: Postings that a task holds, and those of one more stretch, until it hands them on.
+GATHERED = 2_000_000
+#: Terms and ids hardly repeat in a bucket, so Parquet need not look for repeats.
+PLAIN = {f"parquet.enable.dictionary#{column}": "false" for column in ("term", "ids.list.element")}
+#: For bytes.translate: letters in lower case, a blank for ASCII that is no letter, digit or underscore; other bytes stay.
+ASCII = bytes(ord(c.lower()) if c.isalnum() or c == "_" else 32 for c in map(chr, range(128))) + bytes(range(128, 256))
 #: Rows of a term at most that ``compact`` writes.
 STRETCHES = 1_024
 
@@ -34,39 +41,73 @@ def bucket(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, ids, tfs) of rows (id, words joined by blanks), a row for a term in a stretch of rows: words are counted
-    where their row is, and a term moves once a stretch."""
+def _listed(codes: pa.Array, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of a code and a place below n, the different ones in order: where each code's begin and end, the places, how often each occurs."""
+    keys = codes.to_numpy().astype(np.int64) * n + places
+    keys.sort()
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    code, place = np.divmod(keys[starts], n)
+    return np.append(0, np.cumsum(np.bincount(code))), place, np.diff(starts, append=len(keys))
 
-    def listed(ids: pa.Array, places: list[int], sizes: list[int], terms: list[str], tfs: list[int]) -> pa.RecordBatch:
-        coded = pa.array(terms, pa.string()).dictionary_encode()
-        code = coded.indices.to_numpy()
-        order = np.argsort(code, kind="stable")
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(code))]), pa.int32())
-        of = np.repeat(np.array(places, np.int64), sizes)[order]
-        columns = [coded.dictionary, pa.ListArray.from_arrays(ends, ids.take(pa.array(of))), pa.ListArray.from_arrays(ends, pa.array(np.array(tfs, np.int32)[order]))]
-        return pa.RecordBatch.from_arrays(columns, ["term", "ids", "tfs"])
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, ids, tfs) of rows (id, words joined by blanks), a row for a term in a stretch of rows: words are counted
+    where their row is."""
     for rows in batches:
-        places, sizes, terms, tfs = [], [], [], []
-        for place, words in enumerate(rows.column(1)):
-            found = Counter(words.as_py().split(" "))
-            found.pop("", None)
-            places.append(place)
-            sizes.append(len(found))
-            terms.extend(found)
-            tfs.extend(found.values())
-            if len(terms) >= HELD:
-                yield listed(rows.column(0), places, sizes, terms, tfs)
-                places, sizes, terms, tfs = [], [], [], []
-        if terms:
-            yield listed(rows.column(0), places, sizes, terms, tfs)
+        ends = np.cumsum(pc.count_substring(rows.column(1), " ").to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        cuts = [0, *np.flatnonzero(np.diff((ends - 1) // HELD)) + 1, len(ends)]
+        for start, end in pairwise(cuts):
+            part = rows.slice(start, end - start)
+            split = pc.split_pattern(part.column(1), " ")
+            place = np.repeat(np.arange(len(part)), pc.list_value_length(split).to_numpy())
+            words = split.flatten()
+            filled = pc.not_equal(words, "")
+            coded, place = words.filter(filled).dictionary_encode(), place[filled.to_numpy(zero_copy_only=False)]
+            if len(place):
+                bounds, places, tfs = _listed(coded.indices, place, len(part))
+                lists = [part.column(0).take(pa.array(places)), pa.array(tfs, pa.int32())]
+                columns = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values) for values in lists]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, *columns], ["term", "ids", "tfs"])
+
+
+def gathered(stretches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, ids, tfs) of several stretches as one, so that a term moves once for many of them."""
+
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        coded = pa.concat_arrays([b.column(0) for b in held]).dictionary_encode()
+        bounds, order, _ = _listed(coded.indices, np.arange(len(coded)), len(coded))
+        lists = [pa.concat_arrays([b.column(c) for b in held]).take(pa.array(order)) for c in (1, 2)]
+        columns = [pa.ListArray.from_arrays(pa.array(x.offsets.to_numpy()[bounds], pa.int32()), x.values) for x in lists]
+        return pa.RecordBatch.from_arrays([coded.dictionary, *columns], ["term", "ids", "tfs"])
+
+    held, n = [], 0
+    for stretch in stretches:
+        held.append(stretch)
+        n += len(stretch.column(1).flatten())
+        if n >= GATHERED:
+            yield one(held)
+            held, n = [], 0
+    if held:
+        yield one(held)
+
+
+def words_of_ascii(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (id, text) with ASCII in lower case and blanks for what parts words there; other characters stay."""
+    texts = rows.column(1)
+    _, offsets, data = texts.buffers()
+    data = pa.py_buffer(data.to_pybytes().translate(ASCII)) if data else None
+    texts = pa.Array.from_buffers(texts.type, len(texts), [None, offsets, data], offset=texts.offset)
+    return pa.RecordBatch.from_arrays([rows.column(0), texts], ["id", "words"])
 
 
 def postings(items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, ids, tfs) of items; the words are those stored, or of title, full text and source."""
-    words = items.select("id", F.concat_ws(" ", search_words(items)).alias("words"))
-    found = words.mapInArrow(counted, f"term string, ids array<{dict(items.dtypes)['id']}>, tfs array<int>")
+    """(bucket, term, ids, tfs) of items; the words are those stored, or of title, full text and source.  Texts of ASCII
+    alone are split without a regular expression."""
+    text, words = F.concat_ws(" ", "title", "full_text", "source"), F.concat_ws(" ", search_words(items))
+    stored = "search_vector" in items.columns
+    given = items.select("id", (words if stored else F.when(F.octet_length(text) == F.char_length(text), text).otherwise(words)).alias("words"))
+    plain = lambda batches: batches if stored else map(words_of_ascii, batches)
+    found = given.mapInArrow(lambda batches: gathered(counted(plain(batches))), f"term string, ids array<{dict(items.dtypes)['id']}>, tfs array<int>")
     return found.select(bucket(F.col("term"), buckets).alias("bucket"), "term", "ids", "tfs")
 
 
@@ -85,7 +126,7 @@ def write_batch(items: DataFrame, path: str, batch: int, deleted: DataFrame | No
 
 def _write(found: DataFrame, ids: DataFrame, path: str, batch: int) -> None:
     placed = found.repartition("bucket").sortWithinPartitions("bucket", "term")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    placed.write.mode("overwrite").options(**PLAIN).partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     ids.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
 
 

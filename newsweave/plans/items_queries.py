@@ -157,7 +157,7 @@ def indexed(spark, sf) -> str:
 
 @query("Q13_search_index", SQL["Q13_search"])
 def q13_index(spark, sf):
-    return search_indexed(items(spark, sf), indexed(spark, sf), "the reddit", 50)
+    return search_indexed(searched(spark, sf), indexed(spark, sf), "the reddit", 50)
 
 
 def search_indexed(df, path: str, text: str, limit: int):
