@@ -9,8 +9,8 @@ Families first, exactly then.  At similarity 0.8 SimHashes differ in about ten o
 than pieces of a fingerprint can find in linear time, so texts meet in buckets by MinHash: 20 bands
 of five least hashes each, at least one of which a pair of similarity 0.8 shares with
 probability 0.9996.  In a bucket, SimHashes are compared bit-sliced, as in operator 5 but within
-wider radii (``RADII``, to 26 bits, which a pair of similarity 0.8 exceeds once in 10^7), and give a
-spanning forest of what is near.  A bucket of over ``most`` texts is taken as near as a whole.  The
+wider radii (``RADII``, to 26 bits, which a pair of similarity 0.8 exceeds once in 10^7), and give
+stars of what is near.  A bucket of over ``most`` texts is taken as near as a whole.  The
 components of these unchecked links are families: a link between near copies never leaves one.
 
 In a family all pairs of texts are then compared by their whole sets of shingles.  A family is
@@ -124,8 +124,8 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def compare_bands(dealt: DataFrame, most: int) -> DataFrame:
-    """Rows (band, t, fp) -> a forest (a, b) of near members of each bucket; all members of a
-    bucket of over ``most``, one after another."""
+    """Rows (band, t, fp) -> stars (a, b) of near members of each bucket, the least in the middle; one
+    star of all members of a bucket of over ``most``.  From stars, components are found in few rounds."""
 
     def close(band: np.ndarray, t: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
@@ -133,20 +133,21 @@ def compare_bands(dealt: DataFrame, most: int) -> DataFrame:
         many = np.repeat(size > 1, size)
         kept = size[size > 1]
         t = t[many]
-        x, y = near_forest(fp[many], np.cumsum(kept) - kept)
-        return _edges(t[x], t[y])
+        label = np.arange(len(t))
+        join(label, *near_forest(fp[many], np.cumsum(kept) - kept))
+        y = np.flatnonzero(label != np.arange(len(t)))
+        return _edges(t[label[y]], t[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        flowing = None  # band and last member of a bucket that is already too large
+        flowing = None  # band and least member of a bucket that is already too large
         for batch in batches:
             new = [batch.column(i).to_numpy() for i in range(3)]
             held = [np.concatenate([h, c.view(h.dtype)]) for h, c in zip(held, new)]
             if flowing is not None and len(held[0]):
                 same = int(np.searchsorted(held[0], flowing[0], side="right"))
-                chain = np.r_[flowing[1], held[1][:same]]
-                yield _edges(chain[:-1], chain[1:])
-                flowing = (flowing[0], chain[-1]) if same == len(held[0]) else None
+                yield _edges(np.full(same, flowing[1]), held[1][:same])
+                flowing = flowing if same == len(held[0]) else None
                 held = [h[same:] for h in held]
             if not len(held[0]):
                 continue
@@ -155,20 +156,19 @@ def compare_bands(dealt: DataFrame, most: int) -> DataFrame:
                 bands, size = np.unique(held[0][:end], return_counts=True)
                 large = np.repeat(size > most, size)
                 if large.any():
-                    chain, band = held[1][:end][large], held[0][:end][large]
-                    same = band[1:] == band[:-1]
-                    yield _edges(chain[:-1][same], chain[1:][same])
+                    t, band = held[1][:end][large], held[0][:end][large]
+                    yield _edges(t[np.searchsorted(band, band)], t)
                 yield close(*(h[:end][~large] for h in held))
                 held = [h[end:] for h in held]
             if len(held[0]) > most:
-                yield _edges(held[1][:-1], held[1][1:])
-                flowing = (held[0][0], held[1][-1])
+                yield _edges(np.full(len(held[1]) - 1, held[1][0]), held[1][1:])
+                flowing = (held[0][0], held[1][0])
                 held = [h[:0] for h in held]
         if len(held[0]):
             yield close(*held)
         pa.default_memory_pool().release_unused()
 
-    ordered = dealt.repartition("band").sortWithinPartitions("band")
+    ordered = dealt.repartition("band").sortWithinPartitions("band", "t")
     return ordered.select("band", "t", "fp").mapInArrow(run, "a long, b long")
 
 

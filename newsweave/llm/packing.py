@@ -343,8 +343,8 @@ def pack(
     # the place of a row parts rows that are repeated very often
     h = F.xxhash64("doc_id", "ids", F.monotonically_increasing_id()).alias("h")
     tokens = checkpoint(tokenize(docs, path, end, id_col, text, source).select("source", "doc_id", "n", "ids", h))
-    width = encoder(path).dtype().itemsize
-    total = tokens.agg(F.sum("n")).first()[0] or 0
+    # bytes of an id as the tasks wrote it: the driver loads no vocabulary
+    total, width = (x or 0 for x in tokens.agg(F.sum("n"), F.max(F.expr("octet_length(ids) div n"))).first())
     groups = max(1, -(-total // group_tokens))
     dealt = tokens.select(F.pmod("h", F.lit(groups)).alias("part"), "source", "doc_id", "n", "ids")
     plan = place(dealt, total)

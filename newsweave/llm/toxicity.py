@@ -33,8 +33,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_column, slices
+from .common import checkpoint, labelled_sample, map_column, slices
 
 #: Labelled rows that a model is fitted on at most, and hashed words.
 SAMPLE, BITS = 8_000, 18
@@ -43,6 +44,8 @@ MOST_BYTES = 32_000_000
 #: Lengths (bytes) of the beginnings of words that are features too.
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.5
+#: Texts that a word is in, and standard deviations by which its share of toxic texts differs, at least, to get a weight.
+LEAST, EVIDENCE = 4, 4.0
 #: Standard deviations by which sentences that don't offend may exceed those of clean texts.
 DEVIATIONS = 3.0
 # Sentences end at . ! ? and line ends; other ASCII that isn't alphanumeric parts words.
@@ -90,32 +93,58 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 60, least: int = 4, evidence: float = 4.0, rate: float = 0.15, decay: float = 3e-4, toxic_weight: float = 4.0) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 60, least: int = LEAST, evidence: float = EVIDENCE, rate: float = 0.15, decay: float = 3e-4, toxic_weight: float = 4.0) -> Model:
     """Fit by full-batch Adam on the noisy-or likelihood, toxic texts counting ``toxic_weight`` times.
 
     bags: hashed words and words by sentence of each text.  Words in fewer than
     ``least`` of them, or whose share of toxic texts is within ``evidence``
     standard deviations of the common one, keep weight 0.
     """
-    weights = np.zeros(1 << bits, np.float32)
     if not len(bags) or labels.min() == labels.max():
-        return Model(weights, -60.0)
+        return untrained(bits)
     found, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
     for (words, _), label in zip(bags, labels):
         own = np.unique(words)
         found[own] += 1
         toxic[own] += label
-    share = labels.mean()
-    excess = (toxic - share * found) / np.sqrt(np.maximum(share * (1 - share) * found, 1e-9))
-    active = np.flatnonzero((found >= least) & (np.abs(excess) >= evidence))
-    slot = np.full(1 << bits, len(active), np.int64)
-    slot[active] = np.arange(len(active))
-    words = slot[np.concatenate([w for w, _ in bags])]
-    sentence_of = np.repeat(np.arange(sum(len(c) for _, c in bags)), np.concatenate([c for _, c in bags]))
-    keep = words < len(active)
-    words, sentence_of = words[keep], sentence_of[keep]
+    active = telling(found, toxic, labels.mean(), least, evidence)
+    kept = [telling_words(w, c, active) for w, c in bags]
     per_bag = np.array([len(c) for _, c in bags])
-    bag_of, n_sentences = np.repeat(np.arange(len(bags)), per_bag), int(per_bag.sum())
+    return descend(
+        np.concatenate([w for w, _ in kept]), np.concatenate([c for _, c in kept]), np.concatenate([c for _, c in bags]) > 0,
+        per_bag, labels, active, bits, epochs, rate, decay, toxic_weight,
+    )
+
+
+def untrained(bits: int = BITS) -> Model:
+    """What labels of one kind give."""
+    return Model(np.zeros(1 << bits, np.float32), -60.0)
+
+
+def telling(found: np.ndarray, toxic: np.ndarray, share: float, least: int, evidence: float) -> np.ndarray:
+    """Words that get a weight, in order, from the texts and toxic texts that each word is found in."""
+    excess = (toxic - share * found) / np.sqrt(np.maximum(share * (1 - share) * found, 1e-9))
+    return np.flatnonzero((found >= least) & (np.abs(excess) >= evidence))
+
+
+def telling_words(words: np.ndarray, counts: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bag without the words that get no weight: places in ``active`` and words by sentence."""
+    if not len(active):
+        return np.zeros(0, np.int64), np.zeros(len(counts), np.int64)
+    place = np.minimum(np.searchsorted(active, words), len(active) - 1)
+    keep = active[place] == words
+    return place[keep], sums(keep, counts).astype(np.int64)
+
+
+def descend(
+    words: np.ndarray, counts: np.ndarray, real: np.ndarray, per_bag: np.ndarray, labels: np.ndarray, active: np.ndarray, bits: int = BITS,
+    epochs: int = 60, rate: float = 0.15, decay: float = 3e-4, toxic_weight: float = 4.0,
+) -> Model:
+    """The steps of train().  words, counts: bags as of telling_words(), end to end; real: whether a sentence has words
+    at all; per_bag: sentences of each bag."""
+    weights = np.zeros(1 << bits, np.float32)
+    sentence_of = np.repeat(np.arange(len(counts)), counts)
+    bag_of, n_sentences = np.repeat(np.arange(len(per_bag)), per_bag), len(counts)
     y = labels.astype(float)
     base = y.mean()
     theta = np.zeros(len(active) + 1)
@@ -123,10 +152,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, epochs + 1):
         z = np.bincount(sentence_of, theta[words], n_sentences) + theta[-1]
-        none = np.bincount(bag_of, softplus(z), len(bags))  # -log of no toxic sentence
+        none = np.bincount(bag_of, softplus(z), len(per_bag))  # -log of no toxic sentence
         p = -np.expm1(-none)
         # d loss / d z_s: s(z) for clean texts, -(1-P)/P s(z) times their weight for toxic ones
-        pull = np.where(y > 0, -toxic_weight * np.exp(-none) / np.maximum(p, 0.02), 1.0) / len(bags)
+        pull = np.where(y > 0, -toxic_weight * np.exp(-none) / np.maximum(p, 0.02), 1.0) / len(per_bag)
         dz = pull[bag_of] / (1.0 + np.exp(-np.clip(z, -60, 60)))
         grad = np.r_[np.bincount(words, dz[sentence_of], len(active)), dz.sum()]
         grad[:-1] += decay * theta[:-1]
@@ -134,7 +163,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights[active] = theta[:-1]
     z = np.bincount(sentence_of, theta[words], n_sentences) + theta[-1]
-    real = np.concatenate([c for _, c in bags]) > 0
     usual = softplus(z[real & (z < 0) & (y[bag_of] == 0)])
     rate, spread = (float(usual.mean()), float(usual.std())) if len(usual) else (0.0, 0.0)
     return Model(weights, float(theta[-1]), rate, spread)
@@ -149,20 +177,47 @@ def evidence_of(z: np.ndarray, model: Model, deviations: float = DEVIATIONS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text: str = "text", modulus: int = 5, held_out: int = 0, bits: int = BITS) -> Model:
-    """A model of the labelled rows whose crc32(id) mod ``modulus`` isn't ``held_out``."""
+    """A model of the labelled rows whose crc32(id) mod ``modulus`` isn't ``held_out``.
+
+    Words are counted by Spark, and only those that get a weight go to the driver, sentence by sentence.
+    """
     rows = labelled_sample(docs, labels, label, 6, sample, most_bytes, id_col, text, modulus, held_out)
 
     def work(texts: list[bytes]) -> dict:
         bags = [bag(t, bits) for t in texts]
         return {"words": pa.array([w for w, _ in bags], pa.list_(pa.int32())), "counts": pa.array([c for _, c in bags], pa.list_(pa.int32()))}
 
-    found = map_column(rows, lambda: work, "words array<int>, counts array<int>", "text", ("id", "label"), binary=True).toArrow()
-    found = found.sort_by("id") if found.num_rows else found
-    bags = [
-        (w.values.to_numpy(), np.asarray(c.values.to_numpy(), np.int64))
-        for w, c in zip(found["words"], found["counts"])
-    ]
-    return train(bags, np.array(found["label"].to_pylist(), np.int64), bits)
+    bags = checkpoint(map_column(rows, lambda: work, "words array<int>, counts array<int>", "text", ("id", "label"), binary=True))
+    n, positive = bags.agg(F.count("*"), F.sum("label")).first()
+    if positive in (None, 0, n):
+        return untrained(bits)
+    by_word = (
+        bags.select("label", F.explode(F.array_distinct("words")).alias("word"))
+        .groupBy("word").agg(F.count("*").alias("found"), F.sum("label").alias("toxic")).where(F.col("found") >= LEAST).toArrow()
+    )
+    found, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
+    found[by_word["word"].to_numpy()], toxic[by_word["word"].to_numpy()] = by_word["found"].to_numpy(), by_word["toxic"].to_numpy()
+    active = telling(found, toxic, positive / n, LEAST, EVIDENCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32())
+        for batch in batches:
+            counts = [np.asarray(c.values.to_numpy(), np.int64) for c in batch.column(3)]
+            kept = [telling_words(w.values.to_numpy(), c, active) for w, c in zip(batch.column(2), counts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array([x[k] for x in kept], ints) for k in (0, 1)), pa.array([c > 0 for c in counts], pa.list_(pa.bool_()))],
+                names=["id", "label", "words", "counts", "real"],
+            )
+        pa.default_memory_pool().release_unused()
+
+    id_type = bags.schema["id"].dataType.simpleString()
+    kept = bags.mapInArrow(run, f"id {id_type}, label int, words array<int>, counts array<int>, real array<boolean>").toArrow().sort_by("id")
+    per_bag = np.array([len(c) for c in kept["counts"]])
+    words, counts, real = (pa.concat_arrays([c.flatten() for c in kept[name].chunks]).to_numpy(zero_copy_only=False) for name in ("words", "counts", "real"))
+    labels_ = kept["label"].to_numpy().astype(np.int64)
+    del kept
+    pa.default_memory_pool().release_unused()
+    return descend(words, counts, real, per_bag, labels_, active, bits)
 
 
 class Scorer:
